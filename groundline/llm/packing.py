@@ -33,12 +33,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     tuned(docs.sparkSession)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, item = encoder(tokenizer, spaces=False), TaskContext.get().partitionId() << 40
-        end = end_id.to_bytes(4, "little")
+        enc, item = encoder(tokenizer, False, end_id), TaskContext.get().partitionId() << 40
         for b in it:
             out: dict[str, list] = {f.name: [] for f in _PIECES}
-            for d, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist()), strict=True):
-                ids += end
+            for d, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1)), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for name, x in zip(out, (item, d, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

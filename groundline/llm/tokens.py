@@ -11,11 +11,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: What sends a text the whole way: white space in runs, at an end, or of other kinds, and the mark of a text's end.
+_SPACES = "\\t\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_ODD = f"[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|[\\x01{_SPACES}]"
+_STOP = "\x01"
 #: Letters, then ASCII marks other than the apostrophe: never one unit for either vocabulary.
-_CUT = re.compile(r"([\r\n]?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
-_LIMIT = 800_000
-_encoders: dict[str, "Encoder"] = {}
+_CUT = re.compile(r"(\r?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
+_LIMIT, _LOT, _WORDS = 1_600_000, 2000, 200_000
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -25,87 +31,118 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _large(s: str) -> pa.Scalar:
+    return pa.scalar(s, pa.large_string())
+
+
 class Encoder:
-    """ids(texts): each text's ids as little-endian unsigned 32-bit integers."""
+    """ids(texts): each text's ids and an end id, as little-endian unsigned 32-bit integers.
+
+    A unit's first character tells how it stands: a carriage return begins the text, a
+    line feed a line; any other unit follows a space. Where the vocabulary drops white
+    space there is no difference."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, end_id: int = 0):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces = spaces  # whether white space belongs to the ids
-        self.memory: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.end = end_id.to_bytes(4, "little")
+        self.between, self.comma = ("\n", "\n") if spaces else (" ^ ", "^")
+        self.mark = self._encode([self.comma])[0]
+        self._reset()
+
+    def _reset(self) -> None:
+        self.memory: dict[str, bytes] = {_STOP: self.end, "\r" if self.spaces else "": b""}
+        self.marks: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def _learn(self, units: set[str]) -> None:
-        memory, stems = self.memory, self.stems
-        if len(memory) > _LIMIT:
-            memory.clear()
-            stems.clear()
-        new = units.difference(memory)
-        cut = [(w, m[1], "\x00" + m[2]) for w in new if (m := _CUT.match(w))]
-        parts = {x for w in cut for x in w[1:]}.union(new.difference([w[0] for w in cut])).difference(stems)
-        for lot in [list(parts)]:
-            for i in range(0, len(lot), 20_000):
-                part = lot[i : i + 20_000]
-                stems.update(zip(part, self._units([self._text(w) for w in part]), strict=True))
-        memory.update((w, stems[w]) for w in new.difference([w[0] for w in cut]))
-        memory.update((w, stems[a] + stems[b]) for w, a, b in cut)
-
-    def _text(self, unit: str) -> str:
-        """A unit as it stands in the text."""
-        if not self.spaces or not unit:
-            return unit.lstrip("\x00") if not self.spaces else " "
-        if unit[0] == "\r" or unit[0] == "\x00":
-            return unit[1:]
-        return unit if unit[0] == "\n" else " " + unit
-
     def _units(self, units: list[str]) -> list[bytes]:
-        """One call for many units: the library says of which unit each id is."""
-        got = self.tok.encode(units, is_pretokenized=True, add_special_tokens=False)
-        ids, ends = np.array(got.ids, "<u4").tobytes(), np.zeros(len(units) + 1, np.int64)
-        if of := got.word_ids:
-            ends[1:] = np.bincount(np.array(of, np.int64), minlength=len(units))
-        at = (4 * np.cumsum(ends)).tolist()
-        return [ids[a:b] for a, b in zip(at, at[1:])]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Many units in one text, told apart by an id that none of them has."""
+        if len(self.mark) != 4 or any(self.comma in u for u in units):
+            return self._encode(units)
+        ids = np.array(self.tok.encode_batch_fast([self.between.join(units)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
+        if len(at) != len(units) - 1:
+            return self._encode(units)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
+
+    def _fill(self, memory: dict[str, bytes], units: list[str], texts: list[str]) -> None:
+        for i in range(0, len(units), _LOT):
+            memory.update(zip(units[i : i + _LOT], self._units(texts[i : i + _LOT]), strict=True))
+
+    def _learn(self, units: list[str]) -> None:
+        if len(self.memory) > _LIMIT:
+            self._reset()
+        memory, marks = self.memory, self.marks
+        new = [u for u in units if u not in memory]
+        lines = [u for u in new if u[0] == "\n"] if self.spaces else []
+        heads = [u for u in new if u[0] != "\n"] + ["\r" + u[1:] for u in lines] if lines else new
+        cut = [(u, m[1], m[2]) for u in heads if (m := _CUT.match(u))]
+        whole = {u[1] for u in cut}.union(heads).difference(memory).difference([u[0] for u in cut])
+        if self.spaces:
+            after = [u for u in whole if u[0] != "\r"]
+            first = [u for u in whole if u[0] == "\r"]
+            self._fill(memory, after, [" " + u for u in after])
+            self._fill(memory, first, [u[1:] for u in first])
+        else:
+            whole = list(whole)
+            self._fill(memory, whole, whole)
+        ends = list({u[2] for u in cut}.difference(marks))
+        self._fill(marks, ends, ends)
+        memory.update((u, memory[a] + marks[b]) for u, a, b in cut)
+        memory.update((u, self.mark + memory["\r" + u[1:]]) for u in lines)
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD if self.spaces else "\\x01").to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        units: set[str] = set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.spaces:
-                words = text.replace("\n", " ").split(" ")
-            elif " ".join(text.split()) == text.replace("\n", " "):
-                # white space stands alone everywhere: a mark tells how a unit begins
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\r" + words[0]
-            else:
-                whole.append(i)
-                continue
-            units.update(words)
-            plain.append((i, words))
-        for i, got in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = got
+        whole = np.flatnonzero(odd).tolist()
+        for i, got in zip(whole, self._encode(texts.take(pa.array(whole, pa.int64())).to_pylist()), strict=True):
+            out[i] = got + self.end
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        some = texts.take(pa.array(plain))
+        if self.spaces:
+            some = pc.binary_join_element_wise(_large("\r"), pc.replace_substring(some, "\n", " \n"), _large(""))
+        else:
+            some = pc.replace_substring(some, "\n", " ")
+        split = pc.split_pattern(pc.binary_join_element_wise(some, _large(_STOP), _large(" ")), " ")
+        coded = split.values.dictionary_encode()
+        units = coded.dictionary.to_pylist()
         self._learn(units)
-        get = self.memory.__getitem__
-        for i, words in plain:
-            out[i] = b"".join(map(get, words))
+        known = [self.memory[u] for u in units]
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        words, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        ends = ends - ends[0]
+        doc = 0
+        while doc < len(plain):  # some hundred thousand words at a time
+            to = max(doc + 1, int(np.searchsorted(ends, ends[doc] + _WORDS, "right")) - 1)
+            w = words[ends[doc] : ends[to]]
+            n = sizes[w]
+            total = np.cumsum(n, dtype=np.int64)
+            at = np.repeat((starts[w] - (total - n)).astype(np.int32), n) + np.arange(total[-1], dtype=np.int32)
+            raw = memoryview(flat[at]).cast("B")
+            stops = [0, *(4 * total[ends[doc + 1 : to + 1] - ends[doc] - 1]).tolist()]
+            for k, (a, b) in enumerate(zip(stops, stops[1:])):
+                out[plain[doc + k]] = bytes(raw[a:b])
+            doc = to
         return out
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str, spaces: bool, end_id: int = 0) -> Encoder:
     """One encoder a Python worker."""
-    if path not in _encoders:
+    if (path, end_id) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path, spaces)
-    return _encoders[path]
+        _encoders[path, end_id] = Encoder(path, spaces, end_id)
+    return _encoders[path, end_id]

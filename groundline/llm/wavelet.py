@@ -51,7 +51,7 @@ class WaveletMatrix:
         zeros, planes, ranks = [], [], []
         for k in reversed(range(max(0, len(alphabet) - 1).bit_length())):
             one = ((a >> k) & 1).astype(bool)
-            a = np.concatenate((a[~one], a[one]))
+            a = np.concatenate((np.compress(~one, a), np.compress(one, a)))
             plane = np.packbits(one)
             zeros.append(len(one) - int(np.count_nonzero(one)))
             planes.append(plane)
@@ -64,8 +64,10 @@ class WaveletMatrix:
         for level in reversed(range(self.levels)):
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             w, z = np.empty_like(v), self.zeros[level]
-            w[~one] = v[:z]
-            w[one] = v[z:] | v.dtype.type(1 << (self.levels - 1 - level))
+            if z:
+                np.place(w, ~one, v[:z])
+            if z < self.n:
+                np.place(w, one, v[z:] | v.dtype.type(1 << (self.levels - 1 - level)))
             v = w
         return self.alphabet[v] if self.n else np.zeros(0, "<u4")
 
@@ -193,8 +195,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     tuned(docs.sparkSession)
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(tokenizer, spaces=True), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        enc, part, seq = encoder(tokenizer, True, end_id), TaskContext.get().partitionId(), 0
         ids, blobs, total = [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -203,13 +204,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
             return as_arrow({"shard": [part << 32 | seq], "n_docs": [len(ids)], "n_ids": [total], "file": [file]}, _FILES)
 
         for b in it:
-            for d, x in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist()), strict=True):
-                if ids and total + len(x) // 4 + 1 > shard_ids:
+            for d, x in zip(b.column(0).to_pylist(), enc.ids(b.column(1)), strict=True):
+                if ids and total + len(x) // 4 > shard_ids:
                     yield shard()
                     ids, blobs, total, seq = [], [], 0, seq + 1
                 ids.append(d)
-                blobs.append(x + end)
-                total += len(x) // 4 + 1
+                blobs.append(x)
+                total += len(x) // 4
         if ids:
             yield shard()
 
