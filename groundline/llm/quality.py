@@ -12,11 +12,12 @@ held out of the counts.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,7 @@ SHORT = 3.0
 #: Largest probability table and list of trusted ids that is sent to every executor; beyond it they are joined.
 SEND_ROWS = 1_500_000
 BOS, EOS = "\x02", "\x03"
-_WORDS = 300_000
-_GRAMS = pa.schema([("gram", pa.string()), ("n", pa.int64()), ("trusted", pa.int64())])
+_GRAMS = pa.schema([("gram", pa.string()), ("trusted", pa.int64())])
 
 
 def events(token: str, order: int = ORDER) -> list[str]:
@@ -41,38 +41,78 @@ def events(token: str, order: int = ORDER) -> list[str]:
     return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
+def grams_of(words: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct n-grams of `words`, and per symbol which of them it ends and whose
+    word it is. What `events` gives, for many words at once."""
+    text = "".join([BOS + w + EOS for w in words])
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    kinds = np.flatnonzero(seen)
+    bits = int(len(kinds)).bit_length()
+    at = np.flatnonzero(place > 0)
+    back = np.minimum(place[at], order - 1)
+    if bits * order > 63:  # too many kinds of symbols for one number
+        names: dict[str, int] = {}
+        which = [names.setdefault(text[i - h : i + 1], len(names)) for i, h in zip(at.tolist(), back.tolist(), strict=True)]
+        return list(names), np.array(which, np.int64), owner[at]
+    code = np.zeros(len(seen), np.int64)
+    code[kinds] = np.arange(1, len(kinds) + 1)
+    symbols = code[points]
+    key = symbols[at]
+    for j in range(1, order):
+        key |= np.where(back >= j, symbols[np.maximum(at - j, 0)] << (bits * j), 0)
+    coded = pa.array(key).dictionary_encode()
+    which = coded.indices.to_numpy()
+    first = np.zeros(len(coded.dictionary), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    names = [text[i - h : i + 1] for i, h in zip(at[first].tolist(), back[first].tolist(), strict=True)]
+    return names, which, owner[at]
+
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct tokens of texts; per token of each text which it is, and its text."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+    words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if "" in words:  # what white space at an end leaves
+        on = which != words.index("")
+        which, doc = which[on], doc[on]
+    return words, which, doc
+
+
 def gather(docs: DataFrame, trusted: str, order: int = ORDER) -> DataFrame:
-    """(gram, n, trusted): n-grams of all documents, and their counts in trusted ones.
-    Batches count first; a document's text never moves."""
+    """(gram, c): n-grams of all documents, and their counts in trusted ones.
+    Tasks count first; a document's text never moves."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter = Counter()
-        good: Counter = Counter()
+        grams: dict[str, int] = {}
         for b in it:
-            words, kept = Counter(), Counter()
-            for text, ok in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (kept if ok else words).update((text or "").split())
-            for w, n in kept.items():
-                for g in events(w, order):
-                    good[g] += n
-            for w in words:
-                grams.update(events(w, order))
-            if len(grams) + len(good) > 2_000_000:
-                yield flush(grams, good)
-        yield flush(grams, good)
-
-    def flush(grams: Counter, good: Counter) -> pa.RecordBatch:
-        names = list(good.keys() | grams.keys())
-        out = {"gram": names, "n": [1] * len(names), "trusted": [good[g] for g in names]}
+            words, which, doc = split_words(b.column(0))
+            good = b.column(1).to_numpy(zero_copy_only=False)[doc]
+            times = np.bincount(which[good], minlength=len(words))
+            names, of, owner = grams_of(words, order)
+            sums = np.bincount(of, weights=times[owner], minlength=len(names)).astype(np.int64).tolist()
+            for g, n in zip(names, sums, strict=True):
+                grams[g] = grams.get(g, 0) + n
+            if len(grams) > 1_000_000:
+                yield flush(grams)
+        yield flush(grams)
+
+    def flush(grams: dict[str, int]) -> pa.RecordBatch:
+        out = as_arrow({"gram": list(grams), "trusted": list(grams.values())}, _GRAMS)
         grams.clear()
-        good.clear()
-        return as_arrow(out, _GRAMS)
+        return out
 
     return (
         docs.select("text", F.col(trusted))
-        .mapInArrow(count, "gram string, n long, trusted long")
+        .mapInArrow(count, "gram string, trusted long")
         .groupBy("gram")
-        .agg(F.sum("n").alias("n"), F.sum("trusted").alias("c"))
+        .agg(F.sum("trusted").alias("c"))
     )
 
 
@@ -123,13 +163,19 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return joined.groupBy("gram").agg(F.log(p).alias("logp"))
 
 
-class Scorer:
-    """Log-probability and symbols of texts; remembers tokens."""
+def score_texts(table: dict[str, float], texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability and number of symbols of each text."""
+    words, which, doc = split_words(texts)
+    names, of, owner = grams_of(words, order)
+    logp = np.fromiter(map(table.__getitem__, names), np.float64, len(names))
+    by_word = np.bincount(owner, weights=logp[of], minlength=len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    n = len(texts)
+    sums = lambda x, kind: np.bincount(doc, weights=x[which], minlength=n).astype(kind)  # noqa: E731  integers if empty
+    return sums(by_word, np.float64), sums(size, np.int64)
 
-    def __init__(self, table: dict[str, float], order: int = ORDER):
-        self.table, self.order, self.memory = table, order, {}
 
-    def score(self, text: str | None) -> tuple[float, int]:
+def score(self, text: str | None) -> tuple[float, int]:
         total, size, get = 0.0, 0, self.memory.get
         for w in (text or "").split():
             if (x := get(w)) is None:
@@ -157,12 +203,9 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
         sent = spark.sparkContext.broadcast(dict(zip(got["gram"].to_pylist(), got["logp"].to_pylist(), strict=True)))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(sent.value, order)
             for b in it:
-                logp, size = zip(*(scorer.score(t) for t in b.column(at).to_pylist()), strict=True) if b.num_rows else ((), ())
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(logp, pa.float64()), pa.array(size, pa.int64())], names=[*b.schema.names, "_logp", "_symbols"]
-                )
+                made = [pa.array(x) for x in score_texts(sent.value, b.column(at), order)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "_logp", "_symbols"])
 
         return docs.mapInArrow(run, out)
     blocks = max(1, -(-docs.count() // 5000))
@@ -170,19 +213,19 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            by: dict[int, set] = {}
-            for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(block, set()).update((text or "").split())
-            for block, words in by.items():
-                grams = list({g for w in words for g in events(w, order)})
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string())], names=["_block", "gram"])
+            blocks = b.column(0).to_numpy()
+            for block in np.unique(blocks):
+                words, _, _ = split_words(b.column(1).filter(pa.array(blocks == block)))
+                grams = grams_of(words, order)[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(grams), block, np.int64)), pa.array(grams, pa.string())], names=["_block", "gram"]
+                )
 
     needed = dealt.select("_block", "text").mapInArrow(ask, "_block long, gram string").distinct().join(table, "gram")
 
     def meet(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        scorer = Scorer(dict(zip(t["gram"], t["logp"], strict=True)), order)
-        got = [scorer.score(x) for x in d["text"]]
-        return d.drop(columns="_block").assign(_logp=[x[0] for x in got], _symbols=[x[1] for x in got])
+        logp, size = score_texts(dict(zip(t["gram"], t["logp"], strict=True)), pa.array(d["text"], pa.string()), order)
+        return d.drop(columns="_block").assign(_logp=logp, _symbols=size)
 
     return dealt.groupBy("_block").cogroup(needed.groupBy("_block")).applyInPandas(meet, out)
 

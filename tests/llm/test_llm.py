@@ -191,6 +191,15 @@ def test_op3_probabilities(spark):
     assert abs(sum(math.exp(x) for x in sums.values()) - 1) < 1e-6
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(min_size=1, max_size=12), max_size=6), st.booleans())
+def test_op3_grams_of_many_words(words, wide):
+    words = words + ["".join(map(chr, range(0x4E00, 0x4E00 + 9000)))] * wide
+    names, of, owner = quality.grams_of(words)
+    assert [(names[i], words[o]) for i, o in zip(of, owner)] == [(g, w) for w in words for g in quality.events(w)]
+    assert len(set(names)) == len(names)
+
+
 def test_op3_keeps_trusted_and_rejects_marks(spark, awkward, empty):
     good = [(i, f"the small house number {'abcdefgh'[i % 8]} stands on the green hill by the sea", "en") for i in range(100)]
     bad = [(100 + i, "th### sm&&& hou$$$ nu%%% xq!! zv!! " * 3, "en") for i in range(5)]
