@@ -20,7 +20,7 @@ _ODD = f"[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|[\\x01{_SPACES}]"
 _STOP = "\x01"
 #: Letters, then ASCII marks other than the apostrophe: never one unit for either vocabulary.
 _CUT = re.compile(r"(\r?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
-_LIMIT, _LOT, _WORDS = 1_600_000, 2000, 200_000
+_LIMIT, _LOT, _WORDS = 1_100_000, 2000, 200_000
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
