@@ -20,7 +20,8 @@ _ODD = f"[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|[\\x01{_SPACES}]"
 _STOP = "\x01"
 #: Letters, then ASCII marks other than the apostrophe: never one unit for either vocabulary.
 _CUT = re.compile(r"(\r?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
-_LIMIT, _LOT, _WORDS = 1_100_000, 2000, 200_000
+#: Units a worker remembers, with and without white space in the ids.
+_LIMITS, _LOT, _WORDS = (1_600_000, 900_000), 2000, 200_000
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -47,6 +48,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.limit = _LIMITS[0] if spaces else _LIMITS[1]
         self.spaces = spaces  # whether white space belongs to the ids
         self.end = end_id.to_bytes(4, "little")
         self.between, self.comma = ("\n", "\n") if spaces else (" ^ ", "^")
@@ -77,7 +79,7 @@ class Encoder:
             memory.update(zip(units[i : i + _LOT], self._units(texts[i : i + _LOT]), strict=True))
 
     def _learn(self, units: list[str]) -> None:
-        if len(self.memory) > _LIMIT:
+        if len(self.memory) > self.limit:
             self._reset()
         memory, marks = self.memory, self.marks
         new = [u for u in units if u not in memory]
