@@ -120,8 +120,10 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, logp) of every n-gram in `grams` (gram, c); c is its trusted count.
 
     Lower orders use continuation counts, n-grams that start at the begin mark their
-    counts. Discounts come from counts of counts of each order (a few numbers). An
-    empty model gives the uniform distribution over one symbol: logp 0.
+    counts. Discounts come from counts of counts of each order (a few numbers). Each
+    distinct n-gram and suffix is joined once, and takes its suffix's probability from
+    the order below; a context or a suffix is shared by no more n-grams than there are
+    symbols. An empty model gives the uniform distribution over one symbol: logp 0.
     """
     size, tail, head = F.length("gram"), F.expr("substring(gram, 2)"), F.expr("left(gram, length(gram) - 1)")
     top = Table(grams.where("c > 0").select("gram", "c"), "counts").df
@@ -150,17 +152,30 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     held = Table(counts.withColumn("d", discount), "model").df
     contexts = held.groupBy(head.alias("context")).agg(F.sum("c").alias("total"), F.sum("d").alias("free"))
     symbols = counts.where(size == 1).count() + 1
-    asked = grams.select("gram", F.posexplode(F.transform(F.sequence(F.lit(1), size), lambda i: F.col("gram").substr(i, size))).alias("k", "part"))
+    parts = grams.select(
+        size.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.col("gram").substr(i, size))).alias("part")
+    )
+    parts = parts.groupBy("part").agg(F.max(F.length("part") == F.col("n")).alias("asked"))
     joined = (
-        asked.withColumn("context", F.expr("left(part, length(part) - 1)"))
+        parts.withColumn("context", F.expr("left(part, length(part) - 1)"))
         .join(held.select(F.col("gram").alias("part"), "c", "d"), "part", "left")
         .join(contexts, "context", "left")
     )
     own = F.coalesce((F.col("c") - F.col("d")) / F.col("total"), F.lit(0.0))
     rest = F.coalesce(F.col("free") / F.col("total"), F.lit(1.0))
-    chain = F.sort_array(F.collect_list(F.struct(F.col("k"), own.alias("own"), rest.alias("rest"))), asc=False)
-    p = F.aggregate(chain, F.lit(1.0 / symbols), lambda s, x: x["own"] + x["rest"] * s)
-    return joined.groupBy("gram").agg(F.log(p).alias("logp"))
+    links = Table(joined.select(F.length("part").alias("k"), "part", "asked", own.alias("own"), rest.alias("rest")), "links").df
+    level = links.where("k = 1").withColumn("lower", F.lit(1.0 / symbols))
+    found: list[DataFrame] = []
+    for k in range(1, order + 1):
+        if found:
+            below = found[-1].select(F.col("part").alias("tail"), F.col("p").alias("lower"))
+            level = links.where(F.col("k") == k).withColumn("tail", F.expr("substring(part, 2)")).join(below, "tail")
+        p = F.col("own") + F.col("rest") * F.col("lower")
+        found.append(Table(level.select("part", "asked", p.alias("p")), "level").df)
+    every = found[0]
+    for x in found[1:]:
+        every = every.union(x)
+    return every.where("asked").select(F.col("part").alias("gram"), F.log("p").alias("logp"))
 
 
 def score_texts(table: dict[str, float], texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -175,20 +190,6 @@ def score_texts(table: dict[str, float], texts: pa.Array, order: int = ORDER) ->
     return sums(by_word, np.float64), sums(size, np.int64)
 
 
-def score(self, text: str | None) -> tuple[float, int]:
-        total, size, get = 0.0, 0, self.memory.get
-        for w in (text or "").split():
-            if (x := get(w)) is None:
-                x = sum([self.table[g] for g in events(w, self.order)])
-                if len(w) <= 64:
-                    if len(self.memory) > _WORDS:
-                        self.memory.clear()
-                    self.memory[w] = x
-            total += x
-            size += len(w) + 1
-        return total, size
-
-
 def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send_rows: int = SEND_ROWS) -> DataFrame:
     """All columns of `docs` with _logp and _symbols.
 
