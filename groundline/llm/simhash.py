@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Table, connected_components, tuned
 
 RADIUS, SHINGLE, SEED, SHARD = 3, 3, 42, 30_000
+#: A shard over FULL times SHARD is divided; at most SEND_ROWS such shards are sent to every executor, more are joined.
+FULL, SEND_ROWS = 4, 100_000
 LEAF = 1024
 #: Odd constants spread over 64 bits: vantage points of the upper levels.
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -137,12 +139,23 @@ def _across(p: np.ndarray, q: np.ndarray, radius: int, out: list) -> None:
     _across(p[~pi & (a <= mid + radius)], q[qi & near_q], radius, out)
 
 
+def _joined(out: list) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.uint64) for i in (0, 1))
+
+
 def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links between distinct fingerprints within the radius: all of sparse blocks,
     and in dense ones enough to span their groups."""
     out: list = []
     _within(np.unique(fps), radius, out)
-    return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.uint64) for i in (0, 1))
+    return _joined(out)
+
+
+def near_across(p: np.ndarray, q: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """As near_pairs, between two sets that share no fingerprint."""
+    out: list = []
+    _across(np.unique(p), np.unique(q), radius, out)
+    return _joined(out)
 
 
 def _vantage(level: int) -> int:
@@ -168,12 +181,16 @@ def shards(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFram
     while n * 1.3**levels > shard * 2**levels and levels < 24:
         levels += 1
     code: Column = F.array(F.lit(0).cast("long"))
-    for level in range(levels):
-        far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_vantage(level))))
-        hist = {r["d"]: r["n"] for r in fps.groupBy(far.alias("d")).agg(F.count("*").alias("n")).collect()}  # 65 at most
+    fars = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_vantage(level)))) for level in range(levels)]
+    hist: list[dict[int, int]] = [{} for _ in fars]
+    if fars:
+        dist = fps.select(F.posexplode(F.array(*fars)).alias("level", "d")).groupBy("level", "d").agg(F.count("*").alias("n"))
+        for r in dist.collect():  # 65 a level at most
+            hist[r["level"]][r["d"]] = r["n"]
+    for level, far in enumerate(fars):
         run, mid = 0, 0
-        for mid in sorted(hist):  # noqa: B007
-            run += hist[mid]
+        for mid in sorted(hist[level]):  # noqa: B007
+            run += hist[level][mid]
             if 2 * run >= n:
                 break
         sides = F.when(far > mid, F.array(F.lit(1))).when(far > mid - radius, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -181,14 +198,36 @@ def shards(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFram
     return fps.select(F.explode(code).alias("shard"), "fp")
 
 
+def divided(dealt: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(shard, a, b, own, fp): shards in tasks of bounded size.
+
+    Vantage points don't part fingerprints that lie close together, so one group of near
+    copies can overfill a shard. Such a shard is cut into parts of about `shard` rows,
+    and each two parts (a, b) meet in a task of their own; `own` is a row's part.
+    """
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > FULL * shard)
+    full = Table(sizes.select("shard", F.ceil(F.col("n") / F.lit(shard)).alias("parts")), "full").df
+    n = full.count()
+    if not n:
+        zero = F.lit(0).cast("long")
+        return dealt.select("shard", zero.alias("a"), zero.alias("b"), zero.alias("own"), "fp")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    rows = dealt.join(F.broadcast(full) if n <= SEND_ROWS else full, "shard", "left")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return rows.select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp")
+
+
 def link_fingerprints(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) among distinct fingerprints (fp as signed long)."""
 
     def join(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = near_pairs(g["fp"].to_numpy(np.int64).view(np.uint64), radius)
+        fp, own = g["fp"].to_numpy(np.int64).view(np.uint64), g["own"].to_numpy()
+        first = own == own.min()
+        a, b = near_pairs(fp, radius) if first.all() else near_across(fp[first], fp[~first], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return shards(fps, radius, shard).groupBy("shard").applyInPandas(join, "a long, b long")
+    dealt = divided(shards(fps, radius, shard), shard)
+    return dealt.groupBy("shard", "a", "b").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

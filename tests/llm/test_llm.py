@@ -493,6 +493,11 @@ def test_op10_tree_finds_all(spark, dense):
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     links = [(at[r.a % (1 << 64)], at[r.b % (1 << 64)]) for r in simhash.link_fingerprints(df, shard=200).collect()]
     assert groups(links) == groups(want)
+    if dense:  # close fingerprints overfill shards, which are divided
+        dealt = simhash.divided(simhash.shards(df, shard=10), 10)
+        assert dealt.where("b > 0").count() > 0
+        links = [(at[r.a % (1 << 64)], at[r.b % (1 << 64)]) for r in simhash.link_fingerprints(df, shard=10).collect()]
+        assert groups(links) == groups(want)
 
 
 def test_components(spark):
