@@ -275,12 +275,11 @@ def classify(
     grams = Table(gather(base, "_trusted", order), "grams").df
     table = Table(probabilities(grams, order), "table").df
     rows = table.count()
-    narrow = score(base.select("doc_id", "text", "lang", "_calibrate"), table, rows, order, send_rows).drop("text")
-    narrow = Table(narrow, "scores").df
-    bounds = Table(limits(narrow, margin=margin), "limits").df
+    scored = score(base.drop("_trusted"), table, rows, order, send_rows)
+    scored = Table(scored if keep_text else scored.drop("text"), "scores").df
+    bounds = Table(limits(scored, margin=margin), "limits").df
     named, rest = bounds.where("lang is not null"), bounds.where("lang is null").select(F.col("limit").alias("_rest"))
     rest_limit = (rest.first() or [None])[0]
-    scored = score(base, table, rows, order, send_rows) if keep_text else narrow
     judged = (
         scored.withColumn("_lang", F.coalesce("lang", F.lit("")))
         .join(named.select(F.col("lang").alias("_lang"), F.col("limit").alias("_own")), "_lang", "left")
