@@ -64,10 +64,8 @@ class WaveletMatrix:
         for level in reversed(range(self.levels)):
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             w, z = np.empty_like(v), self.zeros[level]
-            if z:
-                np.place(w, ~one, v[:z])
-            if z < self.n:
-                np.place(w, one, v[z:] | v.dtype.type(1 << (self.levels - 1 - level)))
+            w[np.flatnonzero(~one)] = v[:z]
+            w[np.flatnonzero(one)] = v[z:] | v.dtype.type(1 << (self.levels - 1 - level))
             v = w
         return self.alphabet[v] if self.n else np.zeros(0, "<u4")
 
