@@ -317,7 +317,8 @@ po AS (SELECT doc_id, page_number, coalesce(sum(length(t) + 2) OVER (PARTITION B
 
 
 def _pages(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("p"))
+    last = F.greatest(F.ceil(F.length("text") / 400) - 1, F.lit(0)).cast("int")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("p"))
     return docs.where(F.col("p") * 400 < F.length("text")).select("doc_id", (F.col("p") + 1).alias("page_number"), F.expr("substring(text, p * 400 + 1, 400)").alias("text"))
 
 

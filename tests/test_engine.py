@@ -99,6 +99,16 @@ def test_pages(spark):
     assert {(r.doc_id, r.start): r.page_number for r in S.page_of(spans, off).collect()} == {("d", 4): 1, ("d", 5): 1, ("d", 8): 2, ("e", 0): 1}
 
 
+def test_chunk_pages_of_long_texts(spark, tmp_path):
+    docs = [(1, "plain words " * 4000), (2, ""), (3, None), (4, "short")]  # 48,000 characters: 120 pages
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    starts = {(r.doc_id, r.chunk_index): r.start for r in Q.fixed_chunks(spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.chunk_index): r.page_number for r in Q.chunk_pages(spark, str(tmp_path)).collect()}
+    # pages of 400 characters, joined by two: page p holds 402 * (p - 1) to 402 * (p - 1) + 400
+    assert got == {k: s // 402 + 1 if s % 402 <= 400 else 1 for k, s in starts.items()}
+    assert max(got.values()) > 110
+
+
 def test_bm25_by_hand(spark):
     chunks = spark.createDataFrame([(1, "cloud cloud storage"), (2, "storage policy"), (3, "and the")], "doc_id long, text string")
     qs = spark.createDataFrame([(7, "cloud storage cloud"), (8, "zebra"), (9, "the")], "query_id long, question string")
