@@ -1,12 +1,14 @@
 """Operator 3: quality classifier, an interpolated modified Kneser-Ney n-gram model.
 
-The model's symbols are characters; a token between white space is a sequence of its
-own with a begin and an end mark. Counts of the trusted texts are aggregated by n-gram.
-The n-grams that any document asks for are joined, shard by shard, with those counts
-and with the counts of their contexts; the joined chain of orders gives a probability
-an n-gram. A document's perplexity is that of all its tokens' n-grams. It is rejected
-above its language's limit, which is taken from quantiles of trusted texts that were
-held out of the counts.
+The model's symbols are characters; a text is one sequence, its runs of white space
+taken as one space, with a begin and an end mark, so n-grams run across tokens. Counts
+of the trusted texts are aggregated by n-gram. The n-grams that any document asks for
+are joined, shard by shard, with those counts and with the counts of their contexts;
+the joined chain of orders gives a probability an n-gram. A document's perplexity is
+that of all its n-grams. What n-grams of five symbols can't see, the same words over and
+over, is measured within the document (`repeats`). It is rejected if either is above its
+language's limit, which is taken from quantiles of trusted texts that were held out of
+the counts.
 """
 
 from __future__ import annotations
@@ -26,11 +28,15 @@ from .common import Table, as_arrow, tuned
 
 #: Order; the limit is quantile HIGH plus MARGIN times its distance from quantile MID,
 #: LEAST at least, in nats a symbol. One trusted document in HOLD sets limits only.
-ORDER, MID, HIGH, MARGIN, LEAST, HOLD = 5, 0.5, 0.99, 1.0, 0.15, 4
+ORDER, MID, HIGH, MARGIN, LEAST, HOLD = 5, 0.5, 0.99, 0.5, 0.05, 4
 #: Short texts vary: a text of n symbols is allowed SHORT / sqrt(n) more.
-SHORT = 3.0
+SHORT = 2.0
 #: Largest probability table and list of trusted ids that is sent to every executor; beyond it they are joined.
 SEND_ROWS = 1_500_000
+#: Repeats: the limit is REPEAT_MARGIN times quantile HIGH, REPEAT_LEAST at least; a text counts as REPEAT_MORE tokens longer.
+REPEAT_MARGIN, REPEAT_LEAST, REPEAT_MORE = 2.0, 0.01, 20
+#: Symbols whose n-grams are numbered at once; longer texts go on in the next piece.
+PIECE = 1 << 20
 BOS, EOS = "\x02", "\x03"
 _GRAMS = pa.schema([("gram", pa.string()), ("trusted", pa.int64())])
 
@@ -44,16 +50,21 @@ def events(token: str, order: int = ORDER) -> list[str]:
 def grams_of(words: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct n-grams of `words`, and per symbol which of them it ends and whose
     word it is. What `events` gives, for many words at once."""
-    text = "".join([BOS + w + EOS for w in words])
+    return _numbered([BOS + w + EOS for w in words], np.ones(len(words), np.int64), order)
+
+
+def _numbered(pieces: list[str], skip: np.ndarray, order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The n-grams that end in each piece after its first `skip` symbols."""
+    text = "".join(pieces)
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     seen = np.zeros(int(points.max(initial=0)) + 1, bool)
     seen[points] = True
     kinds = np.flatnonzero(seen)
     bits = int(len(kinds)).bit_length()
-    at = np.flatnonzero(place > 0)
+    at = np.flatnonzero(place >= np.repeat(skip, sizes))
     back = np.minimum(place[at], order - 1)
     if bits * order > 63:  # too many kinds of symbols for one number
         names: dict[str, int] = {}
@@ -73,6 +84,56 @@ def grams_of(words: list[str], order: int = ORDER) -> tuple[list[str], np.ndarra
     return names, which, owner[at]
 
 
+def grams_of_texts(texts: list[str], order: int = ORDER, piece: int = PIECE) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """As grams_of, for texts and in turns of about `piece` symbols. A longer text is
+    taken in pieces that each begin with the history of their first symbol, so none of
+    its n-grams is lost or counted twice."""
+    pieces, skip, owner, size = [], [], [], 0
+
+    def turn() -> tuple[list[str], np.ndarray, np.ndarray]:
+        names, which, at = _numbered(pieces, np.array(skip, np.int64), order)
+        return names, which, np.array(owner, np.int64)[at]
+
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        s = BOS + text + EOS
+        for start in range(1, len(s), piece):
+            back = min(start, order - 1)
+            pieces.append(s[start - back : start + piece])
+            skip.append(back)
+            owner.append(i)
+            size += len(pieces[-1])
+            if size >= piece:
+                yield turn()
+                pieces, skip, owner, size = [], [], [], 0
+    if pieces:
+        yield turn()
+
+
+def plain(texts: pa.Array) -> list[str]:
+    """Texts with one space between tokens; null is empty."""
+    return [" ".join(t.split()) if t else "" for t in texts.to_pylist()]
+
+
+def repeats(texts: pa.Array) -> np.ndarray:
+    """How much a text repeats itself: each pair of neighbouring tokens that came before
+    counts one over its distance from the last time, and the sum is divided by the
+    tokens. Near 1 for one word over and over, 1 / n for a phrase of n words; it does not
+    grow with the length of ordinary text, whose repeats lie far apart."""
+    words, which, doc = split_words(texts)
+    n = len(texts)
+    sizes = np.bincount(doc, minlength=n)
+    if len(which) < 3:
+        return np.zeros(n)
+    at = np.flatnonzero(doc[1:] == doc[:-1])
+    pair = which[at].astype(np.int64) * len(words) + which[at + 1]
+    order = np.lexsort((pair, doc[at]))  # stable: positions rise within a pair
+    pair, own, at = pair[order], doc[at][order], at[order]
+    again = np.flatnonzero((pair[1:] == pair[:-1]) & (own[1:] == own[:-1])) + 1
+    return np.bincount(own[again], weights=1 / (at[again] - at[again - 1]), minlength=n) / (sizes + REPEAT_MORE)
+
+
 def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct tokens of texts; per token of each text which it is, and its text."""
     split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -92,15 +153,13 @@ def gather(docs: DataFrame, trusted: str, order: int = ORDER) -> DataFrame:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, int] = {}
         for b in it:
-            words, which, doc = split_words(b.column(0))
-            good = b.column(1).to_numpy(zero_copy_only=False)[doc]
-            times = np.bincount(which[good], minlength=len(words))
-            names, of, owner = grams_of(words, order)
-            sums = np.bincount(of, weights=times[owner], minlength=len(names)).astype(np.int64).tolist()
-            for g, n in zip(names, sums, strict=True):
-                grams[g] = grams.get(g, 0) + n
-            if len(grams) > 1_000_000:
-                yield flush(grams)
+            good = b.column(1).to_numpy(zero_copy_only=False)
+            for names, of, owner in grams_of_texts(plain(b.column(0)), order):
+                sums = np.bincount(of[good[owner]], minlength=len(names)).tolist()
+                for g, n in zip(names, sums, strict=True):
+                    grams[g] = grams.get(g, 0) + n
+                if len(grams) > 1_000_000:
+                    yield flush(grams)
         yield flush(grams)
 
     def flush(grams: dict[str, int]) -> pa.RecordBatch:
@@ -178,27 +237,26 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return every.where("asked").select(F.col("part").alias("gram"), F.log("p").alias("logp"))
 
 
-def score_texts(table: dict[str, float], texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability and number of symbols of each text."""
-    words, which, doc = split_words(texts)
-    names, of, owner = grams_of(words, order)
-    logp = np.fromiter(map(table.__getitem__, names), np.float64, len(names))
-    by_word = np.bincount(owner, weights=logp[of], minlength=len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+def score_texts(table: dict[str, float], texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability, number of symbols and repeats of each text."""
     n = len(texts)
-    sums = lambda x, kind: np.bincount(doc, weights=x[which], minlength=n).astype(kind)  # noqa: E731  integers if empty
-    return sums(by_word, np.float64), sums(size, np.int64)
+    total, size = np.zeros(n), np.zeros(n, np.int64)
+    for names, of, owner in grams_of_texts(plain(texts), order):
+        logp = np.fromiter(map(table.__getitem__, names), np.float64, len(names))
+        total += np.bincount(owner, weights=logp[of], minlength=n)
+        size += np.bincount(owner, minlength=n)
+    return total, size, repeats(texts)
 
 
 def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send_rows: int = SEND_ROWS) -> DataFrame:
-    """All columns of `docs` with _logp and _symbols.
+    """All columns of `docs` with _logp, _symbols and _repeats.
 
     A table of at most `send_rows` rows goes to every executor. A larger one is cut by
     blocks of documents: a block's distinct n-grams are joined with the table and meet
     its texts in one group."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
-    out = T.StructType([*docs.schema, T.StructField("_logp", T.DoubleType()), T.StructField("_symbols", T.LongType())])
+    out = T.StructType([*docs.schema, T.StructField("_logp", T.DoubleType()), T.StructField("_symbols", T.LongType()), T.StructField("_repeats", T.DoubleType())])
     if rows <= send_rows:
         got = table.toArrow()
         sent = spark.sparkContext.broadcast(dict(zip(got["gram"].to_pylist(), got["logp"].to_pylist(), strict=True)))
@@ -206,7 +264,7 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 made = [pa.array(x) for x in score_texts(sent.value, b.column(at), order)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "_logp", "_symbols"])
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "_logp", "_symbols", "_repeats"])
 
         return docs.mapInArrow(run, out)
     blocks = max(1, -(-docs.count() // 5000))
@@ -216,17 +274,16 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
         for b in it:
             blocks = b.column(0).to_numpy()
             for block in np.unique(blocks):
-                words, _, _ = split_words(b.column(1).filter(pa.array(blocks == block)))
-                grams = grams_of(words, order)[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(grams), block, np.int64)), pa.array(grams, pa.string())], names=["_block", "gram"]
-                )
+                for grams, _, _ in grams_of_texts(plain(b.column(1).filter(pa.array(blocks == block))), order):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(grams), block, np.int64)), pa.array(grams, pa.string())], names=["_block", "gram"]
+                    )
 
     needed = dealt.select("_block", "text").mapInArrow(ask, "_block long, gram string").distinct().join(table, "gram")
 
     def meet(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        logp, size = score_texts(dict(zip(t["gram"], t["logp"], strict=True)), pa.array(d["text"], pa.string()), order)
-        return d.drop(columns="_block").assign(_logp=logp, _symbols=size)
+        logp, size, again = score_texts(dict(zip(t["gram"], t["logp"], strict=True)), pa.array(d["text"], pa.string()), order)
+        return d.drop(columns="_block").assign(_logp=logp, _symbols=size, _repeats=again)
 
     return dealt.groupBy("_block").cogroup(needed.groupBy("_block")).applyInPandas(meet, out)
 
@@ -247,22 +304,26 @@ def with_trust(docs: DataFrame, trusted_ids: DataFrame, send_rows: int = SEND_RO
 
 
 def limits(scored: DataFrame, mid: float = MID, high: float = HIGH, margin: float = MARGIN, short: float = SHORT) -> DataFrame:
-    """(lang, limit) from the held-out trusted rows of `scored` (lang, _calibrate, _logp,
-    _symbols); the row of null lang is the limit of languages without such text."""
+    """(lang, limit, most) from the held-out trusted rows of `scored` (lang, _calibrate,
+    _logp, _symbols, _repeats), limits of loss and repeats; the row of null lang has those
+    of languages without such text."""
     loss = -F.col("_logp") / F.greatest("_symbols", F.lit(1)) - F.lit(short) / F.sqrt(F.greatest("_symbols", F.lit(1)))
-    good = scored.where("_calibrate and _symbols > 0").select(F.coalesce("lang", F.lit("")).alias("lang"), loss.alias("loss"))
+    good = scored.where("_calibrate and _symbols > 0").select(F.coalesce("lang", F.lit("")).alias("lang"), loss.alias("loss"), "_repeats")
     q = F.percentile_approx("loss", F.array(F.lit(mid), F.lit(high)), 10_000)
     limit = F.col("q")[1] + F.greatest(F.lit(LEAST), margin * (F.col("q")[1] - F.col("q")[0]))
-    each = good.groupBy("lang").agg(q.alias("q"))
-    every = good.agg(q.alias("q")).select(F.lit(None).cast("string").alias("lang"), "q")
-    return each.union(every).select("lang", limit.alias("limit"))
+    r = F.percentile_approx("_repeats", high, 10_000)
+    most = F.when(F.col("r").isNotNull(), F.greatest(F.lit(REPEAT_LEAST), REPEAT_MARGIN * F.col("r")))
+    each = good.groupBy("lang").agg(q.alias("q"), r.alias("r"))
+    every = good.agg(q.alias("q"), r.alias("r")).select(F.lit(None).cast("string").alias("lang"), "q", "r")
+    return each.union(every).select("lang", limit.alias("limit"), most.alias("most"))
 
 
 def classify(
     docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, margin: float = MARGIN, send_rows: int = SEND_ROWS, keep_text: bool = False
 ) -> DataFrame:
     """doc_id, lang, perplexity, limit (a perplexity) and kept; with `keep_text` all
-    columns of `docs` and kept.
+    columns of `docs` and kept. Kept are texts within the limit of perplexity and within
+    that of repeats, which has no column.
 
     Trusted are rows whose doc_id is in `trusted_ids`. Null, empty and blank texts have
     nothing to judge: perplexity null, kept false. Documents with no language, or one
@@ -278,15 +339,16 @@ def classify(
     scored = score(base.drop("_trusted"), table, rows, order, send_rows)
     scored = Table(scored if keep_text else scored.drop("text"), "scores").df
     bounds = Table(limits(scored, margin=margin), "limits").df
-    named, rest = bounds.where("lang is not null"), bounds.where("lang is null").select(F.col("limit").alias("_rest"))
-    rest_limit = (rest.first() or [None])[0]
+    named, rest = bounds.where("lang is not null"), bounds.where("lang is null").select(F.col("limit").alias("_rest"), "most")
+    rest_limit, rest_most = rest.first() or [None, None]
     judged = (
         scored.withColumn("_lang", F.coalesce("lang", F.lit("")))
-        .join(named.select(F.col("lang").alias("_lang"), F.col("limit").alias("_own")), "_lang", "left")
+        .join(named.select(F.col("lang").alias("_lang"), F.col("limit").alias("_own"), F.col("most").alias("_most")), "_lang", "left")
         .withColumn("_limit", F.coalesce("_own", F.lit(rest_limit)) + F.lit(SHORT) / F.sqrt(F.greatest("_symbols", F.lit(1))))
         .withColumn("_loss", F.when(F.col("_symbols") > 0, -F.col("_logp") / F.greatest("_symbols", F.lit(1))))
     )
-    kept = F.coalesce(F.col("_loss") <= F.coalesce("_limit", F.lit(math.inf)), F.lit(False)).alias("kept")
+    usual = F.col("_repeats") <= F.coalesce("_most", F.lit(rest_most), F.lit(math.inf))
+    kept = F.coalesce((F.col("_loss") <= F.coalesce("_limit", F.lit(math.inf))) & usual, F.lit(False)).alias("kept")
     if keep_text:
         return judged.select(*docs.columns, kept)
     return judged.select("doc_id", "lang", F.exp("_loss").alias("perplexity"), F.exp("_limit").alias("limit"), kept)
