@@ -35,13 +35,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, item = encoder(tokenizer, False, end_id), TaskContext.get().partitionId() << 40
         for b in it:
-            out: dict[str, list] = {f.name: [] for f in _PIECES}
-            for d, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1)), strict=True):
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for name, x in zip(out, (item, d, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            ids, ends = enc.flat(b.column(1))
+            raw, out, begin = memoryview(ids).cast("B"), {f.name: [] for f in _PIECES}, 0
+            for d, end in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
+                for k, at in enumerate(range(begin, end, capacity)):
+                    to = min(at + capacity, end)
+                    for name, x in zip(out, (item, d, k, at - begin, to - at, zlib.crc32(raw[4 * at : 4 * to])), strict=True):
                         out[name].append(x)
                     item += 1
+                begin = end
             yield as_arrow(out, _PIECES)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(

@@ -194,22 +194,29 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(tokenizer, True, end_id), TaskContext.get().partitionId(), 0
-        ids, blobs, total = [], [], 0
+        names, lengths, parts, total = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in blobs]
-            file = pack(ids, lengths, np.frombuffer(b"".join(blobs), "<u4"))
-            return as_arrow({"shard": [part << 32 | seq], "n_docs": [len(ids)], "n_ids": [total], "file": [file]}, _FILES)
+            file = pack(names, lengths, np.concatenate(parts))
+            return as_arrow({"shard": [part << 32 | seq], "n_docs": [len(names)], "n_ids": [total], "file": [file]}, _FILES)
 
         for b in it:
-            for d, x in zip(b.column(0).to_pylist(), enc.ids(b.column(1)), strict=True):
-                if ids and total + len(x) // 4 > shard_ids:
+            ids, ends = enc.flat(b.column(1))
+            docs, at = b.column(0).to_pylist(), 0
+            while at < len(docs):  # as many documents as the shard still takes, one at least
+                base = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, base + shard_ids - total, "right"))
+                if to <= at and names:
                     yield shard()
-                    ids, blobs, total, seq = [], [], 0, seq + 1
-                ids.append(d)
-                blobs.append(x)
-                total += len(x) // 4
-        if ids:
+                    names, lengths, parts, total, seq = [], [], [], 0, seq + 1
+                    continue
+                to = max(to, at + 1)
+                names += docs[at:to]
+                lengths += np.diff(ends[at:to], prepend=base).tolist()
+                parts.append(ids[base : ends[to - 1]])
+                total += int(ends[to - 1]) - base
+                at = to
+        if names:
             yield shard()
 
     (

@@ -1,5 +1,6 @@
 """Each operator against brute force, exact round trips, and awkward tables."""
 
+import functools
 import hashlib
 import math
 import zlib
@@ -51,16 +52,45 @@ def rows(df):
 
 
 # tokens and operator 1
+def _equal_whole(name, texts):
+    """What the encoder gives against the library's plain call on each whole text."""
+    ids, ends = _encoder(name).flat(pa.array(texts, pa.string()))
+    got = [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    assert got == [_ids(t, name).tolist() for t in texts]
+
+
+MIXED = "ab^\x01\x00\r Z'.,!9\n\té日́\x85İẛfiШ²=<|~"
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab^\x01\x00\r Z'.,!9\n\té日́\x85", max_size=30), max_size=8))
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=MIXED, max_size=30)), max_size=8))
 def test_units_equal_whole_texts(texts):
-    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        enc = _ENC.setdefault(name, Encoder(vocabulary(name), spaces))
-        whole = [np.array([*x.ids, 0], "<u4").tobytes() for x in enc.tok.encode_batch(texts, add_special_tokens=False)]
-        assert enc.ids(pa.array(texts, pa.string())) == whole
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        _equal_whole(name, texts)
+
+
+def test_letters_beside_marks_and_added_tokens():
+    import unicodedata
+
+    letters = [chr(c) for c in (*range(0x3400), *range(0xA000, 0x12000, 3)) if unicodedata.category(chr(c))[0] in "LMN"]
+    rng = np.random.default_rng(4)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        for i in range(0, len(letters), 4000):
+            some = letters[i : i + 4000]
+            _equal_whole(name, [f"{c}. x{c}, {c}{rng.choice(some)}! BEL{c}," for c in some])
+        _equal_whole(name, ["İ.", "BELİ, x", "hello <|endoftext|> world", "a<|startoftext|>b", "<|endoftext|>", None, ""])
 
 
-_ENC: dict = {}
+def test_units_come_back_from_the_older_generation(monkeypatch):
+    from groundline.llm import tokens
+
+    monkeypatch.setattr(tokens, "_LIMIT", 40)
+    rng = np.random.default_rng(6)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = Encoder(vocabulary(name), name.startswith("byte"))
+        for _ in range(20):
+            texts = [" ".join(f"w{chr(97 + int(k) % 26)}{chr(65 + int(k) % 13)}," for k in rng.integers(0, 99, 30)) for _ in range(4)]
+            assert enc.flat(pa.array(texts))[0].tolist() == [x for t in texts for x in _ids(t, name).tolist()]
 
 
 @settings(max_examples=60, deadline=None)
@@ -78,12 +108,20 @@ def test_wavelet_matrix(ids):
         assert m.access(i) == ids[i]
 
 
-def _ids(text, name="byte_bpe_50k.json"):
+@functools.cache
+def _tokenizer(name):
     from tokenizers import Tokenizer
 
-    tok = _ENC.setdefault(f"plain-{name}", Tokenizer.from_file(vocabulary(name)))
-    tok.encode_special_tokens = True
-    return np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return Tokenizer.from_file(vocabulary(name))
+
+
+@functools.cache
+def _encoder(name):
+    return Encoder(vocabulary(name), name.startswith("byte"))
+
+
+def _ids(text, name="byte_bpe_50k.json"):
+    return np.array([*_tokenizer(name).encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def _expect_files(docs):
