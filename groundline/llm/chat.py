@@ -1,9 +1,10 @@
 """Operator 4: chat formatting by schema fingerprints. DataFrame functions only.
 
 A layout is declared once: its nested field paths, and how they become turns. The paths
-of a table, or of each JSON record, that any layout knows are hashed; the hash selects
-the mapping. Turns are then written with a template that marks turns and escapes
-control strings, in segments of bounded length that one task can hold.
+of each record that any layout knows are hashed in the plan; the hash selects the
+record's mapping. A fingerprint that no layout has is told, never half read. Turns are
+then written with a template that marks turns and escapes control strings, in segments
+of bounded length that one task can hold.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 SEGMENT = 64  # turn numbers a segment spans
+IDS = {"conv_id", "turn"}  # columns that tell rows apart and are no part of a fingerprint
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class Layout:
         if self.items:
             field, role, text = self.items
             return tuple(sorted((field, f"{field}[].{role}", f"{field}[].{text}")))
-        return tuple(sorted(self.rows or (f for _, f in self.turns)))
+        return tuple(sorted(set(self.rows) - IDS or (f for _, f in self.turns)))
 
 
 LAYOUTS = (
@@ -70,24 +72,30 @@ def _hash(paths: list[str] | tuple[str, ...] | Column) -> Column:
 
 
 def layout_of(schema: T.StructType) -> Layout:
-    """The layout whose paths are those of `schema` that any layout knows; else, with
-    clashing extra columns, the one with most paths that `schema` holds in full."""
+    """The layout whose paths are all those of `schema` that any layout knows. A table
+    with the four columns of turn rows is that, whatever other columns it has; any other
+    table with known fields that no one layout has together is an error, since a mapping
+    would leave some of them out."""
     paths = field_paths(schema)
+    if set(LAYOUTS[0].rows) <= paths:
+        return LAYOUTS[0]
     known = tuple(p for p in _KNOWN if p in paths)
     for x in LAYOUTS:
         if x.paths == known:
             return x
-    if within := [x for x in LAYOUTS if set(x.paths) <= paths]:
-        return max(within, key=lambda x: len(x.paths))
-    raise ValueError(f"no layout fits the fields {sorted(paths)}")
+    raise ValueError(f"no layout has just the fields {list(known)} of {sorted(paths)}")
 
 
 def _role(c: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[c], c, F.lit(""))
 
 
-def _items(items: Column, role: str, text: str) -> Column:
-    return F.transform(items, lambda m: F.struct(_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+def _items(x: Layout, items: Column) -> Column:
+    """The turns of an array of messages. Speakers' names become roles in the layout
+    that has them; a layout with roles keeps them as they are."""
+    _, role, text = x.items
+    say = _role if role == "from" else (lambda c: F.coalesce(c, F.lit("")))
+    return F.transform(items, lambda m: F.struct(say(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
 
 
 def _turns(x: Layout, text) -> Column:
@@ -98,7 +106,8 @@ def _turns(x: Layout, text) -> Column:
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a table in any declared layout. A turn whose field
-    is null is left out of field layouts; in rows of turns null text is empty text."""
+    is null is left out of field layouts; in rows of turns null text is empty text. An
+    empty table gives an empty one."""
     x = layout_of(df.schema)
     if x.rows:
         return df.select(
@@ -108,51 +117,69 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
             F.coalesce("text", F.lit("")).alias("text"),
         )
     if x.items:
-        field, role, text = x.items
-        made = _items(F.col(field), role, text)
+        made = _items(x, F.col(x.items[0]))
     else:
         made = _turns(x, lambda f: F.col(f).cast("string"))
     rows = df.select(F.col(id_col).cast("long").alias("conv_id"), F.posexplode(made).alias("turn", "t"))
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
+def as_record(layout: str, role: Column, text: Column) -> Column:
+    """One turn as a JSON record of a declared layout of messages or of turn rows."""
+    x = next(x for x in LAYOUTS if x.name == layout)
+    if x.rows:
+        return F.to_json(F.struct(role.alias("role"), text.alias("text")))
+    field, r, t = x.items
+    return F.to_json(F.struct(F.array(F.struct(role.alias(r), text.alias(t))).alias(field)))
+
+
 def _prefixed(names: Column, lead: Column) -> Column:
     return F.transform(names, lambda k: F.concat(lead, k))
 
 
 def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of one JSON record's field paths."""
-    paths = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """The fingerprint of one JSON record's field paths, those of every element included."""
+    none = F.array().cast("array<string>")
+    paths = F.coalesce(F.json_object_keys(record), none)
     for x in LAYOUTS:
         if x.items:
-            inner = F.json_object_keys(F.get_json_object(record, f"$.{x.items[0]}[0]"))
-            lead = F.lit(f"{x.items[0]}[].")
-            paths = F.concat(paths, F.coalesce(_prefixed(inner, lead), F.array().cast("array<string>")))
+            inner = F.from_json(F.get_json_object(record, f"$.{x.items[0]}"), "array<map<string,string>>")
+            keys = F.flatten(F.transform(F.filter(inner, lambda m: m.isNotNull()), F.map_keys))
+            paths = F.concat(paths, F.coalesce(_prefixed(keys, F.lit(f"{x.items[0]}[].")), none))
     known = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, _KNOWN))))
     return _hash(F.array_join(known, "\n"))
 
 
-def canonical_records(df: DataFrame, record_col: str = "record", id_col: str = "conv_id") -> DataFrame:
+def canonical_records(df: DataFrame, record_col: str = "record", id_col: str = "conv_id", turn_col: str | None = None) -> DataFrame:
     """(conv_id, turn, role, text, layout) of JSON records of mixed layouts in one table.
 
-    A record whose fingerprint no layout has gives one row with null turn and layout, so
-    that nothing is lost silently."""
-    record, mark = F.col(record_col), record_fingerprint(F.col(record_col))
+    The hash of a record's paths chooses its mapping. A record whose fingerprint no
+    layout has, or that holds no turn, gives one row with null turn, role and text, so
+    that nothing is lost silently; an unknown one has null layout. Null messages are
+    empty turns. Turns are numbered from 0 in a record, or from `turn_col` on, if given;
+    a null there stays null. An empty table gives an empty one."""
+    mark = record_fingerprint(F.col(record_col))
+    rows = df.select(
+        F.col(id_col).cast("long").alias("conv_id"),
+        (F.col(turn_col) if turn_col else F.lit(0)).cast("long").alias("base"),
+        F.col(record_col).alias("record"),
+        mark.alias("mark"),
+    )
     kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
-    made, name = F.lit(None).cast(kind), F.lit(None).cast("string")
+    record, made, name = F.col("record"), F.lit(None).cast(kind), F.lit(None).cast("string")
     for x in LAYOUTS:
+        get = lambda f: F.get_json_object(record, f"$.{f}")
         if x.rows:
-            continue
-        if x.items:
+            turns = F.array(F.struct(F.coalesce(get("role"), F.lit("")).alias("role"), F.coalesce(get("text"), F.lit("")).alias("text")))
+        elif x.items:
             field, role, text = x.items
-            parsed = F.from_json(F.get_json_object(record, f"$.{field}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = _items(parsed, role, text)
+            turns = _items(x, F.from_json(get(field), f"array<struct<`{role}`:string,`{text}`:string>>"))
         else:
-            turns = _turns(x, lambda f: F.get_json_object(record, f"$.{f}"))
-        fits = mark == _hash(x.paths)
+            turns = _turns(x, get)
+        fits = F.col("mark") == _hash(x.paths)
         made, name = F.when(fits, turns.cast(kind)).otherwise(made), F.when(fits, F.lit(x.name)).otherwise(name)
-    rows = df.select(F.col(id_col).cast("long").alias("conv_id"), name.alias("layout"), F.posexplode_outer(made).alias("turn", "t"))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text", "layout")
+    out = rows.select("conv_id", "base", name.alias("layout"), F.posexplode_outer(made).alias("at", "t"))
+    return out.select("conv_id", (F.col("base") + F.col("at")).alias("turn"), "t.role", "t.text", "layout")
 
 
 def escape(c: Column) -> Column:

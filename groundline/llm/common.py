@@ -7,7 +7,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="groundline-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -78,21 +79,17 @@ def as_arrow(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-def batches(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[list]]:
-    """Columns of each batch as Python lists."""
-    for b in it:
-        yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest
     node reachable.
 
     Alternating large-star and small-star rounds: each round is two shuffles on node
     ids, the number of rounds grows with the logarithm of a component's diameter.
     Each round's edges are written to the shared folder and the one before removed;
-    nothing but a count and a checksum reaches the driver. Self-loops are kept as
-    nodes of their own; nulls are dropped. Empty input gives an empty result.
+    nothing but a count and a checksum reaches the driver. The least neighbours are
+    written before they are joined, so both sides of that join are plain shuffles and a
+    hub's rows can be dealt to several tasks. Self-loops are kept as nodes of their own;
+    nulls are dropped. Empty input gives an empty result.
     """
     seen = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     now = Table(
@@ -100,13 +97,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     loops = seen.where("a = b").select(F.col("a").alias("node")).distinct()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         e = now.df
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = Table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = (
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-            .join(least, "u")
+            .join(least.df, "u")
             .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .distinct()
         )
@@ -121,12 +118,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         then = Table(small, "edges")
         got = then.df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         now.drop()
+        least.drop()
         now = then
         if tuple(got) == mark:
             break
         mark = tuple(got)
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     e = now.df
     found = e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         e.select("lo", "lo").distinct()

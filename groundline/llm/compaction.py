@@ -1,17 +1,18 @@
 """Operator 5: size-tiered compaction of shards. DataFrame functions only.
 
 An arrival is appended as small files that never change. Files of similar size are
-merged, `fan_in` or more at a time, into files of up to `target` bytes; each merge
-reads its files in one task and moves nothing between executors. The live files are
-what the newest manifest names; a manifest is put in place by one rename that fails if
-another writer was first.
+merged, `fan_in` or more at a time, into files of up to `target` bytes; the merges of a
+pass are one job, each reads its files in one task and moves nothing between executors.
+The live files are what the newest manifest names; a manifest is put in place by one
+rename that fails if another writer was first, and that writer's work is then planned
+upon anew. Files stay until no version that is kept names them.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from .common import fs_path, prepare, remove
 
 TARGET, FAN_IN, ARRIVAL_ROWS = 128 << 20, 4, 2000
+#: Merges in a job, versions that stay readable.
+LOT, KEEP = 256, 2
 
 
 @dataclass(frozen=True)
@@ -107,40 +110,71 @@ class ShardStore:
     def _new(self, kind: str) -> str:
         return f"data/{kind}-{self.spark._jvm.java.util.UUID.randomUUID()}"
 
+    def _try_commit(self, name: str, change: Callable[[list[Shard]], list[Shard] | None]) -> int:
+        """Commit `change` of the live shards, again after other writers' commits; None
+        means that it can't be made any more, and folder `name` is removed."""
+        while True:
+            seen, live = self.manifest()
+            if (shards := change(live)) is None:
+                remove(self.spark, f"{self.root}/{name}")
+                return seen
+            try:
+                return self.commit(seen, shards)
+            except FileExistsError:
+                continue
+
     def append(self, arrivals: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
-        """Write arrivals as shards of at most `rows` rows, where they are; commit them."""
-        seen, live = self.manifest()
+        """Write arrivals as shards of at most `rows` rows, where they are; commit them.
+        Columns are taken by name; a ValueError if names or types aren't the store's."""
+        self.manifest()
         if self.schema is None:
             self.schema = arrivals.schema
+        kinds = lambda schema: sorted((f.name, f.dataType.simpleString()) for f in schema)
+        if kinds(arrivals.schema) != kinds(self.schema):
+            raise ValueError(f"arrivals have {arrivals.schema.simpleString()}, the store {self.schema.simpleString()}")
         name = self._new("arrival")
-        arrivals.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(f"{self.root}/{name}")
-        return self.commit(seen, live + self._list(name))
-
-    def compact(self, target: int = TARGET, fan_in: int = FAN_IN, threads: int = 6) -> int:
-        """Merge tier by tier until no run is left; each pass is one commit."""
+        (
+            arrivals.select(*(arrivals[f"`{f.name}`"] for f in self.schema))
+            .write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(f"{self.root}/{name}")
+        )
+        return self._try_commit(name, lambda live: live + self._list(name))
+
+    def compact(self, target: int = TARGET, fan_in: int = FAN_IN, keep: int = KEEP) -> int:
+        """Merge tier by tier until no run is left; a pass is a job for each LOT of runs,
+        and a commit each."""
         while True:
             seen, live = self.manifest()
             runs = plan_merges(live, target, fan_in)
             if not runs:
                 return seen
-
-            def merge(run: list[Shard]) -> list[Shard]:
-                name = self._new("merged")
-                paths = [f"{self.root}/{s.path}" for s in run]
-                df = self.spark.read.schema(self.schema).parquet(*paths).coalesce(1)
-                df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
-                return self._list(name)
-
-            with ThreadPoolExecutor(threads) as pool:
-                merged = [s for got in pool.map(merge, runs) for s in got]
-            gone = {s.path for r in runs for s in r}
-            self.commit(seen, [s for s in live if s.path not in gone] + merged)
-            for path in gone:
-                remove(self.spark, f"{self.root}/{path}")
+            for i in range(0, len(runs), LOT):
+                some, name = runs[i : i + LOT], self._new("merged")
+                parts = [self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{s.path}" for s in run)).coalesce(1) for run in some]
+                whole = parts[0]
+                for part in parts[1:]:  # a union keeps its inputs' partitions: one file a run
+                    whole = whole.union(part)
+                whole.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+                gone, merged = {s.path for run in some for s in run}, self._list(name)
+
+                def change(live: list[Shard]) -> list[Shard] | None:
+                    kept = [s for s in live if s.path not in gone]
+                    return kept + merged if len(kept) + len(gone) == len(live) else None
+
+                self._try_commit(name, change)
+                self.expire(keep)
+
+    def expire(self, keep: int = KEEP) -> None:
+        """Remove all versions but the newest `keep`, and then the files that only they name."""
+        old, kept = self.versions()[:-keep], self.versions()[-keep:]
+        named = {s.path for v in kept for s in self.manifest(v)[1]}
+        gone = {s.path for v in old for s in self.manifest(v)[1]} - named
+        for v in old:
+            remove(self.spark, f"{self.root}/manifests/{v:012d}.json")
+        for path in gone:
+            remove(self.spark, f"{self.root}/{path}")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version's shards; files a later merge replaced are gone, so old
-        versions can be read only before the next compaction."""
+        """The rows of a version's shards; the newest by default."""
         _, live = self.manifest(version)
         if not live:
             return self.spark.createDataFrame([], self.schema or T.StructType())

@@ -1,10 +1,10 @@
 """Operator 6: near-duplicate vectors by an epsilon grid order join.
 
 Unit vectors of one label are sorted by grid cells of width epsilon on the leading
-principal dimensions and cut into blocks. Runs of blocks are intervals of the sequence;
-intervals are joined first, then the blocks in them, and a pair is skipped at either
-step when its bounding boxes are further apart than epsilon. Pairs of blocks that
-remain are compared by one product in double precision.
+principal dimensions and cut into blocks. Intervals of the sequence are joined
+recursively: an interval with itself, then the intervals of both, down to blocks, and a
+pair is skipped with all below it when its bounding boxes are further apart than
+epsilon. Pairs of blocks that remain are compared by one product in double precision.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import Table, as_arrow, connected_components, tuned
 from .simhash import _span
 
-COSINE, DIMS, BLOCK, RUN, SAMPLE = 0.93, 4, 1024, 16, 4096
-_BLOCK_DDL = "label long, dim int, block long, run long, lo array<double>, hi array<double>, ids binary, copies binary, rows binary"
+COSINE, DIMS, BLOCK, RUN, SAMPLE = 0.93, 4, 1024, 8, 4096  # RUN: intervals in one of the next level
+_BLOCK_DDL = "label long, dim int, block long, lo array<double>, hi array<double>, ids binary, copies binary, rows binary"
 
 
 def principal(sample: np.ndarray, dims: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def blocks(distinct: DataFrame, cosine: float, dims: int, sample: int, block: in
             return pa.RecordBatch.from_pylist(
                 [
                     {
-                        "label": key[0], "dim": key[1], "block": part | seq, "run": part | seq // RUN,
+                        "label": key[0], "dim": key[1], "block": part | seq,
                         "lo": p.min(0).tolist(), "hi": p.max(0).tolist(), "rows": rows.tobytes(),
                         "ids": np.array([h[1] for h in held], "<i8").tobytes(), "copies": np.array([h[2] for h in held], "<i8").tobytes(),
                     }
@@ -114,7 +114,7 @@ def blocks(distinct: DataFrame, cosine: float, dims: int, sample: int, block: in
 
 
 _BLOCKS = pa.schema(
-    [("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int64()), ("run", pa.int64()), ("lo", pa.list_(pa.float64())),
+    [("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int64()), ("lo", pa.list_(pa.float64())),
      ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("copies", pa.binary()), ("rows", pa.binary())]
 )
 _FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
@@ -131,33 +131,42 @@ def _near(eps: float):
 
 
 def block_pairs(made: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b) of block numbers, a <= b, whose boxes come within epsilon."""
-    box = made.select("label", "dim", "block", "run", "lo", "hi")
-    arrays = lambda c, f: F.array(*(f(F.col(c)[k]) for k in range(DIMS)))
-    runs = box.groupBy("label", "dim", "run").agg(arrays("lo", F.min).alias("lo"), arrays("hi", F.max).alias("hi"))
-    stripe = lambda x: F.floor(x / F.lit(eps))
-
-    def side(df: DataFrame, s: str, cols: list[str]) -> DataFrame:
-        return df.select("label", "dim", *(F.col(c).alias(f"{s}_{c}") for c in cols))
-
-    first = stripe(F.col("lo")[0])
-    a = side(runs.withColumn("first", first), "a", ["run", "lo", "hi", "first"]).withColumn(
-        "stripe", F.explode(F.sequence("a_first", stripe(F.col("a_hi")[0])))
-    )
-    b = side(runs.withColumn("first", first - 1), "b", ["run", "lo", "hi", "first"]).withColumn(
-        "stripe", F.explode(F.sequence("b_first", stripe(F.col("b_hi")[0]) + 1))
-    )
-    met = a.join(b, ["label", "dim", "stripe"]).where(
-        (F.col("a_run") <= F.col("b_run")) & (F.col("stripe") == F.greatest("a_first", "b_first")) & _near(eps)
-    )
-    pairs = met.select("label", "dim", "a_run", "b_run")
-    cols = ["run", "block", "lo", "hi"]
-    return (
-        pairs.join(side(box, "a", cols), ["label", "dim", "a_run"])
-        .join(side(box, "b", cols), ["label", "dim", "b_run"])
-        .where((F.col("a_block") <= F.col("b_block")) & _near(eps))
-        .select(F.col("a_block").alias("a"), F.col("b_block").alias("b"))
-    )
+    """Pairs (a, b) of block numbers, a <= b, whose boxes come within epsilon.
+
+    Blocks are numbered along the sequence; RUN to the power k of them are an interval
+    of level k. The one interval of the top level meets itself; each level's pairs are
+    joined with the intervals below both sides. A level is written, so plans stay small
+    and a lost executor costs one level."""
+    span = made.agg(F.max(F.col("block") % (1 << 33)), F.max(F.shiftright("block", 33))).first()
+    if span[0] is None:
+        return made.select(F.col("block").alias("a"), F.col("block").alias("b"))
+    wide = 1
+    while wide <= span[0]:
+        wide *= RUN
+    at = F.shiftright("block", 33) * wide + F.col("block") % (1 << 33)  # without gaps beyond one partition's
+    box = Table(made.select("label", "dim", "block", at.alias("at"), "lo", "hi"), "boxes").df
+    top = 0
+    while RUN**top <= (span[1] + 1) * wide:
+        top += 1
+    arrays = lambda c, f: F.array(*(f(F.col(c)[k]) for k in range(DIMS))).alias(c)
+
+    def level(k: int) -> DataFrame:
+        node = F.floor(F.col("at") / RUN**k).cast("long").alias("node")
+        return box.groupBy("label", "dim", node).agg(arrays("lo", F.min), arrays("hi", F.max))
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        over = F.floor(F.col("node") / RUN).cast("long").alias(f"{s}_over")
+        return df.select("label", "dim", over, *(F.col(c).alias(f"{s}_{c}") for c in ("node", "lo", "hi")))
+
+    zero = F.lit(0).cast("long")
+    pairs = box.select("label", "dim", zero.alias("a_over"), zero.alias("b_over")).distinct()
+    for k in reversed(range(top)):
+        nodes = level(k)
+        met = pairs.join(side(nodes, "a"), ["label", "dim", "a_over"]).join(side(nodes, "b"), ["label", "dim", "b_over"])
+        met = met.where((F.col("a_node") <= F.col("b_node")) & _near(eps))
+        pairs = Table(met.select("label", "dim", F.col("a_node").alias("a_over"), F.col("b_node").alias("b_over")), "level").df
+    names = lambda s: box.select("label", "dim", F.col("at").alias(f"{s}_over"), F.col("block").alias(s))
+    return pairs.join(names("a"), ["label", "dim", "a_over"]).join(names("b"), ["label", "dim", "b_over"]).select("a", "b")
 
 
 def compare(a, b, same: bool, cosine: float) -> list[tuple]:

@@ -15,14 +15,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_arrow, tuned
 
-#: The fitted model's bounds: documents a language, languages, words and n-grams of a length a language.
-FIT_DOCS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 5000, 64, 20_000, 5_000, 4
+#: Documents a language that the model is fitted on, and its longest n-grams.
+FIT_DOCS, LONGEST = 1000, 4
 UNKNOWN, EVIDENCE = "und", 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MEMORY = 400_000
@@ -49,14 +48,14 @@ class Model:
     @classmethod
     def of(cls, langs: list[str], counts: list[dict[str, np.ndarray]]) -> "Model":
         """counts: per kind unit -> counts by language; add-half smoothing."""
-        units, rows = [], [np.zeros((0, len(langs)))]
+        units, rows = [], [np.zeros((0, len(langs)), np.float32)]
         start = 0
         for kind in counts:
             units.append({u: start + i for i, u in enumerate(kind)})
             start += len(kind)
             if kind:
                 c = np.stack(list(kind.values())).astype(np.float64)
-                rows.append(np.log((c + 0.5) / (c.sum(0) + 0.5 * (len(c) + 1))))
+                rows.append(np.log((c + 0.5) / (c.sum(0) + 0.5 * (len(c) + 1))).astype(np.float32))
         return cls(langs, units, np.concatenate(rows))
 
     def word(self, word: str) -> list[int]:
@@ -120,11 +119,11 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """Fit on documents that are not held out and have a language.
 
     At most about `fit_docs` documents a language are read, chosen by a hash of their
-    id; their whole texts count. Languages beyond the `MAX_LANGS` most frequent are
-    not learned. The model's size is bounded by the constants above.
+    id; their whole texts count, and every language, word and n-gram in them is learned.
+    That sample is the only bound, and with it the model's size.
     """
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model.of([], [{} for _ in range(LONGEST + 1)])
@@ -147,33 +146,33 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
                                 c[g] += n
                     yield as_arrow({"lang": [lang] * len(c), "kind": [kind] * len(c), "unit": list(c), "n": list(c.values())}, _FIT)
 
-    most = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "unit")
     rows = (
         some.mapInArrow(count, "lang string, kind int, unit string, n long")
         .groupBy("lang", "kind", "unit")
         .agg(F.sum("n").alias("n"))
-        .where((F.col("n") > 1) | (F.col("kind") > 0))
-        .withColumn("k", F.row_number().over(most))
-        .where((F.col("k") <= MAX_GRAMS) | (F.col("kind") == 0) & (F.col("k") <= MAX_WORDS))
-        .select("lang", "kind", "unit", "n")
         .toArrow()
-        .to_pylist()
+        .sort_by([("kind", "ascending"), ("unit", "ascending"), ("lang", "ascending")])
     )
     counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
     of = {x: i for i, x in enumerate(langs)}
-    for r in sorted(rows, key=lambda r: (r["kind"], r["unit"], r["lang"])):
-        counts[r["kind"]].setdefault(r["unit"], np.zeros(len(langs)))[of[r["lang"]]] = r["n"]
+    for lang, kind, unit, n in zip(*(rows[c].to_pylist() for c in ("lang", "kind", "unit", "n")), strict=True):
+        held = counts[kind].get(unit)
+        if held is None:
+            held = counts[kind][unit] = np.zeros(len(langs))
+        held[of[lang]] = n
     return Model.of(langs, counts)
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of `docs` with lang_pred and score; only `text` is looked at.
 
-    Null texts and texts without letters: `und`, 0. An input column of either name is
-    replaced. Every text is read whole."""
+    Null texts and texts without letters: `und`, 0. `docs` must have no column of either
+    name. Every text is read whole."""
     spark = tuned(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)  # its size is bounded by the model's constants
-    base = docs.drop("lang_pred", "score")
+    sent = spark.sparkContext.broadcast(model)  # as large as its bounded sample makes it
+    if taken := {"lang_pred", "score"}.intersection(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} would be replaced")
+    base = docs
     at = base.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

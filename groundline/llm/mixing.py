@@ -108,17 +108,25 @@ def _repair(x: np.ndarray, p: np.ndarray, off: float) -> None:
         p[k] = 1 - p[k]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of `docs`.
-
-    Null text: size 0. A null source is a source. Repeated rows are units of their own.
-    Reruns agree: blocks and draws depend on doc_id, size and source alone. Empty
-    input: no rows. Extra columns are not read.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, uid: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of `docs`; uid
+    first, where `uid` is given.
+
+    Null text: size 0. A null source is a source. Repeated rows are units of their own;
+    `uid` names a column of unique longs to tell them by, else one is made. Reruns agree:
+    blocks and draws depend on doc_id, size and source alone, and on the row's place
+    where doc_id is null, so that such rows don't meet in one block. Empty input: no
+    rows. Extra columns are not read.
+
+    Rounding the last open units can leave a source's tokens off its target by much of a
+    large document. Decided units of that last block are then turned where that brings
+    the tokens nearer; document totals and the probabilities of those few units give way.
     """
     tuned(docs.sparkSession)
+    own = F.col(uid) if uid else F.monotonically_increasing_id()
     units = Table(
         docs.select(
-            F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size")
+            own.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size")
         ),
         "units",
     ).df
@@ -138,7 +146,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
         dealt = (
             open_.join(n, F.col("source").eqNullSafe(F.col("s")))
             .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)))
-            .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(turn)), F.col("blocks")))
+            .withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", "uid"), "size", F.lit(turn)), F.col("blocks")))
             .select("uid", "doc_id", "source", "size", "prob", "block", "blocks", F.lit(turn).alias("turn"))
         )
 
@@ -165,5 +173,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     return (
         both.drop("prob")
         .join(out.withColumnRenamed("prob", "drawn"), "uid", "left")
-        .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        .select(*(["uid"] if uid else []), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Table, as_arrow, tuned
 from .tokens import encoder, vocabulary
 
-CAPACITY, GROUP_ITEMS, NEARLY, ROUNDS = 2048, 20_000, 8, 8
+CAPACITY, GROUP_ITEMS, NEARLY = 2048, 20_000, 8
 _PIECES = pa.schema(
     [("item", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )
@@ -70,17 +70,15 @@ def best_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, int
 def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(item, bin, at) for items (item, size), 0 < size <= capacity, item unique.
 
-    Rounds end with a round of one group, or when a round joins fewer than one item in
-    a hundred: bins left then are over half full in the main, and none has room for
-    what is left.
+    A round closes nearly full bins, and those that not even the smallest of what is
+    left would fit. Rounds go on until all that is left met in one group, or a round
+    joined nothing. Each writes only its moves; they are followed to the last bin at the
+    end, from the last round to the first.
     """
-    placed = Table(items.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("at")), "placed")
     left = Table(items.where(F.col("size") < capacity).select("item", "size"), "left")
-    for turn in range(ROUNDS):
-        n = left.df.count()
-        groups = -(-n // group_items)
-        if n < 2:
-            break
+    rounds: list[Table] = []
+    while (n := left.df.count()) > 1:
+        groups, turn = -(-n // group_items), len(rounds)
 
         def fit(g: pd.DataFrame) -> pd.DataFrame:
             got = best_fit(list(zip(g["item"].tolist(), g["size"].tolist(), strict=True)), capacity)
@@ -88,28 +86,35 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
             out = pd.DataFrame(got, columns=["item", "to", "offset"])
             return out.assign(size=out["item"].map(size))
 
-        moved = Table(
-            left.df.groupBy(F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(groups)).alias("g")).applyInPandas(
-                fit, "item long, to long, offset long, size long"
-            ),
-            "moved",
-        )
-        step = moved.df.where(F.col("item") != F.col("to")).select(F.col("item").alias("bin"), "to", "offset")
-        then = Table(
-            placed.df.join(step, "bin", "left").select(
-                "item", F.coalesce("to", "bin").alias("bin"), (F.col("at") + F.coalesce("offset", F.lit(0))).alias("at")
-            ),
-            "placed",
-        )
-        rest = moved.df.groupBy("to").agg(F.sum("size").alias("size")).where(F.col("size") < capacity - NEARLY)
-        next_left = Table(rest.select(F.col("to").alias("item"), "size"), "left")
-        joined = step.count()
-        for old in (placed, left, moved):
-            old.drop()
-        placed, left = then, next_left
-        if groups == 1 or joined < n // 100:
+        dealt = left.df.groupBy(F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(groups)).alias("g"))
+        moved = Table(dealt.applyInPandas(fit, "item long, to long, offset long, size long"), "moved")
+        rounds.append(moved)
+        left.drop()
+        bins = moved.df.groupBy(F.col("to").alias("item")).agg(F.sum("size").alias("size"))
+        bins = Table(bins.where(F.col("size") < capacity - NEARLY), "left")
+        least = bins.df.agg(F.min("size")).first()[0] or capacity
+        left = Table(bins.df.where(F.col("size") + least <= capacity), "left")
+        bins.drop()
+        if groups == 1 or moved.df.where("item <> to").isEmpty():
             break
-    return placed.df
+    left.drop()
+    last = None
+    for moved in reversed(rounds):
+        step = moved.df.where("item <> to").select("item", "to", "offset")
+        if last is not None:
+            on = last.select(F.col("item").alias("to"), F.col("to").alias("_to"), F.col("offset").alias("_offset"))
+            here = step.join(on, "to", "left").select(
+                "item", F.coalesce("_to", "to").alias("to"), (F.col("offset") + F.coalesce("_offset", F.lit(0))).alias("offset")
+            )
+            step = here.union(last)
+        last = Table(step, "moves").df if len(rounds) > 1 else step
+    if last is None:
+        return items.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("at"))
+    return (
+        items.select("item")
+        .join(last, "item", "left")
+        .select("item", F.coalesce("to", "item").alias("bin"), F.coalesce("offset", F.lit(0).cast("long")).alias("at"))
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

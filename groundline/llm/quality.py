@@ -20,7 +20,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ SEND_ROWS = 1_500_000
 REPEAT_MARGIN, REPEAT_LEAST, REPEAT_MORE = 2.0, 0.01, 20
 #: Symbols whose n-grams are numbered at once; longer texts go on in the next piece.
 PIECE = 1 << 20
+#: Quantiles are exact over values rounded to this.
+GRAIN = 1e-5
 BOS, EOS = "\x02", "\x03"
 _GRAMS = pa.schema([("gram", pa.string()), ("trusted", pa.int64())])
 
@@ -303,19 +306,29 @@ def with_trust(docs: DataFrame, trusted_ids: DataFrame, send_rows: int = SEND_RO
     )
 
 
+def quantiles(rows: DataFrame, value: Column, at: dict[str, float], by: str = "lang") -> DataFrame:
+    """(by, one column a quantile): of all rows, by their values rounded to GRAIN.
+
+    Rounded values are counted first, so a group of any size is a bounded number of
+    rows, and the result doesn't depend on how rows are dealt."""
+    counts = rows.where(value.isNotNull()).groupBy(by, F.round(value / GRAIN).cast("long").alias("v")).agg(F.count("*").alias("n"))
+    run, all_ = F.sum("n").over(W.partitionBy(by).orderBy("v")), F.sum("n").over(W.partitionBy(by))
+    placed = counts.select(by, "v", run.alias("run"), all_.alias("all"))
+    return placed.groupBy(by).agg(*(F.min(F.when(F.col("run") >= F.col("all") * q, F.col("v") * GRAIN)).alias(name) for name, q in at.items()))
+
+
 def limits(scored: DataFrame, mid: float = MID, high: float = HIGH, margin: float = MARGIN, short: float = SHORT) -> DataFrame:
     """(lang, limit, most) from the held-out trusted rows of `scored` (lang, _calibrate,
     _logp, _symbols, _repeats), limits of loss and repeats; the row of null lang has those
     of languages without such text."""
     loss = -F.col("_logp") / F.greatest("_symbols", F.lit(1)) - F.lit(short) / F.sqrt(F.greatest("_symbols", F.lit(1)))
     good = scored.where("_calibrate and _symbols > 0").select(F.coalesce("lang", F.lit("")).alias("lang"), loss.alias("loss"), "_repeats")
-    q = F.percentile_approx("loss", F.array(F.lit(mid), F.lit(high)), 10_000)
-    limit = F.col("q")[1] + F.greatest(F.lit(LEAST), margin * (F.col("q")[1] - F.col("q")[0]))
-    r = F.percentile_approx("_repeats", high, 10_000)
-    most = F.when(F.col("r").isNotNull(), F.greatest(F.lit(REPEAT_LEAST), REPEAT_MARGIN * F.col("r")))
-    each = good.groupBy("lang").agg(q.alias("q"), r.alias("r"))
-    every = good.agg(q.alias("q"), r.alias("r")).select(F.lit(None).cast("string").alias("lang"), "q", "r")
-    return each.union(every).select("lang", limit.alias("limit"), most.alias("most"))
+    good = good.withColumn("lang", F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))))
+    q = quantiles(good, F.col("loss"), {"mid": mid, "high": high})
+    r = quantiles(good, F.col("_repeats"), {"r": high})
+    limit = F.col("high") + F.greatest(F.lit(LEAST), margin * (F.col("high") - F.col("mid")))
+    most = F.greatest(F.lit(REPEAT_LEAST), REPEAT_MARGIN * F.col("r"))
+    return q.join(r.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l"))).select("lang", limit.alias("limit"), most.alias("most"))
 
 
 def classify(
@@ -329,9 +342,12 @@ def classify(
     nothing to judge: perplexity null, kept false. Documents with no language, or one
     without trusted text, are held to the limit of that null language or of all trusted
     text. Without any trusted text nothing can be judged and every text is kept.
-    Repeated rows are judged each. Empty input: no rows.
+    Repeated rows are judged each. Empty input: no rows. With `keep_text`, `docs` must
+    have no column named kept or beginning with _; else other columns are not read.
     """
     tuned(docs.sparkSession)
+    if keep_text and (taken := [c for c in docs.columns if c == "kept" or c.startswith("_")]):
+        raise ValueError(f"columns {taken} clash with this operator's own")
     base = with_trust(docs if keep_text else docs.select("doc_id", "text", "lang"), trusted_ids, send_rows)
     grams = Table(gather(base, "_trusted", order), "grams").df
     table = Table(probabilities(grams, order), "table").df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import canonical_turns, digests, format_turns
+from .chat import ROLES, as_record, canonical_records, canonical_turns, digests, format_turns
 from .common import new_path, tuned
 from .compaction import compact_table
 from .gridjoin import near_vectors
@@ -14,6 +14,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .quality import classify
 from .simhash import near_duplicates
+from .stages import run, trusted_ids
 from .topk import top_k
 from .wavelet import token_files
 
@@ -31,15 +32,13 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
-def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-
-
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of three layouts in one column of records: the rows of `conversations`, by
+    their ids, and conversation -1. Each record's fingerprint chooses how it is read."""
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -47,8 +46,16 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    turns = canonical_turns(_table(spark, sf_dir, "conversations")).union(extra)
-    return digests(format_turns(turns))
+    rows = canonical_turns(_table(spark, sf_dir, "conversations")).union(extra)
+    role, text, kind = F.col("role"), F.col("text"), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3))
+    renamed = role.isin(list(ROLES))  # speakers that the layout of conversations would call otherwise
+    record = (
+        F.when(kind == 0, as_record("messages", role, text))
+        .when((kind == 1) & ~renamed, as_record("conversations", role, text))
+        .otherwise(as_record("turn_rows", role, text))
+    )
+    turns = canonical_records(rows.select("conv_id", "turn", record.alias("record")), turn_col="turn")
+    return digests(format_turns(turns.drop("layout")))
 
 
 def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +91,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 QUERIES = {

@@ -1,7 +1,7 @@
 """Operator 10: SimHash near-duplicates by vantage-point trees.
 
 Distinct fingerprints are dealt to shards by the upper levels of a vantage-point tree
-(one vantage a level): a fingerprint goes to its own side, and one just inside a
+(one vantage point of the data a level): a fingerprint goes to its own side, and one just inside a
 boundary also to the outer side, so every pair within the radius meets in a shard.
 Each shard is joined with itself by a vantage-point recursion that skips branches by
 the triangle bound, and gives links that span its groups instead of all their pairs.
@@ -24,8 +24,8 @@ RADIUS, SHINGLE, SEED, SHARD = 3, 3, 42, 30_000
 #: A shard over FULL times SHARD is divided; at most SEND_ROWS such shards are sent to every executor, more are joined.
 FULL, SEND_ROWS = 4, 100_000
 LEAF = 1024
-#: Odd constants spread over 64 bits: vantage points of the upper levels.
-_GOLDEN = 0x9E3779B97F4A7C15
+#: Levels that fit a shard's number; shards that would need more are divided.
+MOST_LEVELS = 60
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -158,12 +158,6 @@ def near_across(p: np.ndarray, q: np.ndarray, radius: int = RADIUS) -> tuple[np.
     return _joined(out)
 
 
-def _vantage(level: int) -> int:
-    v = (_GOLDEN * (2 * level + 1)) & ((1 << 64) - 1)
-    v ^= v >> 29
-    return v - (1 << 64) if v >> 63 else v
-
-
 def _deeper(codes: Column, sides: Column) -> Column:
     """Shard codes with one more level: each code with each side."""
     return F.flatten(F.transform(codes, lambda c: F.transform(sides, lambda b: 2 * c + b)))
@@ -172,16 +166,18 @@ def _deeper(codes: Column, sides: Column) -> Column:
 def shards(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(shard, fp): distinct fingerprints dealt by the tree's upper levels.
 
-    Levels are added until a shard has about `shard` rows. The boundary of a level is
-    the median distance from its vantage point, from a count of the 65 distances.
-    Copies made by boundaries are about 1.3 a level.
+    Levels are added until a shard has about `shard` rows. A level's vantage point is a
+    fingerprint of the data, one of those with the smallest hashes, and its boundary the
+    median distance from it, from a count of the 65 distances. Copies made by boundaries
+    are about 1.3 a level.
     """
     n = fps.count()
     levels = 0
-    while n * 1.3**levels > shard * 2**levels and levels < 24:
+    while n * 1.3**levels > shard * 2**levels and levels < MOST_LEVELS:
         levels += 1
     code: Column = F.array(F.lit(0).cast("long"))
-    fars = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_vantage(level)))) for level in range(levels)]
+    points = [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(levels).collect()] if levels else []
+    fars = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))) for v in points]
     hist: list[dict[int, int]] = [{} for _ in fars]
     if fars:
         dist = fps.select(F.posexplode(F.array(*fars)).alias("level", "d")).groupBy("level", "d").agg(F.count("*").alias("n"))

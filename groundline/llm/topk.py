@@ -8,6 +8,8 @@ is not among a query's k best of that tile.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,28 +21,42 @@ from pyspark.sql import functions as F
 
 from .common import Table, as_arrow, tuned
 
-TILE, GROUPS = 4096, 32
-_TILES = pa.schema([("tile", pa.int64()), ("dim", pa.int32()), ("uids", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary())])
-_TILE_DDL = "tile long, dim int, uids binary, ids binary, rows binary"
-_HITS = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+TILE, FEW = 4096, 4  # rows of a tile, tiles of a group
+_TILES = pa.schema([("tile", pa.int64()), ("dim", pa.int32()), ("kind", pa.string()), ("uids", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary())])
+_TILE_DDL = "tile long, dim int, kind string, uids binary, ids binary, rows binary"
+_HITS = pa.schema([("twig", pa.int64()), ("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _tile(tile: int, dim: int, uids: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((uids, ids))
-    kind = "<f4" if not rows.size or np.abs(rows).max() <= 1 << 24 else "<f8"
-    blob = rows[order].astype(kind).tobytes()
-    return as_arrow(
-        {"tile": [tile], "dim": [dim], "uids": [uids[order].tobytes()], "ids": [ids[order].tobytes()], "rows": [blob]}, _TILES
-    )
+    if rows.dtype == object:  # beyond doubles
+        kind, blob = "int", json.dumps(rows[order].tolist()).encode()
+    else:
+        kind = "<f4" if not rows.size or np.abs(rows).max() <= 1 << 24 else "<f8"
+        blob = rows[order].astype(kind).tobytes()
+    made = {"tile": [tile], "dim": [dim], "kind": [kind], "uids": [uids[order].tobytes()], "ids": [ids[order].tobytes()], "rows": [blob]}
+    return as_arrow(made, _TILES)
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], "<i8")
-    size = len(row["rows"]) // max(1, len(ids) * row["dim"])
-    rows = np.frombuffer(row["rows"], "<f4" if size == 4 else "<f8").astype(np.float64)
+    if row["kind"] == "int":
+        rows = np.array(json.loads(row["rows"]), object)
+    else:
+        rows = np.frombuffer(row["rows"], row["kind"]).astype(np.float64)
     return np.frombuffer(row["uids"], "<i8"), ids, rows.reshape(len(ids), row["dim"])
 
 
+def scaled(rows: list[np.ndarray], scale: int) -> np.ndarray:
+    """floor(scale * x); as Python's integers where doubles can't hold the product."""
+    block = np.stack(rows)
+    with np.errstate(over="ignore"):
+        made = np.floor(scale * block)
+    if np.isfinite(made).all():
+        return made
+    return np.array([[int(x) * scale if abs(x) >= 1 << 53 else math.floor(scale * x) for x in r] for r in block.tolist()], object)
+
+
 def pack_tiles(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """Tiles of floor(scale * x). Rows whose id or vector is null, or whose vector holds
     null or non-finite components, are left out; an empty vector has dimension 0."""
@@ -53,7 +69,7 @@ def pack_tiles(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             nonlocal seq
             rows = held.pop(dim)
             seq += 1
-            block = np.stack([r[2] for r in rows]) if dim else np.zeros((len(rows), 0))
+            block = scaled([r[2] for r in rows], scale) if dim else np.zeros((len(rows), 0))
             return _tile(part | seq, dim, np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<i8"), block)
 
         for b in it:
@@ -64,7 +80,7 @@ def pack_tiles(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 x = np.array(v, np.float64)
                 if not np.isfinite(x).all():
                     continue
-                held.setdefault(len(x), []).append((part | uid, i, np.floor(scale * x)))
+                held.setdefault(len(x), []).append((part | uid, i, x))
                 if len(held[len(x)]) == TILE:
                     yield flush(len(x))
         for dim in list(held):
@@ -86,12 +102,16 @@ def _queries(tiles: DataFrame, every: int) -> DataFrame:
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles while every sum stays below 2**53."""
-    most = max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if most < 1 << 53:
-        return (q @ c.T).astype(np.int64)
+    """Exact integer products: in doubles while every sum stays below 2**53, beyond that
+    in Python's integers; what no long holds becomes the nearest one."""
+    if q.dtype != object and c.dtype != object:
+        most = max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0)) * max(1, q.shape[1])
+        if most < 1 << 53:
+            return (q @ c.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-    return (whole(q) @ whole(c).T).astype(np.int64)  # raises OverflowError beyond a long
+    low, high = -(1 << 63), (1 << 63) - 1
+    made = [[min(max(x, low), high) for x in r] for r in (whole(q) @ whole(c).T).tolist()]
+    return np.array(made, np.int64).reshape(len(q), len(c))
 
 
 def top_of_tile(q, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,14 +119,13 @@ def top_of_tile(q, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     (qu, _, qr), (cu, _, cr) = q, c
     s = _product(qr, cr)
     own = cu[None, :] == qu[:, None]
-    low = np.iinfo(np.int64).min
-    ranked = np.where(own, low, s)
+    ranked = np.where(own, np.iinfo(np.int64).min, s)
     if ranked.shape[1] > k:
         bar = np.partition(ranked, ranked.shape[1] - k, axis=1)[:, -k]
         rows, cols = np.nonzero((ranked >= bar[:, None]) & ~own)
     else:
         rows, cols = np.nonzero(~own)
-    order = np.lexsort((cols, -s[rows, cols], rows))  # candidates stand by vec_id
+    order = np.lexsort((cols, ~s[rows, cols], rows))  # candidates stand by vec_id
     rows, cols = rows[order], cols[order]
     first = np.searchsorted(rows, rows)
     keep = np.arange(len(rows)) - first < k
@@ -118,32 +137,38 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     id is divisible by `every`, candidates all rows but the query's own.
 
     Ties go to the smaller id. Repeated ids are rows of their own, as queries and as
-    candidates. Only vectors of equal length are compared. Empty input: no rows. Extra
-    columns are not read.
+    candidates. Only vectors of equal length are compared. A score that no long holds is
+    given, and ranked, as the nearest long. Empty input: no rows. Extra columns are not
+    read.
+
+    Groups of `FEW` shard tiles meet all query tiles; their lists are merged in two
+    steps, by query and about the root of the number of groups, then by query.
     """
-    tiles = Table(pack_tiles(vectors, id_col, vec_col), "tiles").df
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(GROUPS))
-    shards = tiles.withColumn("g", group("tile"))
+    made = Table(pack_tiles(vectors, id_col, vec_col), "tiles")
+    tiles = made.df
+    groups = max(1, -(-tiles.count() // FEW))
+    twigs = max(1, math.isqrt(groups))
+    shards = tiles.withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(groups)))
     queries = _queries(tiles, every).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("g"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"),
         "dim",
-        *(F.col(c).alias(f"q_{c}") for c in ("uids", "ids", "rows")),
+        *(F.col(c).alias(f"q_{c}") for c in ("kind", "uids", "ids", "rows")),
     )
 
     def products(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for row in b.to_pylist():
-                q = _open({c: row[f"q_{c}"] for c in ("uids", "ids", "rows")} | {"dim": row["dim"]})
+                q = _open({c: row[f"q_{c}"] for c in ("kind", "uids", "ids", "rows")} | {"dim": row["dim"]})
                 c = _open(row)
                 for a in range(0, len(q[0]), 1024):
                     part = tuple(x[a : a + 1024] for x in q)
                     rows, cols, scores = top_of_tile(part, c, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (part[0][rows], part[1][rows], c[1][cols], scores)], schema=_HITS
-                    )
-
-    hits = queries.join(shards, ["g", "dim"]).mapInArrow(products, "uid long, query_id long, vec_id long, score long")
-    best = W.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+                    twig = np.full(len(rows), row["g"] % twigs, np.int64)
+                    found = (twig, part[0][rows], part[1][rows], c[1][cols], scores)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_HITS)
+
+    hits = queries.join(shards, ["g", "dim"]).mapInArrow(products, "twig long, uid long, query_id long, vec_id long, score long")
+    for by in (["uid", "twig"], ["uid"]):
+        best = W.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
+        hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return hits.select("query_id", "rank", "vec_id", "score")

@@ -182,6 +182,24 @@ def test_op2_large_components_stay_exact():
     assert (r.tolist(), k.tolist(), s.tolist()) == ([0], [1], [2**61 + 2])
 
 
+def test_op2_beyond_doubles_and_longs(spark):
+    big = [(0, [1e30, 1.0]), (50, [1e308, -1.0]), (1, [1e5, 2.0]), (2, [-1e30, 1.0]), (3, [0.0, 3.0]), (4, [1.7e308, 0.0])]
+    got = rows(topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>")))
+    low, high = -(1 << 63), (1 << 63) - 1
+    whole = lambda v: [int(x) * 256 if abs(x) >= 1 << 53 else math.floor(256 * x) for x in v]
+    for q in (0, 50):
+        s = sorted((-min(max(sum(a * b for a, b in zip(whole(dict(big)[q]), whole(v))), low), high), i) for i, v in big if i != q)
+        assert sorted(r[1:] for r in got if r[0] == q) == [(n + 1, i, -z) for n, (z, i) in enumerate(s[:5])]
+
+
+def test_op2_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 8)
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.integers(-2, 3, 2).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(6)
+    assert sorted(rows(topk.top_k(df))) == _top(vectors)
+
+
 # operator 3
 def _kneser_ney(counts, order, asked):
     """Plain dictionaries, straight from the definition."""
@@ -246,15 +264,59 @@ def test_op3_keeps_trusted_and_rejects_marks(spark, awkward, empty):
     for send in (10**6, 0):  # broadcast, and the joined way beyond its bound
         got = {r.doc_id: r.kept for r in quality.classify(docs, ids, send_rows=send).collect()}
         assert got == {i: i < 100 for i in range(105)}
-    whole = quality.classify(awkward, ids, keep_text=True)
-    assert whole.columns == [*awkward.columns[:5], *awkward.columns[6:], "kept"] or whole.columns[: len(awkward.columns)] == awkward.columns
-    assert whole.count() == len(AWKWARD)
+    with pytest.raises(ValueError):
+        quality.classify(awkward, ids, keep_text=True)
+    assert quality.classify(awkward.drop("kept"), ids, keep_text=True).count() == len(AWKWARD)
     kept = {r.doc_id: r.kept for r in quality.classify(awkward, ids).collect()}
     assert [kept[i] for i in (1, 2, 3)] == [False] * 3
     assert rows(quality.classify(empty, ids)) == []
     assert quality.classify(awkward, ids.limit(0)).where("kept").count() == len(AWKWARD) - 3
 
 
+def _quantile(values, q):
+    v = sorted(round(x / quality.GRAIN) for x in values)
+    return v[math.ceil(q * len(v) - 1e-9) - 1] * quality.GRAIN
+
+
+def test_op3_against_plain_python(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdé"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(5, 30)))) for _ in range(120)] + ["zzz qqq xxx", "ab " * 40, "", None, " \n", words[0]]
+    docs = [(i, t, ["en", "de", None][i % 3]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    ids = spark.range(0, 90).select(F.col("id").alias("doc_id"))
+    trust = {r.doc_id: (r._trusted, r._calibrate) for r in quality.with_trust(df, ids).collect()}
+    assert {sum(x) for d, x in trust.items() if d < 90} == {1} and not any(any(x) for d, x in trust.items() if d >= 90)
+    plain = {d: " ".join((t or "").split()) for d, t, _ in docs}
+    counts = Counter(g for d, t in plain.items() if t and trust[d][0] for g in quality.events(t))
+    logp = _kneser_ney(counts, quality.ORDER, {g for t in plain.values() if t for g in quality.events(t)})
+    n = {d: len(t) + 1 if t else 0 for d, t in plain.items()}
+    loss = {d: -sum(logp[g] for g in quality.events(t)) / n[d] for d, t in plain.items() if t}
+
+    def again(t):
+        seen, total, w = {}, 0.0, t.split()
+        for i, pair in enumerate(zip(w, w[1:])):
+            total += 1 / (i - seen[pair]) if pair in seen else 0
+            seen[pair] = i
+        return total / (len(w) + quality.REPEAT_MORE)
+
+    short = lambda d: quality.SHORT / math.sqrt(n[d])
+    lang = {d: x or "" for d, _, x in docs}
+    kept, limit = {}, {}
+    for d in plain:
+        own = [c for c in loss if trust[c][1] and lang[c] == lang[d]]
+        high, mid = (_quantile([loss[c] - short(c) for c in own], q) for q in (quality.HIGH, quality.MID))
+        most = max(quality.REPEAT_LEAST, quality.REPEAT_MARGIN * _quantile([again(plain[c]) for c in own], quality.HIGH))
+        if n[d]:
+            limit[d] = high + max(quality.LEAST, quality.MARGIN * (high - mid)) + short(d)
+        kept[d] = d in loss and loss[d] <= limit[d] and again(plain[d]) <= most
+    got = {r.doc_id: r for r in quality.classify(df, ids).collect()}
+    assert {d: r.kept for d, r in got.items()} == kept and 0 < sum(kept.values()) < len(docs) - 4
+    for d, r in got.items():
+        assert r.perplexity is None if d not in loss else r.perplexity == pytest.approx(math.exp(loss[d]), rel=1e-9)
+        assert d not in loss or r.limit == pytest.approx(math.exp(limit[d]), rel=1e-9)
+
+
 def test_op3_rejects_repeated_words(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200)]
@@ -317,12 +379,38 @@ def test_op4_records_of_mixed_layouts(spark):
         ],
         key=str,
     )
+    odd = [
+        (1, '{"messages":[{"role":"system"},{"role":"user","content":"a"},null]}'), (2, '{"prompt":"p","completion":"c","response":"r"}'),
+        (3, '{"system":"s","prompt":"p","completion":"c"}'), (4, '{"messages":[]}'), (5, "not json"), (6, '{"messages":[{"role":"gpt","content":"x"}]}'),
+    ]
+    got = sorted(rows(chat.canonical_records(spark.createDataFrame(odd, "conv_id long, record string"))), key=str)
+    lost = [(i, None, None, None, None) for i in (2, 3, 4, 5)]  # told by a row of their own
+    assert got == sorted([(1, 0, "system", "", "messages"), (1, 1, "user", "a", "messages"), (1, 2, "", "", "messages"), (6, 0, "gpt", "x", "messages"), *lost], key=str)
+    assert rows(chat.canonical_records(spark.createDataFrame([], "conv_id long, record string"))) == []
+    for fields in ("prompt string, completion string, response string", "system string, prompt string, completion string"):
+        with pytest.raises(ValueError):
+            chat.canonical_turns(spark.createDataFrame([], f"conv_id long, {fields}"))
     typed = spark.createDataFrame([(9, [("human", "x"), ("gpt", None)])], "conv_id long, conversations array<struct<from:string,value:string>>")
     assert rows(chat.canonical_turns(typed)) == [(9, 0, "user", "x"), (9, 1, "assistant", "")]
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.range(1))
 
 
+def test_op4_query_reads_three_layouts(spark, tmp_path):
+    said = ["<|im_end|>", "a\"b\\\n\t\x07\x00é日\U0001f600", "", None, '{"role": "x"}', "  ", "null"]
+    turns = [(c, i, r, t) for c in (*range(6), None) for i, (r, t) in enumerate((r, t) for r in ("user", "gpt", "assistant", None) for t in said)]
+    turns += [(7, None, "assistant", "n"), (7, 3, "user", "x"), (7, 3, "user", "x")]
+    spark.createDataFrame([(*t, "p", 1) for t in turns], "conv_id long, turn long, role string, text string, prompt string, base int").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = QUERIES["op4_chat_format"](spark, str(tmp_path))
+    assert "xxhash64" in df._jdf.queryExecution().toString()
+    got = {r.conv_id: r for r in df.collect()}
+    assert got[-1].n_turns == 2
+    for conv in {t[0] for t in turns}:
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] if t[1] is not None else -1, t[2] or "", t[3] or ""))
+        text = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(own), hashlib.sha256(text.encode()).hexdigest())
+
+
 # operator 5
 def test_op5_plan():
     s = [compaction.Shard(f"{i}", 10) for i in range(9)] + [compaction.Shard("big", 1000), compaction.Shard("mid", 100)]
@@ -342,6 +430,16 @@ def test_op5_store(spark, awkward, empty):
     assert sorted(map(key, store.read().collect())) == sorted(map(key, awkward.collect() * 5))
     with pytest.raises(FileExistsError):
         store.commit(version - 1, [])
+    assert all(len(store.read(v).collect()) == 50 for v in store.versions()) and len(store.versions()) == compaction.KEEP
+    other = compaction.ShardStore(spark, store.root)  # a second writer commits first
+    plain = store.commit
+    store.commit = lambda seen, shards: (setattr(store, "commit", plain), other.append(awkward.limit(1)), plain(seen, shards))[2]
+    store.append(awkward.limit(2).select(*reversed(awkward.columns)))
+    assert store.read().count() == 53
+    with pytest.raises(ValueError):
+        store.append(awkward.withColumn("extra", F.lit(1)))
+    with pytest.raises(ValueError):
+        store.append(awkward.drop("lang"))
     assert rows(compaction.compact_table(empty, new_path(spark, "store"))) == []
 
 
@@ -366,7 +464,7 @@ def _near(vectors, cosine):
     return sorted((i, links[i], find(i), find(i) == i) for i, *_ in vectors)
 
 
-@pytest.mark.parametrize("block", [7, 1024])
+@pytest.mark.parametrize("block", [1, 7, 1024])
 def test_op6_awkward(spark, block):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 6))
@@ -430,6 +528,44 @@ def test_op8_languages(spark, sf_dir, awkward, empty):
     assert {r.lang_pred for r in langid.identify(blind).collect()} == {"und"}
 
 
+def test_op8_against_plain_python(spark):
+    rng = np.random.default_rng(9)
+    words = {"a": ["hut", "hat", "Xé", "mm"], "b": ["rot", "hut", "ßu", "kk"], "c": ["zi"]}
+    docs = [(i, " ".join(rng.choice(words[x], 6)) + rng.choice([" zzhat!", " 12", " qq"]), x) for i in range(60) for x in [rng.choice(list("abbac"))]]
+    docs += [(99, None, "a"), (98, "12", "b"), (97, "hut", None)]
+    train = [(t or "", x) for d, t, x in docs if x and zlib.crc32(str(d).encode()) % 3 != 1]
+    langs = sorted({x for _, x in train})
+    split = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
+    units = [{x: Counter() for x in langs} for _ in range(langid.LONGEST + 1)]
+    for t, x in train:
+        for w in split(t):
+            units[0][x][w] += 1
+            for n in range(1, langid.LONGEST + 1):
+                units[n][x].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+
+    def rate(kind, unit):
+        known = {u for c in units[kind].values() for u in c}
+        if unit in known:
+            return [math.log((units[kind][x][unit] + 0.5) / (units[kind][x].total() + 0.5 * (len(known) + 1))) for x in langs]
+
+    def word(w):
+        if got := rate(0, w):
+            return got
+        for n in range(langid.LONGEST, 0, -1):
+            if got := [r for i in range(len(w) + 3 - n) if (r := rate(n, f" {w} "[i : i + n]))]:
+                return [sum(c) / len(got) for c in zip(*got)]
+        return [0.0] * len(langs)
+
+    for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect():
+        ws = split({d: t for d, t, _ in docs}[r.doc_id])
+        if not ws:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        mean = [sum(c) / len(ws) * min(len(ws), langid.EVIDENCE) for c in zip(*map(word, ws))]
+        p = [math.exp(m - max(mean)) for m in mean]
+        assert r.lang_pred == langs[p.index(max(p))] and r.score == pytest.approx(max(p) / sum(p), rel=1e-4)
+
+
 def test_op8_backoff():
     m = langid.Model.of(["a", "b"], [{"hut": np.array([9, 1])}, {"x": np.array([0, 5])}, {}, {"hat": np.array([4, 0])}, {}])
     assert m.word("hut") == [0] and m.word("hats") == [2] and m.word("xq") == [1] and m.word("qqq") == []
@@ -588,6 +724,59 @@ def test_pipeline(spark, sf_dir):
     _check_packing(final, [(r.doc_id, r.text) for r in now.collect()])
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept string, score int, lang_pred string, _id long, row long, rest string, uid int, copies long, `copy of row` int"
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80)]
+    say = lambda: " ".join(rng.choice(words, 40))
+    table = [(i, say(), "en", f"s{i % 3}") for i in range(60)] + [*AWKWARD, AWKWARD[0], AWKWARD[-1]]
+    same = say()
+    table += [(None, say(), "en", None) for _ in range(8)] + [(None, same, "en", None)] * 3 + [(70, say(), "en", "s1") for _ in range(6)] + [(71, same, None, "s2")] * 3
+    full = [(*r, k, "x", 1, "mine", 5, 6, "y", 7, 8, 9) for k, r in enumerate(table)]
+    docs = spark.createDataFrame(full, names).repartition(5)
+    spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    bag = lambda df: Counter(map(tuple, df.collect()))
+    whole = Counter(full)
+    for name, stage in p.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path)).collect()
+        assert none == []
+        if name == "packing":
+            _check_packing(got.collect(), [r[:2] for r in full])
+            continue
+        assert got.columns == docs.columns
+        out = bag(got)
+        assert set(out) <= set(whole) and sum(out.values()) > 40
+        if name in ("quality", "language"):
+            assert all(out[r] in (0, whole[r]) for r in whole)
+            letters = lambda t: any(c.isalpha() for c in t or "")
+            assert not any((not (r[1] or "").strip()) if name == "quality" else not letters(r[1]) for r in out)
+            assert all(out[r] for r in full[:60])
+        if name == "near_dedup":
+            first = {}
+            for k, (_, _, c) in enumerate(_by_row([r[1] for r in full])):
+                d = full[k][0]
+                first.setdefault(c, []).append((d is None, d if d is not None else 0, k))
+            assert sorted(str(min(v)[:2]) for v in first.values()) == sorted(str((r[0] is None, r[0] or 0)) for r in out.elements())
+            assert all(n == 1 for n in out.values())
+        if name == "mixing":
+            assert all(n <= 3 * whole[r] for r, n in out.items())
+            taken, size = Counter(), Counter()
+            for r in out.elements():
+                taken[r[3]] += len((r[1] or "").split())
+            for r in full:
+                size[r[3]] += len((r[1] or "").split())
+            want = {r.source: (r.target, r.m) for r in mixing.mix(docs).groupBy("source").agg(F.max("target").alias("target"), F.max("size").alias("m")).collect()}
+            assert all(abs(taken[s] - t) <= m for s, (t, m) in want.items())
+
+
+def _by_row(texts):
+    """Row number, fingerprint and class of each text."""
+    return sorted(_classes(list(enumerate(texts))), key=lambda r: r[0])
+
+
 def test_registry(spark):
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 11
     assert shared_dir(spark) == shared_dir(spark)
