@@ -1,78 +1,8 @@
-"""From raw documents to packed training sequences, in five stages.
+"""The corpus pipeline: quality, language, near copies, mixing and packing, in that order.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet and read again as the next stage's docs.
+The stages are those of `groundline.llm.stages`; without that subpackage this module can't be imported.
 """
 
-from __future__ import annotations
+from groundline.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from groundline.llm.common import materialize, tuned
-from groundline.llm.langid import UNKNOWN, fit, with_language
-from groundline.llm.mixing import mix
-from groundline.llm.packing import pack_documents
-from groundline.llm.quality import classify
-from groundline.llm.queries import trusted_ids
-from groundline.llm.simhash import near_duplicates
-
-#: A text whose best language gets less than this is rejected.
-LEAST_SCORE = 0.5
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the classifier keeps. Blank texts go."""
-    return classify(docs, trusted_ids(spark, sf_dir), keep_text=True).where("kept").drop("kept")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts whose language is told; lang itself stays as it was."""
-    tuned(spark)
-    seen = with_language(docs, fit(docs))
-    return seen.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest doc_id; of rows
-    that share a doc_id one. Rows without doc_id stay, since no other stands for them."""
-    tuned(spark)
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
-    tuned(spark)
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    key = docs["doc_id"].eqNullSafe(F.col("_id"))
-    return (
-        docs.join(taken, key)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select(*(docs[c] for c in docs.columns))
-    )
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
-    return pack_documents(docs)
-
-
-STAGES = [
-    ("quality", quality),
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("mixing", mixing),
-    ("packing", packing),
-]
-
-#: Learned models, fingerprints and tokenizers are not SQL; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
