@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 
@@ -27,3 +28,24 @@ class Config:
     send_rows: int = 50_000
     #: Chunk ids as file-name prefix and number, which collide between files; by default they don't.
     compat_chunk_ids: bool = False
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Where the engine reads its corpus, lands uploads, and keeps manifests, indices and traces."""
+
+    root: str
+    corpus: str
+    storage: str
+
+    @classmethod
+    def discover(cls, root: str | None = None) -> "Paths":
+        """From GROUNDLINE_ROOT, CORPUS_DIR and STORAGE_DIR where they are set, else
+        below `root` or the working folder. Local folders are made; URIs are left as
+        they are."""
+        at = root or os.environ.get("GROUNDLINE_ROOT") or os.getcwd()
+        found = cls(at, os.environ.get("CORPUS_DIR") or f"{at}/data/corpus", os.environ.get("STORAGE_DIR") or f"{at}/data/storage")
+        for folder in (found.corpus, found.storage):
+            if "://" not in folder:
+                os.makedirs(folder, exist_ok=True)
+        return found

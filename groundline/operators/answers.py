@@ -6,6 +6,8 @@ section_title, text, score) and, after reranking, reranker_prob.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -174,9 +176,10 @@ def citation_metrics(answers: DataFrame, verified: DataFrame) -> DataFrame:
     )
 
 
-def generate(queries: DataFrame, candidates: DataFrame, cfg: Config = C) -> DataFrame:
-    """One row a query: decision, answer or refusal, citation metrics, token counts."""
-    decided = gate(queries, candidates, cfg)
+def generate(queries: DataFrame, candidates: DataFrame, cfg: Config = C, decide: Callable[[DataFrame, DataFrame, Config], DataFrame] = gate) -> DataFrame:
+    """One row a query: decision, answer or refusal, citation metrics, token counts.
+    `decide` may be any gate that gives what `gate` gives."""
+    decided = decide(queries, candidates, cfg)
     answered = candidates.join(decided.where("decision = 'ANSWER'").select("query_id"), "query_id", "left_semi")
     said = build_answers(answered, cfg)
     checked = citation_metrics(said, verify(said, answered, cfg))

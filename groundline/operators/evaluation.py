@@ -53,17 +53,29 @@ def failure(should_abstain: Column, abstained: Column, hit: Column) -> Column:
     )
 
 
+def category_counts(questions: DataFrame, by: str = "category") -> DataFrame:
+    """(category, n)."""
+    return questions.groupBy(F.col(by).alias("category")).agg(F.count("*").alias("n"))
+
+
+def mean_cost(rows: DataFrame, by: list[str], latency: Column, used: Column) -> DataFrame:
+    """Mean latency to two places and mean tokens to one, by `by`."""
+    return rows.groupBy(*by).agg(F.round(F.avg(latency), 2).alias("avg_latency"), F.round(F.avg(used.cast("double")), 1).alias("avg_tokens"))
+
+
 def evaluate(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All metrics of (should_abstain, abstained, recall_*, rr_5, ndcg_5,
     citation_precision, citation_coverage, prompt_tokens, completion_tokens), grouped by
     `by`. Retrieval counts answerable questions, citations those that were answered."""
     s, a = F.col("should_abstain"), F.col("abstained")
     mean = lambda c, on: F.avg(F.when(on, F.col(c)))
+    timed = [F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms")] if "latency_ms" in results.columns else []
     rest = results.groupBy(*(by or [])).agg(
         F.count("*").alias("total_questions"),
         *(F.bround(F.coalesce(mean(c, ~s), F.lit(0.0)), 4).alias(n) for c, n in (("recall_1", "recall_at_1"), ("recall_3", "recall_at_3"), ("recall_5", "recall_at_5"), ("rr_5", "mrr_at_5"), ("ndcg_5", "ndcg_at_5"))),
         *(F.bround(F.coalesce(mean(c, ~s & ~a), F.lit(1.0)), 4).alias(c) for c in ("citation_precision", "citation_coverage")),
         F.bround(F.avg(F.col("prompt_tokens") + F.col("completion_tokens")), 1).alias("avg_tokens"),
+        *timed,
     )
     gate = abstention(results, by).select(*(by or []), *(F.col(c).alias(f"abstention_{c}") for c in ("accuracy", "precision", "recall", "f1")))
     return rest.join(gate, by) if by else rest.join(F.broadcast(gate))  # one row each

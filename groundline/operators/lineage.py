@@ -34,6 +34,16 @@ def ingest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return seen.select(*files.columns, status.alias("status"), F.when(F.col("_kept"), version).alias("version"))
 
 
+def duplicates(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, first_id, is_duplicate) of (key, content_hash): the smallest key of each content."""
+    firsts = rows.groupBy("content_hash").agg(F.min(key).alias("first_id"))
+    return rows.join(firsts, "content_hash").select(key, "first_id", (F.col(key) != F.col("first_id")).alias("is_duplicate"))
+
+
+def status_counts(status: DataFrame) -> DataFrame:
+    return status.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def active(versions: DataFrame) -> DataFrame:
     """The newest version of each filename."""
     newest = F.row_number().over(W.partitionBy("filename").orderBy(F.desc("version")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundline.config import Config
 from groundline.functions.text import tokens
@@ -17,13 +18,18 @@ C = Config()
 
 
 def tokenized(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    return chunks.select(key, tokens(F.col(text)).alias("tokens"))
+    return chunks.select(key, tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
 
 
 def term_frequency(toks: DataFrame, key: str) -> DataFrame:
     return toks.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def document_frequency(toks: DataFrame) -> DataFrame:
+    """(term, df)."""
+    return toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def corpus_stats(toks: DataFrame) -> DataFrame:
     """(n, avgdl): one row; chunks without tokens count."""
     return toks.agg(F.count("*").alias("n"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
@@ -33,21 +39,77 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.01), F.log((n - df + 0.5) / (df + 0.5) + 1.0))
 
 
+def _weighted(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, query: str, key: str, k1: float, b: float) -> DataFrame:
+    weights = df.join(F.broadcast(stats))  # one row
+    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return postings.join(weights, "term").join(asked, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
+
+
+def _asked(queries: DataFrame, query: str, question: str) -> DataFrame:
+    return tokenized(queries, query, question).select(query, F.explode("tokens").alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:
-    """(query, key, score) of every chunk that shares a term with a query.
+    """(query, key, score) of every chunk that shares a term with a query, for one batch
+    of queries; `Bm25Index` is for chunks that are asked more than once.
 
     Query tokens count as often as they occur. Postings are cut to the queries' terms
     before anything is shuffled by term; scores need only narrow columns."""
     toks = tokenized(chunks, key, text)
-    asked = tokenized(queries, query, question).select(query, F.explode("tokens").alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
+    asked = _asked(queries, query, question)
     held = toks.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = held.join(terms, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    postings = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(toks)
-    weights = df.join(F.broadcast(stats))  # one row
-    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(weights, "term").join(asked, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
+    return _weighted(postings, df, corpus_stats(toks), asked, query, key, k1, b)
+
+
+class Bm25Index:
+    """A keyword index in a folder: postings by term bucket, document frequencies, statistics.
+
+    Chunks are tokenized once, when it is built. A query reads only the buckets of its
+    terms, and in them the row groups whose terms it asks for."""
+
+    BUCKETS = 16
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
+        self.spark, self.path, self.key = spark, path, key
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> "Bm25Index":
+        toks = tokenized(chunks, key, text)
+        # the term "" stands once for each chunk and carries its length, without tokens too
+        held = toks.select(key, F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.col("tokens"))).alias("term"))
+        rows = held.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", cls._bucket(buckets))
+        rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        made = cls(chunks.sparkSession, path, key)
+        all_ = made._read("postings")
+        all_.where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).sort("term").write.parquet(f"{path}/terms")
+        all_.where(F.col("term") == "").agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+        return made
+
+    @staticmethod
+    def _bucket(n: int) -> Column:
+        return F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(n)).cast("int"))
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def stats(self) -> DataFrame:
+        """(n, avgdl): one row."""
+        return self._read("stats").select("n", "avgdl")
+
+    def terms(self) -> DataFrame:
+        """(term, df)."""
+        return self._read("terms")
+
+    def score(self, queries: DataFrame, query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:
+        """(query, key, score) of every chunk that shares a term with a query."""
+        asked = _asked(queries, query, question)
+        n = self._read("stats").first()["buckets"]
+        needed = asked.select("term", self._bucket(n).alias("bucket")).distinct()
+        buckets = [r[0] for r in needed.select("bucket").distinct().collect()]  # as many as the index has, at most
+        postings = self._read("postings").where(F.col("bucket").isin(buckets)).join(needed, ["bucket", "term"], "left_semi").drop("bucket")
+        return _weighted(postings, self.terms(), self.stats(), asked, query, self.key, k1, b)
 
 
 def top(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", ties: list | None = None) -> DataFrame:
@@ -57,45 +119,64 @@ def top(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id",
 
 
 def only_targets(ranked: DataFrame, targets: DataFrame, k: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
-    """Candidates of allowed documents, cut to k after the filter; ranks are kept."""
-    left = ranked.join(targets, key, "left_semi")
-    n = F.row_number().over(W.partitionBy(query).orderBy("rank"))
-    return left.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
+    """The k first candidates of allowed documents, ranked anew from 1, since what reads
+    candidates goes by place; pre_rank is the rank before."""
+    left = ranked.drop("pre_rank").join(targets, key, "left_semi").withColumnRenamed("rank", "pre_rank")
+    n = F.row_number().over(W.partitionBy(query).orderBy("pre_rank"))
+    return left.withColumn("rank", n).where(F.col("rank") <= k)
+
 
+def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], key: str, text: str, batch: int = 32) -> DataFrame:
+    """(key, embedding): unit vectors of `text` by any model. `load` runs once a task and
+    gives a function from a list of texts to one vector each; it sees `batch` at a time.
+    A vector of zeros stays as it is; null text is empty."""
 
-_HITS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for b in it:
+            encode = encode or load()
+            texts, out = [t or "" for t in b.column(1).to_pylist()], []
+            for i in range(0, len(texts), batch):
+                m = np.asarray(encode(texts[i : i + batch]), np.float64)
+                size = np.sqrt((m * m).sum(1, keepdims=True))
+                out.extend((m / np.where(size > 0, size, 1)).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    kind = rows.schema[key].dataType
+    return rows.select(key, text).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, send_rows: int = C.send_rows) -> DataFrame:
     """(query_id, doc_id, score): exact inner products, k best of each query per task.
 
-    `vectors` has doc_id, embedding; `queries` query_id, embedding. Queries are sent in
-    blocks of at most `send_rows`, each one product per batch of vectors; `top` merges."""
+    `vectors` has doc_id, embedding; `queries` query_id, embedding; ids of any type.
+    Queries are sent in blocks of at most `send_rows`, each one product per batch of
+    vectors; `top` merges."""
     spark = vectors.sparkSession
     found = None
     n = queries.count()
     blocks = max(1, -(-n // send_rows))
+    kinds = [("query_id", queries.schema["query_id"].dataType), ("doc_id", vectors.schema["doc_id"].dataType), ("score", T.DoubleType())]
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         got = part.select("query_id", "embedding").toArrow()
-        ids = np.array(got["query_id"].to_pylist(), np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.array(got["embedding"].to_pylist(), np.float64)))
+        sent = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), np.array(got["embedding"].to_pylist(), np.float64)))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             for b in it:
                 if not len(ids) or not b.num_rows:
                     continue
-                docs, m = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.float64)
+                m = np.array(b.column(1).to_pylist(), np.float64)
                 s = q @ m.T
                 if s.shape[1] > k:
                     bar = np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 1e-6  # ties to six places
                     rows, cols = np.nonzero(s >= bar[:, None])
                 else:
                     rows, cols = np.nonzero(np.ones_like(s, bool))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(docs[cols]), pa.array(s[rows, cols])], schema=_HITS)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), b.column(0).take(pa.array(cols)), pa.array(s[rows, cols])], names=["query_id", "doc_id", "score"])
 
-        more = vectors.select("doc_id", "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
+        more = vectors.select("doc_id", "embedding").mapInArrow(run, T.StructType([T.StructField(*x) for x in kinds]))
         found = more if found is None else found.union(more)
     return found
 
@@ -131,12 +212,38 @@ def fuse(d: DataFrame, s: DataFrame, k: int = C.pool, cfg: Config = C) -> DataFr
     return top(made, k, ties=["dense_rank", "bm25_rank", "doc_id"])
 
 
-def rerank(candidates: DataFrame, logit: Column, k: int = C.top_k) -> DataFrame:
-    """Candidates by sigmoid of `logit`, ties by the rank before; with pre_rank and
-    reranker_prob. Any model's logit may be given; `lexical_logit` is the built-in one."""
-    prob = 1 / (1 + F.exp(-logit))
+def with_methods(candidates: DataFrame) -> DataFrame:
+    """Candidates with method_scores and method_ranks: maps of what each method said of
+    a candidate, for those of these columns that there are."""
+    has = candidates.columns
+    scores = {"dense": "dense_score", "bm25": "bm25_score", "rrf": "rrf", "norm": "norm", "reranker_prob": "reranker_prob", "score": "score"}
+    ranks = {"dense": "dense_rank", "bm25": "bm25_rank", "pre": "pre_rank", "rank": "rank"}
+
+    def held(names: dict[str, str], kind: str) -> Column:
+        return F.create_map(*(x for n, c in names.items() if c in has for x in (F.lit(n), F.col(c).cast(kind))))
+
+    return candidates.withColumns({"method_scores": held(scores, "double"), "method_ranks": held(ranks, "long")})
+
+
+def rerank(candidates: DataFrame, logit: Column | Callable[[], Callable[[list[str], list[str]], np.ndarray]], k: int = C.top_k, question: str = "question", text: str = "text") -> DataFrame:
+    """Candidates by sigmoid of a logit, ties by the rank before; with pre_rank and
+    reranker_prob. The logit is a column, as `lexical_logit`, or a model: a function that
+    runs once a task and gives one from questions and texts to logits."""
+    if isinstance(logit, Column):
+        made = candidates.withColumn("reranker_prob", 1 / (1 + F.exp(-logit)))
+    else:
+        q, t = candidates.columns.index(question), candidates.columns.index(text)
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = None
+            for b in it:
+                model = model or logit()
+                x = np.asarray(model(b.column(q).to_pylist(), b.column(t).to_pylist()), np.float64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-x)))], names=[*b.schema.names, "reranker_prob"])
+
+        made = candidates.mapInArrow(run, T.StructType([*candidates.schema, T.StructField("reranker_prob", T.DoubleType())]))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("reranker_prob", 6)), "pre_rank")
-    made = candidates.withColumn("reranker_prob", prob).withColumnRenamed("rank", "pre_rank")
+    made = made.drop("pre_rank").withColumnRenamed("rank", "pre_rank")
     return made.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

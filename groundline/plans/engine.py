@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +12,60 @@ from pyspark.sql import functions as F
 from groundline.config import Config
 from groundline.operators import answers, evaluation, lineage, ranking, sections
 from groundline.sources import corpus
+from groundline.sources.tables import fs_path, new_path, written
 
 MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
-STRATEGIES = ("structural", "fixed")
 
 
-def chunk_files(files: DataFrame, strategy: str = "structural", cfg: Config = Config(), extract: Callable | None = None) -> DataFrame:
+class Chunker(Protocol):
+    """How the sections of documents become chunks. `name` is part of chunk ids."""
+
+    name: str
+
+    def chunks(self, docs: DataFrame, secs: DataFrame, cfg: Config) -> DataFrame:
+        """(doc_id, filename, chunk_index, section_title, page_number, start, end, prefix, text, token_count) of
+        docs (doc_id, filename, text); page_number may be left out, and is then told from `start`."""
+
+
+class Structural:
+    name = "struct"
+
+    def chunks(self, docs: DataFrame, secs: DataFrame, cfg: Config) -> DataFrame:
+        return sections.structural_chunks(docs, secs, cfg.max_section_chars, F.col("page_number"))
+
+
+class Fixed:
+    name = "fix"
+
+    def chunks(self, docs: DataFrame, secs: DataFrame, cfg: Config) -> DataFrame:
+        made = sections.chunk_section(sections.fixed_chunks(docs, cfg.chunk_size, cfg.chunk_overlap), secs)
+        return made.withColumn("prefix", F.lit("")).join(docs.select("doc_id", "filename"), "doc_id")
+
+
+STRATEGIES: dict[str, Chunker] = {"structural": Structural(), "fixed": Fixed()}
+#: Decides which queries are answered: (queries, candidates, cfg) to what `answers.gate` gives.
+Gate = Callable[[DataFrame, DataFrame, Config], DataFrame]
+
+
+def chunk_ids(chunks: DataFrame, kind: str, cfg: Config = Config()) -> DataFrame:
+    """`chunks` with chunk_id: file name, a hash of name and version, and a number of
+    three digits or more; or the short form, which collides between files."""
+    number = F.format_string("%03d", "chunk_index")
+    if cfg.compat_chunk_ids:
+        return chunks.withColumn("chunk_id", F.concat(F.lit(f"chk_{kind}_"), F.substring("filename", 1, 6), F.lit("_"), number))
+    version = F.col("version").cast("string") if "version" in chunks.columns else F.lit("")
+    mark = F.left(F.sha2(F.concat_ws("\n", "filename", version), 256), F.lit(12))
+    stem = F.regexp_replace("filename", "[^a-zA-Z0-9_\\-]", "-")
+    return chunks.withColumn("chunk_id", F.concat(F.lit(f"chk_{kind}_"), stem, F.lit("_"), mark, F.lit("_"), number))
+
+
+def chunk_files(files: DataFrame, strategy: str | Chunker = "structural", cfg: Config = Config(), extract: Callable | None = None) -> DataFrame:
     """Chunks of files (filename, file_type, content): doc_id, filename, chunk_index,
-    chunk_id, section_title, page_number, start, end, prefix, text, full_text."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
+    chunk_id, section_title, page_number, start, end, prefix, text, full_text. A strategy
+    is a name or a Chunker."""
+    if isinstance(strategy, str) and strategy not in STRATEGIES:
+        raise ValueError(f"strategy {strategy!r} is none of {tuple(STRATEGIES)}")
+    chunker = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
     texts = corpus.decoded(files).select(F.col("filename").alias("doc_id"), "filename", "file_type", "text")
     kinds = [(k, texts.where(F.col("file_type") == k).drop("file_type")) for k in ("markdown", "text")]
     pages = corpus.pdf_pages(files, extract) if extract else None
@@ -34,94 +80,143 @@ def chunk_files(files: DataFrame, strategy: str = "structural", cfg: Config = Co
             secs = sections.page_of(secs, sections.page_offsets(by))
         else:
             secs = secs.withColumn("page_number", F.lit(1).cast("long"))
-        if strategy == "structural":
-            made = sections.structural_chunks(docs, secs, cfg.max_section_chars, F.col("page_number"))
-        else:
-            made = sections.chunk_section(sections.fixed_chunks(docs, cfg.chunk_size, cfg.chunk_overlap), secs)
-            if kind == "pdf":
-                made = sections.page_of(made, sections.page_offsets(by, 1), last=True)
-            else:
-                made = made.withColumn("page_number", F.lit(1).cast("long"))
-            made = made.withColumn("prefix", F.lit("")).join(docs.select("doc_id", "filename"), "doc_id")
+        made = chunker.chunks(docs, secs, cfg)
+        if "page_number" not in made.columns and kind == "pdf":
+            made = sections.page_of(made, sections.page_offsets(by, 1), last=True)
+        elif "page_number" not in made.columns:
+            made = made.withColumn("page_number", F.lit(1).cast("long"))
         cols = ["doc_id", "filename", "chunk_index", "section_title", "page_number", "start", "end", "prefix", "text", "token_count"]
         out = made.select(*cols) if out is None else out.unionByName(made.select(*cols))
-    short = "struct" if strategy == "structural" else "fix"
-    stem = F.substring("filename", 1, 6) if cfg.compat_chunk_ids else F.regexp_replace("filename", "[^a-zA-Z0-9_\\-]", "-")
-    ident = F.concat(F.lit(f"chk_{short}_"), stem, F.lit("_"), F.lpad(F.col("chunk_index").cast("string"), 3, "0"))
+    if "version" in files.columns:
+        out = out.join(files.select("filename", "version"), "filename", "left")
     full = F.when(F.col("prefix") != "", F.concat_ws("\n", "prefix", "text")).otherwise(F.col("text"))
-    return out.select("*", ident.alias("chunk_id"), full.alias("full_text"))
+    return chunk_ids(out, chunker.name, cfg).withColumn("full_text", full)
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", top_k: int = 5, targets: DataFrame | None = None,
-             vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
-    """Candidates of queries (query_id, question). `vectors` (chunk_id, embedding) and
-    `query_vectors` (query_id, embedding) serve the modes with vectors. An unknown mode
-    gives no candidate. `targets` (filename) applies after ranking."""
-    keyed = chunks.withColumn("_key", F.xxhash64("chunk_id"))
+             vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, cfg: Config = Config(),
+             index: ranking.Bm25Index | None = None, reranker=None) -> DataFrame:
+    """Candidates of queries (query_id, question), with what each method said of them.
+
+    `vectors` (chunk_id, embedding) and `query_vectors` (query_id, embedding) serve the
+    modes with vectors; `index` a persisted keyword index on chunk_id, else postings are
+    made for this batch. An unknown mode gives no candidate. `targets` (filename) applies
+    after ranking. `reranker` is a column or a model, by default the lexical one."""
+    place = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("_doc"), "chunk_index")
+
+    def best(scored: DataFrame, k: int) -> DataFrame:
+        return ranking.top(scored.join(place, "doc_id"), k, ties=["_doc", "chunk_index"]).drop("_doc", "chunk_index")
 
     def keyword(k: int) -> DataFrame:
-        scored = ranking.bm25(keyed.select(F.col("_key").alias("doc_id"), F.col("full_text").alias("text")), queries)
-        return ranking.top(scored, k)
+        scored = index.score(queries) if index else ranking.bm25(chunks.select("chunk_id", F.col("full_text").alias("text")), queries, key="chunk_id")
+        return best(scored.withColumnRenamed("chunk_id", "doc_id"), k)
 
     def vector(k: int) -> DataFrame:
         if vectors is None or query_vectors is None:
             raise ValueError(f"mode {mode!r} needs vectors and query_vectors")
-        v = vectors.select(F.xxhash64("chunk_id").alias("doc_id"), "embedding")
-        return ranking.top(ranking.dense(v, query_vectors, k), k)
+        return best(ranking.dense(vectors.select(F.col("chunk_id").alias("doc_id"), "embedding"), query_vectors, k), k)
 
     pool = 4 * top_k if targets is not None else top_k
     if mode == "bm25":
-        ranked = keyword(pool)
+        ranked = keyword(pool).withColumn("bm25_score", F.col("score"))
     elif mode == "dense":
-        ranked = vector(pool)
+        ranked = vector(pool).withColumn("dense_score", F.col("score"))
     elif mode in ("hybrid", "hybrid_rerank"):
         ranked = ranking.fuse(vector(cfg.pool), keyword(cfg.pool), cfg.pool, cfg)
     else:
         ranked = keyword(1).where("false")
-    cols = ["query_id", "rank", "score"]
-    found = ranked.select(*cols, F.col("doc_id").alias("_key")).join(keyed, "_key").drop("_key").join(queries.select("query_id", "question"), "query_id")
+    found = ranked.withColumnRenamed("doc_id", "chunk_id").join(chunks, "chunk_id").join(queries.select("query_id", "question"), "query_id")
     if targets is not None:
-        found = ranking.only_targets(found, targets, cfg.pool, key="filename")
+        found = ranking.only_targets(found, targets, cfg.pool if mode == "hybrid_rerank" else top_k, key="filename")
     if mode == "hybrid_rerank":
-        return ranking.rerank(found, ranking.lexical_logit(F.col("question"), F.col("full_text")), top_k)
-    return found.where(F.col("rank") <= top_k) if targets is None else ranking.only_targets(found, targets, top_k, key="filename")
+        logit = ranking.lexical_logit(F.col("question"), F.col("full_text")) if reranker is None else reranker
+        found = ranking.rerank(found, logit, top_k, text="full_text")
+    return ranking.with_methods(found.where(F.col("rank") <= top_k))
+
+
+class Tracer:
+    """Milliseconds of a batch's stages. Plans run when they are needed, so a stage is
+    timed by writing its table."""
+
+    def __init__(self) -> None:
+        self.stages: dict[str, float] = {}
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        began = time.monotonic()
+        out = written(df, name)
+        self.stages[name] = self.stages.get(name, 0.0) + round(1000 * (time.monotonic() - began), 3)
+        return out
 
 
 class Engine:
-    """Ingest a folder, index it once, and ask tables of questions."""
+    """Ingest a folder, index it once, and ask tables of questions.
+
+    With `storage` versions are kept there as a manifest and found again by the next
+    Engine. `gate` may be any function of the kind `Gate`."""
 
-    def __init__(self, spark: SparkSession, cfg: Config = Config()):
-        self.spark, self.cfg = spark, cfg
+    def __init__(self, spark: SparkSession, cfg: Config = Config(), storage: str | None = None, gate: Gate = answers.gate):
+        self.spark, self.cfg, self.storage, self.gate = spark, cfg, storage, gate
         self.versions: DataFrame | None = None
         self.chunks: DataFrame | None = None
-        self.strategy, self.index_version = "structural", "v1"
+        self.index: ranking.Bm25Index | None = None
+        self.strategy: str | Chunker = "structural"
+        self.index_version, self.tracer = "v1", Tracer()
+        if storage and (fs := fs_path(spark, f"{storage}/versions"))[0].exists(fs[1]):
+            self.versions = spark.read.parquet(f"{storage}/versions")
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """Status of each file; keeps the versions."""
         known = None if self.versions is None else self.versions.select("filename", "version", "content_hash")
-        status = lineage.ingest(files, known).persist()
+        status = written(lineage.ingest(files, known), "status")
         kept = status.where("version is not null").drop("status")
-        self.versions = kept if self.versions is None else self.versions.unionByName(kept)
+        if self.storage:
+            kept.write.mode("append").parquet(f"{self.storage}/versions")
+            corpus.save_manifest(kept.drop("content"), f"{self.storage}/manifest")
+            self.versions = self.spark.read.parquet(f"{self.storage}/versions")
+        else:
+            self.versions = kept if self.versions is None else self.versions.unionByName(kept)
         return status
 
     def ingest_folder(self, folder: str, source_type: str = "corpus") -> DataFrame:
         return self.ingest(corpus.scan(self.spark, folder, source_type))
 
+    def upload(self, folder: str, filename: str, content: bytes) -> DataFrame:
+        """Land an uploaded file in `folder` and ingest it; its status."""
+        corpus.save_upload(self.spark, folder, filename, content)
+        return self.ingest(corpus.scan(self.spark, folder, "uploaded").where(F.col("filename") == filename))
+
     def documents(self, active_only: bool = True) -> DataFrame:
         return lineage.active(self.versions) if active_only else self.versions
 
-    def reindex(self, strategy: str | None = None, extract: Callable | None = None) -> DataFrame:
+    def reindex(self, strategy: str | Chunker | None = None, extract: Callable | None = None) -> DataFrame:
+        """Chunk the active documents and write their keyword index."""
         self.strategy = strategy or self.strategy
-        self.chunks = chunk_files(self.documents(), self.strategy, self.cfg, extract).persist()
+        self.chunks = written(chunk_files(self.documents(), self.strategy, self.cfg, extract), "chunks")
+        self.index = ranking.Bm25Index.build(self.chunks, new_path(self.spark, "index"), "chunk_id", "full_text")
         return self.chunks
 
+    def bump_index_version(self, tag: str) -> None:
+        self.index_version = tag
+
     def stats(self) -> dict[str, int | str]:
-        return {"documents": self.documents().count(), "chunks": self.chunks.count(), "strategy": self.strategy, "index_version": self.index_version}
+        name = self.strategy if isinstance(self.strategy, str) else self.strategy.name
+        return {"documents": self.documents().count(), "chunks": self.chunks.count(), "strategy": name, "index_version": self.index_version}
 
     def query(self, queries: DataFrame, mode: str = "bm25", top_k: int = 5, **more) -> tuple[DataFrame, DataFrame]:
-        """(results, candidates) of a table of questions."""
-        found = retrieve(self.chunks, queries, mode, top_k, cfg=self.cfg, **more)
-        return answers.generate(queries, found, self.cfg), found
+        """(results, candidates) of a table of questions, each written once; `tracer` has
+        the times of both stages, and results carry the batch's mean latency."""
+        self.tracer = Tracer()
+        found = self.tracer.stage("retrieve", self._found(queries, mode, top_k, **more))
+        results = self.tracer.stage("generate", answers.generate(queries, found, self.cfg, self.gate))
+        mean = sum(self.tracer.stages.values()) / max(1, results.count())
+        return results.withColumn("latency_ms", F.lit(mean)), found
+
+    def _found(self, queries: DataFrame, mode: str, top_k: int = 5, **more) -> DataFrame:
+        return retrieve(self.chunks, queries, mode, top_k, cfg=self.cfg, **({"index": self.index} | more))
+
+    def trace(self, results: DataFrame, found: DataFrame, path: str) -> DataFrame:
+        """Append the traces of the last query to `path`; `corpus.trace_by_id` reads one."""
+        return corpus.save_traces(corpus.traces(results, found), path, self.tracer.stages)
 
     def evaluate(self, questions: DataFrame, mode: str = "bm25", top_k: int = 5, **more) -> DataFrame:
         """Metrics of labelled questions. As in the published figures, a refused question
@@ -130,17 +225,34 @@ class Engine:
         results, found = self.query(queries, mode, top_k, **more)
         return evaluation.evaluate(judge(questions, results, found))
 
-    def ablation(self, questions: DataFrame, modes: tuple[str, ...] = ("bm25",), **more) -> DataFrame:
-        """One row of metrics a mode, in one table."""
-        out = None
+    def ablation(self, questions: DataFrame, modes: tuple[str, ...] = ("bm25",), top_k: int = 5, **more) -> tuple[DataFrame, DataFrame]:
+        """(metrics, details): one row of metrics a mode, and one of details a mode and
+        question. Candidates of all modes go through answers and metrics together."""
+        queries = questions.select(F.col("question_id").alias("query_id"), "question")
+        own = lambda mode: F.concat(F.lit(f"{mode}\n"), F.col("query_id").cast("string"))
+        cols = ["query_id", "question", "rank", "chunk_id", "doc_id", "filename", "page_number", "section_title", "text", "score"]
+        found, asked, labelled = None, None, None
         for mode in modes:
-            row = self.evaluate(questions, mode, **more).withColumn("config", F.lit(mode))
-            out = row if out is None else out.unionByName(row)
-        return out
+            got = self._found(queries, mode, top_k, **more)
+            prob = F.col("reranker_prob") if "reranker_prob" in got.columns else F.lit(None).cast("double")
+            parts = (
+                got.select(*cols, prob.alias("reranker_prob")).withColumn("query_id", own(mode)),
+                queries.withColumn("query_id", own(mode)),
+                questions.withColumnRenamed("question_id", "query_id").withColumn("query_id", own(mode)).withColumn("config", F.lit(mode)),
+            )
+            found, asked, labelled = parts if found is None else tuple(a.unionByName(b) for a, b in zip((found, asked, labelled), parts))
+        self.tracer = Tracer()
+        found = self.tracer.stage("retrieve", found)
+        results = self.tracer.stage("generate", answers.generate(asked, found, self.cfg, self.gate))
+        mean = sum(self.tracer.stages.values()) / max(1, results.count())
+        marked = judge(labelled.withColumnRenamed("query_id", "question_id"), results.withColumn("latency_ms", F.lit(mean)), found)
+        rows = marked.join(labelled.select("query_id", "config"), "query_id").withColumn("query_id", F.substring_index("query_id", "\n", -1))
+        return evaluation.evaluate(rows, ["config"]), rows
 
 
 def judge(questions: DataFrame, results: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row a question: labels, rank metrics and failure."""
+    """One row a question: labels, rank metrics and failure; `relevant_hit` is null where
+    the question should be refused."""
     q = questions.withColumnRenamed("question_id", "query_id")
     shown = candidates.join(results.select("query_id", "decision"), "query_id").where((F.col("decision") == "ANSWER") | (F.col("rank") <= 3))
     rel = evaluation.relevant(F.col("filename"), F.col("text"), F.col("golden_doc_filenames"), F.col("golden_passage_keywords"))
@@ -148,4 +260,6 @@ def judge(questions: DataFrame, results: DataFrame, candidates: DataFrame) -> Da
     by = evaluation.rank_metrics(marked)
     rows = q.select("query_id", "category", "should_abstain").join(results.drop("question"), "query_id").join(by, "query_id", "left")
     rows = rows.fillna(0, ["recall_1", "recall_3", "recall_5", "rr_5", "ndcg_5"]).withColumn("abstained", F.col("decision") == "ABSTAIN")
-    return rows.withColumn("failure", evaluation.failure(F.col("should_abstain"), F.col("abstained"), F.col("first_hit").isNotNull()))
+    hit = F.col("first_hit").isNotNull()
+    rows = rows.withColumn("relevant_hit", F.when(~F.col("should_abstain"), hit))
+    return rows.withColumn("failure", evaluation.failure(F.col("should_abstain"), F.col("abstained"), hit))

@@ -16,7 +16,9 @@ from groundline.operators import lineage as L
 from groundline.operators import ranking as R
 from groundline.operators import sections as S
 from groundline.session import prepare
+from groundline.sources import corpus
 from groundline.sources.corpus import traces
+from groundline.sources.tables import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,14 +82,13 @@ def term_frequency(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {TF}, {DF} SELECT term, df::BIGINT AS df FROM df")
 def doc_frequency(spark, sf_dir):
-    return _toks(spark, sf_dir).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return R.document_frequency(_toks(spark, sf_dir))
 
 
 @query(f"WITH {DOCS}, {TF}, {DF}, {STATS} SELECT term, round({IDF}, 6) AS idf FROM df, st")
 def idf_table(spark, sf_dir):
     toks = _toks(spark, sf_dir)
-    df = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(R.corpus_stats(toks))).select("term", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return R.document_frequency(toks).join(F.broadcast(R.corpus_stats(toks))).select("term", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {DOCS}, {STATS} SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM st")
@@ -103,9 +104,7 @@ def doc_fingerprint(spark, sf_dir):
 
 @query("SELECT doc_id, first_id, doc_id <> first_id AS is_duplicate FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents)")
 def exact_dedup(spark, sf_dir):
-    hashed = read(spark, sf_dir, "documents").select("doc_id", L.fingerprint(F.col("text")).alias("h"))
-    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    return hashed.join(firsts, "h").select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("is_duplicate"))
+    return L.duplicates(read(spark, sf_dir, "documents").select("doc_id", L.fingerprint(F.col("text")).alias("content_hash")))
 
 
 LINEAGE = """
@@ -133,7 +132,7 @@ def active_documents(spark, sf_dir):
 
 @query(f"WITH {LINEAGE} SELECT status, count(*)::BIGINT AS n FROM lin GROUP BY status")
 def ingest_status_counts(spark, sf_dir):
-    return _lineage(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    return L.status_counts(_lineage(spark, sf_dir))
 
 
 # ranking
@@ -153,7 +152,8 @@ def _questions(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, k):
-    return R.top(R.bm25(read(spark, sf_dir, "documents"), _questions(spark, sf_dir)), k)
+    index = R.Bm25Index.build(read(spark, sf_dir, "documents"), new_path(spark, "index"))
+    return R.top(index.score(_questions(spark, sf_dir)), k)
 
 
 @query(f"WITH {BM25} SELECT query_id, rank::BIGINT AS rank, doc_id, round(score, 6) AS score FROM bm WHERE rank <= 5")
@@ -162,10 +162,10 @@ def bm25_topk(spark, sf_dir):
 
 
 @query(f"""WITH {BM25}, t AS (SELECT bm.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM bm JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3'))
-SELECT query_id, rank::BIGINT AS rank, doc_id FROM t WHERE n <= 5""")
+SELECT query_id, n::BIGINT AS rank, rank::BIGINT AS pre_rank, doc_id FROM t WHERE n <= 5""")
 def bm25_target_filter(spark, sf_dir):
     wanted = read(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id")
-    return R.only_targets(_bm25(spark, sf_dir, 20), wanted, 5).select("query_id", F.col("rank").cast("long"), "doc_id")
+    return R.only_targets(_bm25(spark, sf_dir, 20), wanted, 5).select("query_id", F.col("rank").cast("long"), F.col("pre_rank").cast("long"), "doc_id")
 
 
 DENSE = """
@@ -311,7 +311,7 @@ def fixed_chunk_sections(spark, sf_dir):
 
 
 PAGES = """
-pg AS (SELECT doc_id, p + 1 AS page_number, substr(text, p * 400 + 1, 400) AS t FROM documents, generate_series(0, 40) g(p) WHERE p * 400 < length(text)),
+pg AS (SELECT doc_id, p + 1 AS page_number, substr(text, p * 400 + 1, 400) AS t FROM documents, generate_series(0, (SELECT max(length(text)) // 400 FROM documents)) g(p) WHERE p * 400 < length(text)),
 po AS (SELECT doc_id, page_number, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(t) AS n FROM pg)
 """
 
@@ -348,13 +348,19 @@ cand AS (SELECT query_id, b.text AS question, rank, 'doc_' || doc_id AS chunk_id
 """
 
 
-def _candidates(spark, sf_dir):
+def _as_candidates(spark, sf_dir, ranked):
+    """Ranked documents as candidates, written once for all that reads them."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("filename"), "text")
-    return (
-        _bm25(spark, sf_dir, 5).join(d, "doc_id").join(_questions(spark, sf_dir), "query_id")
+    made = (
+        ranked.join(d, "doc_id").join(_questions(spark, sf_dir), "query_id")
         .withColumn("chunk_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
         .withColumn("page_number", F.lit(1)).withColumn("section_title", F.lit("Main"))
     )
+    return written(made, "candidates")
+
+
+def _candidates(spark, sf_dir):
+    return _as_candidates(spark, sf_dir, _bm25(spark, sf_dir, 5))
 
 
 MISSING = f"""
@@ -541,16 +547,19 @@ def citation_metrics(spark, sf_dir):
 # evaluation
 REL = f"""
 {CAND},
-re AS (SELECT query_id, rank, contains(lower(text), lower(substr(question, 1, 40))) AS relevant FROM cand),
+re AS (SELECT query_id, rank, (len(list_filter(string_split(lower(question), ' '), lambda k: contains(lower(text), k))) >= greatest(1.0::DOUBLE, len(string_split(question, ' ')) * 0.4::DOUBLE)
+  AND contains(lower(filename), lower(gold))) AS relevant FROM (SELECT *, CASE WHEN query_id % 3 = 0 THEN 'src1' ELSE 'SRC' END AS gold FROM cand)),
 rm AS (SELECT query_id, min(CASE WHEN relevant THEN rank END) AS first_hit, sum(CASE WHEN relevant THEN 1 / log2(rank + 1) END) AS dcg FROM re GROUP BY query_id),
 rk AS (SELECT query_id, first_hit, coalesce(first_hit <= 1, false)::BIGINT AS recall_1, coalesce(first_hit <= 3, false)::BIGINT AS recall_3, coalesce(first_hit <= 5, false)::BIGINT AS recall_5,
   coalesce(1.0::DOUBLE / first_hit, 0) AS rr_5, coalesce(least(1.0, dcg), 0) AS ndcg_5 FROM rm)
 """
 
 
-def _labelled(spark, sf_dir):
-    rel = E.relevant(F.col("filename"), F.col("text"), F.array().cast("array<string>"), F.array(F.substring("question", 1, 40)))
-    return _candidates(spark, sf_dir).select("query_id", "rank", rel.alias("relevant"))
+def _labelled(spark, sf_dir, cands=None):
+    """By all words of the passage, and by a golden file name."""
+    gold = F.when(F.col("query_id") % 3 == 0, "src1").otherwise("SRC")
+    rel = E.relevant(F.col("filename"), F.col("text"), F.array(gold), F.split("question", " "))
+    return (_candidates(spark, sf_dir) if cands is None else cands).select("query_id", "rank", rel.alias("relevant"))
 
 
 @query(f"WITH {REL} SELECT query_id, rank::BIGINT AS rank, relevant FROM re")
@@ -580,7 +589,7 @@ def abstention_confusion(spark, sf_dir):
 def _results(spark, sf_dir):
     cands = _candidates(spark, sf_dir)
     got = A.generate(_questions(spark, sf_dir), cands, CFG).withColumn("should_abstain", F.col("query_id") % 5 == 0).withColumn("abstained", F.col("decision") == "ABSTAIN")
-    return got.join(E.rank_metrics(_labelled(spark, sf_dir)), "query_id", "left").fillna(0, ["recall_1", "recall_3", "recall_5", "rr_5", "ndcg_5"])
+    return got.join(E.rank_metrics(_labelled(spark, sf_dir, cands)), "query_id", "left").fillna(0, ["recall_1", "recall_3", "recall_5", "rr_5", "ndcg_5"])
 
 
 RESULTS = f"""
@@ -600,20 +609,26 @@ def failure_classes(spark, sf_dir):
 
 @query("SELECT lang AS category, count(*)::BIGINT AS n FROM documents GROUP BY lang")
 def category_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n"))
+    return E.category_counts(read(spark, sf_dir, "documents"), "lang")
 
 
-@query(rf"""WITH l AS (SELECT user_id % 10 AS g, avg(value) AS v FROM events GROUP BY 1), t AS (SELECT conv_id % 10 AS g, avg({WORDS.format('text')}::DOUBLE) AS w FROM conversations GROUP BY 1)
-SELECT g::BIGINT AS grp, round(v, 2) AS avg_latency, round(w, 1) AS avg_tokens FROM l JOIN t USING (g)""")
+@query(rf"""SELECT (conv_id % 10)::BIGINT AS grp, round(avg((length(text) % 97)::DOUBLE), 2) AS avg_latency, round(avg({WORDS.format('text')}::DOUBLE), 1) AS avg_tokens FROM conversations GROUP BY 1""")
 def latency_tokens(spark, sf_dir):
-    v = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("grp")).agg(F.round(F.avg("value"), 2).alias("avg_latency"))
-    w = read(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 10).alias("grp")).agg(F.round(F.avg(words(F.col("text")).cast("double")), 1).alias("avg_tokens"))
-    return v.join(w, "grp")
+    c = read(spark, sf_dir, "conversations").withColumn("grp", F.col("conv_id") % 10)
+    return E.mean_cost(c, ["grp"], (F.length("text") % 97).cast("double"), words(F.col("text")))
 
 
-@query("SELECT conv_id, turn::BIGINT AS turn, text FROM (SELECT *, row_number() OVER (ORDER BY conv_id DESC, turn DESC) AS n FROM conversations) WHERE n <= 8")
+@query("""SELECT conv_id::VARCHAR AS query, text AS answer, (conv_id * 1000 + turn)::DOUBLE AS timestamp FROM (SELECT *, row_number() OVER (ORDER BY conv_id DESC, turn DESC) AS n FROM conversations) WHERE n <= 8""")
 def recent_history(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(8).select("conv_id", F.col("turn").cast("long"), "text")
+    """Appended to a history in two batches, and read back."""
+    rows = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("query"), F.lit("ANSWER").alias("decision"), F.col("text").alias("answer"), F.col("role").alias("target"),
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("double").alias("timestamp"),
+    )
+    path = new_path(spark, "history")
+    corpus.append_history(rows.where("conv_id % 2 = 0"), path)
+    corpus.append_history(rows.where("conv_id % 2 = 1"), path)
+    return corpus.recent_history(corpus.load_history(spark, path)).select("query", "answer", "timestamp")
 
 
 @query(f"""WITH {RESULTS}, {CONFUSED.format(by='', t='rs', group='').replace('co AS', 'cx AS').replace('FROM co)', 'FROM cx)')}

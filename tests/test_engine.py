@@ -10,15 +10,16 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundline import queries as Q
-from groundline.config import Config
+from groundline.config import Config, Paths
 from groundline.functions import text as T
 from groundline.operators import answers as A
 from groundline.operators import evaluation as E
 from groundline.operators import lineage as L
 from groundline.operators import ranking as R
 from groundline.operators import sections as S
-from groundline.plans.engine import Engine, chunk_files, judge, retrieve
+from groundline.plans.engine import MODES, Engine, chunk_files, judge, retrieve
 from groundline.sources import corpus
+from groundline.sources.tables import written
 from groundline.streaming.ingest import arrivals, ingest_stream
 
 CAND = "query_id long, question string, rank int, chunk_id string, doc_id string, filename string, page_number int, section_title string, text string, score double"
@@ -223,7 +224,12 @@ def test_engine_flow(spark, folder):
         [("a", "direct", "How does Raft elect a leader?", False, ["RAFT"], ["leader", "term"]), ("b", "unanswerable", "zebra giraffe", True, [], [])],
         "question_id string, category string, question string, should_abstain boolean, golden_doc_filenames array<string>, golden_passage_keywords array<string>",
     )
-    m = eng.ablation(questions).first()
+    metrics, details = eng.ablation(questions, ("bm25", "hybrid_rerank", "dense", "hybrid"), vectors=vec, query_vectors=qv.select(F.element_at(F.array(F.lit("b"), F.lit("a"), F.lit("c")), F.col("query_id").cast("int")).alias("query_id"), "embedding"))
+    assert len(metrics.columns) == 15 and details.count() == 8 and {r.config for r in metrics.collect()} == set(MODES)
+    table = corpus.save_metrics(metrics, details.where("failure is not null").select("config", "query_id", "failure"), f"{folder}-out")
+    assert table.count("\n") == 5 and spark.read.json(f"{folder}-out/ablation_metrics").count() == 4
+    m = metrics.where("config = 'bm25'").first()
+    assert details.where("query_id = 'b' and relevant_hit is not null").count() == 0
     assert (m.config, m.total_questions, m.recall_at_1, m.abstention_f1, m.citation_precision) == ("bm25", 2, 1.0, 1.0, 1.0)
     res, fnd = eng.query(questions.withColumnRenamed("question_id", "query_id"))
     assert {r.query_id: r.failure for r in judge(questions, res, fnd).collect()} == {"a": None, "b": None}
@@ -231,9 +237,102 @@ def test_engine_flow(spark, folder):
     assert fixed.where("prefix <> ''").count() == 0 and fixed.where("filename = 'raft.txt'").first().section_title == "Consensus"
     with pytest.raises(ValueError):
         eng.reindex("other")
+    results, found = eng.query(q, "bm25")
+    kept = eng.trace(results, found, f"{folder}-traces").collect()
+    one_ = corpus.trace_by_id(spark, f"{folder}-traces", kept[0].trace_id).collect()
+    assert len(kept) == 3 and len(one_) == 1 and set(one_[0].stage_ms) == {"retrieve", "generate"} and one_[0].total_ms > 0
+    assert corpus.trace_by_id(spark, f"{folder}-traces", "none").count() == 0
+    eng.bump_index_version("v2")
+    assert eng.stats()["index_version"] == "v2"
     assert corpus.missing_files(corpus.scan(spark, str(folder)), eng.documents().where("filename <> 'raft.txt'")).first().filename == "raft.txt"
 
 
+def test_targets_answer_by_place(spark):
+    files = [(f"f{i}.txt", "text", bytearray(b"raft leader election term raft leader" if i < 7 else b"a raft elects its leader by votes of other nodes in a longer text")) for i in range(8)]
+    chunks = chunk_files(spark.createDataFrame(files, "filename string, file_type string, content binary"))
+    q = spark.createDataFrame([(1, "raft leader votes")], "query_id long, question string")
+    everything = retrieve(chunks, q, "bm25", 10)
+    only = written(retrieve(chunks, q, "bm25", targets=spark.createDataFrame([("f6.txt",), ("f5.txt",)], "filename string")), "found")
+    got = {r.filename: (r["rank"], r.pre_rank) for r in only.collect()}
+    first = {r.filename: r["rank"] for r in everything.collect()}
+    assert got == {"f5.txt": (1, first["f5.txt"]), "f6.txt": (2, first["f6.txt"])} and first["f5.txt"] > 3
+    assert A.generate(q, only, Config(weak_threshold=0.0)).first().reason != "missing_evidence"
+
+
+def test_chunk_ids_are_unique(spark):
+    long = "\n\n".join(f"# h{i}\n\nbody {i}" for i in range(1500))
+    files = [("a.b.md", "markdown", bytearray(long.encode()), 1), ("a-b.md", "markdown", bytearray(long.encode()), 1), ("a.b.md.md", "markdown", bytearray(b"x"), 2)]
+    chunks = chunk_files(spark.createDataFrame(files, "filename string, file_type string, content binary, version long"))
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 3001
+    assert chunks.where("chunk_id like '%\\\\_1000'").count() == 2 and chunks.where("chunk_id like '%\\\\_007'").count() == 2
+    assert all(re.fullmatch(r"[a-zA-Z0-9_\-]+", r.chunk_id) for r in chunks.select("chunk_id").collect())
+
+
+def test_own_chunker_and_gate(spark, folder):
+    class Whole:
+        name = "whole"
+
+        def chunks(self, docs, secs, cfg):
+            n = F.length("text").cast("long")
+            return docs.select("doc_id", "filename", F.lit(0).cast("long").alias("chunk_index"), F.lit("All").alias("section_title"), F.lit(0).cast("long").alias("start"), n.alias("end"), F.lit("").alias("prefix"), "text", n.alias("token_count"))
+
+    def never(queries, candidates, cfg):
+        return A.gate(queries, candidates.where("false"), cfg)
+
+    eng = Engine(spark, storage=f"{folder}-store", gate=never)
+    eng.ingest_folder(str(folder))
+    assert eng.reindex(Whole()).count() == 3 and eng.stats()["strategy"] == "whole"
+    q = spark.createDataFrame([(1, "How does Raft elect a leader?")], "query_id long, question string")
+    assert eng.query(q)[0].first().decision == "ABSTAIN"
+    again = Engine(spark, storage=f"{folder}-store")
+    assert again.documents().count() == 3 and {r.status for r in again.ingest_folder(str(folder)).collect()} == {"DUPLICATE_IGNORED"}
+    assert again.upload(f"{folder}-up", "New.MD", b"# new\n\ntext").first().status == "CREATED"
+    assert again.upload(f"{folder}-up", "New.MD", b"# newer\n\ntext").first().version == 2
+    assert corpus.load_manifest(spark, f"{folder}-store/manifest", "filename string, version long").count() == 5
+    with pytest.raises(ValueError):
+        again.upload(f"{folder}-up", "../x", b"")
+
+
+def test_scan_endings_and_folders(spark, tmp_path):
+    for n in ("Report.Md", "X.MARKDOWN", "y.Txt", "z.rst", "k.PdF"):
+        (tmp_path / n).write_text("t")
+    assert {(r.filename, r.file_type) for r in corpus.scan(spark, str(tmp_path)).collect()} == {("Report.Md", "markdown"), ("X.MARKDOWN", "markdown"), ("y.Txt", "text"), ("k.PdF", "pdf")}
+    assert corpus.scan(spark, str(tmp_path / "none")).collect() == []
+    assert corpus.load_history(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_paths(tmp_path, monkeypatch):
+    monkeypatch.setenv("CORPUS_DIR", str(tmp_path / "c"))
+    monkeypatch.delenv("STORAGE_DIR", raising=False)
+    p = Paths.discover(str(tmp_path))
+    assert p.corpus == str(tmp_path / "c") and (tmp_path / "c").is_dir() and p.storage == f"{tmp_path}/data/storage"
+
+
+def test_models_plug_in(spark):
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[t.count("a"), t.count("b")] for t in texts])
+
+    df = spark.createDataFrame([(1, "aab"), (2, None), (3, "bbbb")], "doc_id long, text string")
+    got = {r.doc_id: r.embedding for r in R.embed(df, load, "doc_id", "text", batch=2).collect()}
+    assert got[1] == pytest.approx([2 / 5**0.5, 1 / 5**0.5]) and got[2] == [0, 0] and got[3] == [0, 1]
+    c = cands(spark, "no", "yes yes", "yes")
+    out = R.rerank(c, lambda: lambda q, t: [x.count("yes") * 2.0 - 1 for x in t], 2).collect()
+    assert [(r.pre_rank, round(r.reranker_prob, 4)) for r in out] == [(2, 0.9526), (3, 0.7311)]
+
+
+def test_index_equals_scan(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6, "the a of"), (10**6 + 1, None)], "doc_id long, text string"))
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    index = R.Bm25Index.build(docs, f"{tmp_path}/index")
+    key = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 8)) for r in df.collect())
+    assert key(index.score(q)) == key(R.bm25(docs, q))
+    again = R.Bm25Index(spark, f"{tmp_path}/index").score(q.limit(2))
+    assert "PartitionFilters: [bucket" in again._jdf.queryExecution().executedPlan().toString() or "bucket" in again._jdf.queryExecution().toString()
+    assert rows(index.stats()) == [(docs.count(), pytest.approx(R.corpus_stats(R.tokenized(docs, "doc_id", "text")).first().avgdl))]
+
+
 def test_pdf_pages_with_an_extractor(spark):
     f = spark.createDataFrame([("a.pdf", "pdf", bytearray(b"INTRODUCTION\nbody one|MORE RESULTS\nbody two"))], "filename string, file_type string, content binary")
     chunks = chunk_files(f, "structural", Config(), lambda c: iter(c.decode().split("|")))
@@ -258,7 +357,7 @@ def test_stream_equals_batches(spark, tmp_path):
         (src / name).write_text(text)
         ingest_stream(arrivals(spark, str(src)), table, str(tmp_path / f"cp{'' if i < 2 else 2}")).awaitTermination()
     got = sorted((r.filename, r.status, r.version) for r in spark.read.parquet(table).where("version is not null").collect())
-    assert ("a.md", "CREATED", 1) in got and ("b.md", "CREATED", 1) in got
+    assert got == [("a.md", "CREATED", 1), ("a.md", "UPDATED_NEW_VERSION", 2), ("b.md", "CREATED", 1)]
 
 
 def test_registry_and_plans(spark, sf_dir):
@@ -277,7 +376,7 @@ def test_oracles(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "pages", "labels", "conversations", "orders", "part", "events"):
+    for t in ("documents", "embeddings", "benchmark", "pages", "labels", "conversations", "orders", "part", "events", "customer"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got, want = Q.QUERIES[name](spark, sf_dir).toPandas(), con.execute(Q.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
