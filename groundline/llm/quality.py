@@ -35,7 +35,7 @@ SHORT = 2.0
 #: Largest probability table and list of trusted ids that is sent to every executor; beyond it they are joined.
 SEND_ROWS = 1_500_000
 #: Repeats: the limit is REPEAT_MARGIN times quantile HIGH, REPEAT_LEAST at least; a text counts as REPEAT_MORE tokens longer.
-REPEAT_MARGIN, REPEAT_LEAST, REPEAT_MORE = 2.0, 0.01, 20
+REPEAT_MARGIN, REPEAT_LEAST, REPEAT_MORE = 2.5, 0.01, 20
 #: Symbols whose n-grams are numbered at once; longer texts go on in the next piece.
 PIECE = 1 << 20
 #: Quantiles are exact over values rounded to this.
@@ -56,47 +56,101 @@ def grams_of(words: list[str], order: int = ORDER) -> tuple[list[str], np.ndarra
     return _numbered([BOS + w + EOS for w in words], np.ones(len(words), np.int64), order)
 
 
-def _numbered(pieces: list[str], skip: np.ndarray, order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The n-grams that end in each piece after its first `skip` symbols."""
+def _laid(pieces: list[str], skip: np.ndarray, order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces in one text: that, its code points, the places after each piece's first
+    `skip` symbols, how far each one's history goes back, and whose piece it is."""
     text = "".join(pieces)
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place >= np.repeat(skip, sizes))
+    return text, points, at, np.minimum(place[at], order - 1), owner[at]
+
+
+def _keys(symbols: np.ndarray, at: np.ndarray, back: np.ndarray, bits: int, order: int) -> np.ndarray:
+    """The n-gram that ends at each place as one number; the last symbol is its lowest `bits`."""
+    key = symbols[at]
+    for j in range(1, order):
+        key |= np.where(back >= j, symbols[np.maximum(at - j, 0)] << (bits * j), 0)
+    return key
+
+
+def _coded(points: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number from 1 for each kind of symbol, by code point, and the bits of the largest."""
     seen = np.zeros(int(points.max(initial=0)) + 1, bool)
     seen[points] = True
     kinds = np.flatnonzero(seen)
-    bits = int(len(kinds)).bit_length()
-    at = np.flatnonzero(place >= np.repeat(skip, sizes))
-    back = np.minimum(place[at], order - 1)
+    code = np.zeros(len(seen), np.int64)
+    code[kinds] = np.arange(1, len(kinds) + 1)
+    return code, int(len(kinds)).bit_length()
+
+
+def _numbered(pieces: list[str], skip: np.ndarray, order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The n-grams that end in each piece after its first `skip` symbols."""
+    text, points, at, back, owner = _laid(pieces, skip, order)
+    code, bits = _coded(points)
     if bits * order > 63:  # too many kinds of symbols for one number
         names: dict[str, int] = {}
         which = [names.setdefault(text[i - h : i + 1], len(names)) for i, h in zip(at.tolist(), back.tolist(), strict=True)]
-        return list(names), np.array(which, np.int64), owner[at]
-    code = np.zeros(len(seen), np.int64)
-    code[kinds] = np.arange(1, len(kinds) + 1)
-    symbols = code[points]
-    key = symbols[at]
-    for j in range(1, order):
-        key |= np.where(back >= j, symbols[np.maximum(at - j, 0)] << (bits * j), 0)
-    coded = pa.array(key).dictionary_encode()
+        return list(names), np.array(which, np.int64), owner
+    coded = pa.array(_keys(code[points], at, back, bits, order)).dictionary_encode()
     which = coded.indices.to_numpy()
     first = np.zeros(len(coded.dictionary), np.int64)
     first[which[::-1]] = np.arange(len(which))[::-1]
     names = [text[i - h : i + 1] for i, h in zip(at[first].tolist(), back[first].tolist(), strict=True)]
-    return names, which, owner[at]
-
-
-def grams_of_texts(texts: list[str], order: int = ORDER, piece: int = PIECE) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """As grams_of, for texts and in turns of about `piece` symbols. A longer text is
-    taken in pieces that each begin with the history of their first symbol, so none of
-    its n-grams is lost or counted twice."""
+    return names, which, owner
+
+
+class Scores:
+    """Log-probabilities of n-grams, looked up many at a time in an open table of their
+    numbers; by their strings where symbols are too many for one number."""
+
+    def __init__(self, grams: list[str], logp: np.ndarray, order: int = ORDER):
+        points = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4")
+        self.order, (self.code, self.bits) = order, _coded(points)
+        self.named = dict(zip(grams, logp.tolist())) if self.bits * order > 63 else None
+        if self.named is not None:
+            return
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        ends = np.cumsum(sizes) - 1
+        keys = _keys(self.code[points], ends, sizes - 1, self.bits, order) if len(grams) else np.zeros(0, np.int64)
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.keys, self.logp = np.zeros(1 << (64 - int(self.shift)), np.int64), np.zeros(1 << (64 - int(self.shift)), np.float64)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self.keys[slot] == 0  # no n-gram has the number 0
+            self.keys[slot[free]] = keys[left[free]]
+            own = self.keys[slot] == keys[left]
+            self.logp[slot[own]] = logp[left[own]]
+            left, slot = left[~own], (slot[~own] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, pieces: list[str], skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each symbol after its piece's first `skip`, and its piece."""
+        text, points, at, back, owner = _laid(pieces, skip, self.order)
+        if self.named is not None:
+            found = [self.named[text[i - h : i + 1]] for i, h in zip(at.tolist(), back.tolist(), strict=True)]
+            return np.array(found, np.float64), owner
+        keys = _keys(self.code[points], at, back, self.bits, self.order)
+        slot = self._slots(keys)
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        while len(miss):
+            if not self.keys[slot[miss]].all():
+                raise KeyError("an n-gram that was not counted")
+            slot[miss] = (slot[miss] + 1) & (len(self.keys) - 1)
+            miss = miss[self.keys[slot[miss]] != keys[miss]]
+        return self.logp[slot], owner
+
+
+def turns_of(texts: list[str], order: int = ORDER, piece: int = PIECE) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts with their marks in turns of about `piece` symbols: pieces, how many symbols
+    of each are history only, and the text of each. A longer text is taken in pieces that
+    each begin with the history of their first symbol, so none of its n-grams is lost or
+    counted twice."""
     pieces, skip, owner, size = [], [], [], 0
-
-    def turn() -> tuple[list[str], np.ndarray, np.ndarray]:
-        names, which, at = _numbered(pieces, np.array(skip, np.int64), order)
-        return names, which, np.array(owner, np.int64)[at]
-
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -108,10 +162,17 @@ def grams_of_texts(texts: list[str], order: int = ORDER, piece: int = PIECE) ->
             owner.append(i)
             size += len(pieces[-1])
             if size >= piece:
-                yield turn()
+                yield pieces, np.array(skip, np.int64), np.array(owner, np.int64)
                 pieces, skip, owner, size = [], [], [], 0
     if pieces:
-        yield turn()
+        yield pieces, np.array(skip, np.int64), np.array(owner, np.int64)
+
+
+def grams_of_texts(texts: list[str], order: int = ORDER, piece: int = PIECE) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """As grams_of, for texts and in turns of about `piece` symbols."""
+    for pieces, skip, owner in turns_of(texts, order, piece):
+        names, which, at = _numbered(pieces, skip, order)
+        yield names, which, owner[at]
 
 
 def plain(texts: pa.Array) -> list[str]:
@@ -240,14 +301,14 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return every.where("asked").select(F.col("part").alias("gram"), F.log("p").alias("logp"))
 
 
-def score_texts(table: dict[str, float], texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_texts(table: Scores, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-probability, number of symbols and repeats of each text."""
     n = len(texts)
     total, size = np.zeros(n), np.zeros(n, np.int64)
-    for names, of, owner in grams_of_texts(plain(texts), order):
-        logp = np.fromiter(map(table.__getitem__, names), np.float64, len(names))
-        total += np.bincount(owner, weights=logp[of], minlength=n)
-        size += np.bincount(owner, minlength=n)
+    for pieces, skip, owner in turns_of(plain(texts), table.order, PIECE // 2):
+        logp, at = table.of(pieces, skip)
+        total += np.bincount(owner[at], weights=logp, minlength=n)
+        size += np.bincount(owner[at], minlength=n)
     return total, size, repeats(texts)
 
 
@@ -262,11 +323,11 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
     out = T.StructType([*docs.schema, T.StructField("_logp", T.DoubleType()), T.StructField("_symbols", T.LongType()), T.StructField("_repeats", T.DoubleType())])
     if rows <= send_rows:
         got = table.toArrow()
-        sent = spark.sparkContext.broadcast(dict(zip(got["gram"].to_pylist(), got["logp"].to_pylist(), strict=True)))
+        sent = spark.sparkContext.broadcast(Scores(got["gram"].to_pylist(), got["logp"].to_numpy(), order))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                made = [pa.array(x) for x in score_texts(sent.value, b.column(at), order)]
+                made = [pa.array(x) for x in score_texts(sent.value, b.column(at))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "_logp", "_symbols", "_repeats"])
 
         return docs.mapInArrow(run, out)
@@ -285,7 +346,7 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
     needed = dealt.select("_block", "text").mapInArrow(ask, "_block long, gram string").distinct().join(table, "gram")
 
     def meet(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        logp, size, again = score_texts(dict(zip(t["gram"], t["logp"], strict=True)), pa.array(d["text"], pa.string()), order)
+        logp, size, again = score_texts(Scores(t["gram"].tolist(), t["logp"].to_numpy(), order), pa.array(d["text"], pa.string()))
         return d.drop(columns="_block").assign(_logp=logp, _symbols=size, _repeats=again)
 
     return dealt.groupBy("_block").cogroup(needed.groupBy("_block")).applyInPandas(meet, out)
