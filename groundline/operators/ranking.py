@@ -21,13 +21,19 @@ def tokenized(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return chunks.select(key, tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
 
 
+def each_term(toks: DataFrame, *cols: str | Column, of: str | Column = "tokens") -> DataFrame:
+    """`cols` and one row a term of the array `of`. Of a plain explode the optimizer asks
+    the array's size first, and with that cuts every text twice."""
+    return toks.select(*cols, F.explode_outer(of).alias("term")).where(F.col("term").isNotNull())
+
+
 def term_frequency(toks: DataFrame, key: str) -> DataFrame:
-    return toks.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return each_term(toks, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(toks: DataFrame) -> DataFrame:
     """(term, df)."""
-    return toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return each_term(toks, of=F.array_distinct("tokens")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(toks: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def _weighted(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataF
 
 
 def _asked(queries: DataFrame, query: str, question: str) -> DataFrame:
-    return tokenized(queries, query, question).select(query, F.explode("tokens").alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    return each_term(tokenized(queries, query, question), query).groupBy(query, "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:
@@ -57,7 +63,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
     before anything is shuffled by term; scores need only narrow columns."""
     toks = tokenized(chunks, key, text)
     asked = _asked(queries, query, question)
-    held = toks.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    held = each_term(toks, key, F.size("tokens").alias("dl"))
     postings = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     return _weighted(postings, df, corpus_stats(toks), asked, query, key, k1, b)
@@ -78,7 +84,7 @@ class Bm25Index:
     def build(cls, chunks: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> "Bm25Index":
         toks = tokenized(chunks, key, text)
         # the term "" stands once for each chunk and carries its length, without tokens too
-        held = toks.select(key, F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.col("tokens"))).alias("term"))
+        held = each_term(toks, key, F.size("tokens").alias("dl"), of=F.concat(F.array(F.lit("")), F.col("tokens")))
         rows = held.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", cls._bucket(buckets))
         rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         made = cls(chunks.sparkSession, path, key)

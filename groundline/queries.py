@@ -638,7 +638,11 @@ def ablation_metrics(spark, sf_dir):
     return E.evaluate(_results(spark, sf_dir)).drop("citation_precision", "citation_coverage", "avg_tokens")
 
 
-@query(None)
+@query(f"""WITH {GATE} SELECT g.query_id, b.text AS question, decision, reason, round(confidence, 6) AS confidence, c.rank::BIGINT AS rank, c.chunk_id, round_even(c.score, 4) AS score,
+  substr(c.text, 1, 100) || '...' AS snippet FROM gd g JOIN benchmark b ON b.item_id = g.query_id LEFT JOIN cand c ON c.query_id = g.query_id""")
 def trace_json(spark, sf_dir):
+    """Traces as JSON, read back: one row a candidate."""
     c = _candidates(spark, sf_dir)
-    return traces(A.generate(_questions(spark, sf_dir), c, CFG), c)
+    form = "question string, decision string, reason string, confidence double, answer string, candidates array<struct<rank:long,chunk_id:string,score:double,snippet:string>>"
+    read_back = traces(A.generate(_questions(spark, sf_dir), c, CFG), c).select("query_id", F.from_json("trace", form).alias("t")).select("query_id", "t.*")
+    return read_back.withColumn("confidence", F.round("confidence", 6)).select("query_id", "question", "decision", "reason", "confidence", F.inline_outer("candidates"))
