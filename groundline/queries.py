@@ -646,3 +646,120 @@ def trace_json(spark, sf_dir):
     form = "question string, decision string, reason string, confidence double, answer string, candidates array<struct<rank:long,chunk_id:string,score:double,snippet:string>>"
     read_back = traces(A.generate(_questions(spark, sf_dir), c, CFG), c).select("query_id", F.from_json("trace", form).alias("t")).select("query_id", "t.*")
     return read_back.withColumn("confidence", F.round("confidence", 6)).select("query_id", "question", "decision", "reason", "confidence", F.inline_outer("candidates"))
+
+
+# the same candidates as a user sees them: origin, methods, reasons, citations
+@query(ORACLES["bm25_topk"])
+def bm25_batch_topk(spark, sf_dir):
+    """Without an index: postings of the batch's terms alone."""
+    scored = R.bm25(read(spark, sf_dir, "documents"), _questions(spark, sf_dir))
+    return R.top(scored, 5).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {CAND}, {MISSING}, {conflict_sql('cand')},
+gr AS (SELECT b.item_id AS query_id, overlap IS NULL AS none, overlap < 0.15 AS missing, array_to_string(lost[1:4], ', ') AS terms, chunk_a, chunk_b, polarity, metric, c.score AS top
+  FROM benchmark b LEFT JOIN mi ON mi.query_id = b.item_id LEFT JOIN co ON co.query_id = b.item_id LEFT JOIN cand c ON c.query_id = b.item_id AND c.rank = 1)
+SELECT query_id, CASE WHEN none THEN 'No candidate matched the query.' WHEN missing THEN 'Missing evidence for: ' || terms WHEN chunk_a IS NOT NULL THEN 'Contradictory sources: ' || concat_ws('; ', polarity, metric)
+    WHEN top < 8.0 THEN printf('Weak evidence: %.3f', top) ELSE printf('Sufficient evidence: %.3f', top) END AS rationale,
+  CASE WHEN NOT none AND NOT missing THEN coalesce(chunk_a, '') ELSE '' END AS chunk_a, CASE WHEN NOT none AND NOT missing THEN coalesce(chunk_b, '') ELSE '' END AS chunk_b FROM gr""")
+def gate_rationale(spark, sf_dir):
+    out = A.gate(_questions(spark, sf_dir), _candidates(spark, sf_dir), CFG)
+    return out.select("query_id", "rationale", F.coalesce("chunk_a", F.lit("")).alias("chunk_a"), F.coalesce("chunk_b", F.lit("")).alias("chunk_b"))
+
+
+@query(f"""WITH {CAND}, kinds AS (SELECT source AS filename, max(CASE WHEN doc_id % 1000 = 0 THEN 'uploaded' ELSE 'corpus' END) AS source_type FROM documents WHERE source <> 'src2' GROUP BY source)
+SELECT query_id, rank::BIGINT AS rank, coalesce(source_type, 'corpus') AS source_type, CASE WHEN source_type = 'uploaded' THEN 'User Upload' ELSE 'Corpus Library' END AS badge FROM cand LEFT JOIN kinds USING (filename)""")
+def candidate_origin(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 1000 == 0, "uploaded").otherwise("corpus").alias("source_type")
+    stored = read(spark, sf_dir, "documents").where("source <> 'src2'").select(F.col("source").alias("filename"), kind)
+    return corpus.with_origin(_candidates(spark, sf_dir), stored).select("query_id", F.col("rank").cast("long"), "source_type", "badge")
+
+
+@query(f"""WITH {FUSED} SELECT query_id, 'doc_' || doc_id AS chunk_id, d.source AS doc_filename, rank::BIGINT AS rank, round_even(score, 4) AS score, round(coalesce(ds, 0), 6) AS dense, round(coalesce(bs, 0), 6) AS bm25,
+  dense_rank::BIGINT AS dense_rank, bm25_rank::BIGINT AS bm25_rank, d.text, '[' || d.source || ']' AS context_prefix
+FROM fu JOIN (SELECT query_id, doc_id, ds, bs FROM f0) m USING (query_id, doc_id) JOIN documents d USING (doc_id) WHERE rank <= 5""")
+def shown_candidates(spark, sf_dir):
+    made = _as_candidates(spark, sf_dir, _fused(spark, sf_dir).where("rank <= 5")).withColumn("prefix", F.concat(F.lit("["), "filename", F.lit("]")))
+    said, place = (lambda n: F.round(F.col("method_scores")[n], 6).alias(n)), (lambda n: F.col("method_ranks")[n].alias(f"{n}_rank"))
+    out = corpus.shown_candidates(R.with_methods(made))
+    return out.select("query_id", "chunk_id", "doc_filename", F.col("rank").cast("long"), "score", said("dense"), said("bm25"), place("dense"), place("bm25"), "text", "context_prefix")
+
+
+@query(f"""WITH {VERIFY} SELECT query_id, claim_no::BIGINT AS claim_no, cite_no::BIGINT AS cite_no, {sq('cited_file')} AS doc_filename, page, {sq('section')} AS section, cited_chunk AS chunk_id,
+  round_even(score, 3) AS alignment_score, t IS NOT NULL AND score >= 0.3 AS is_faithful, substr(claim_text, 1, 120) AS claim FROM ve""")
+def trace_citations(spark, sf_dir):
+    return corpus.shown_citations(_verified(spark, sf_dir))
+
+
+@query(f"""WITH {FUSED},
+l AS (SELECT fu.query_id, fu.doc_id, fu.rank AS pre_rank, 1 / (1 + exp(abs(length(d.text) - 2 * length(b.text))::DOUBLE / 1000)) AS prob FROM fu JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = fu.query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(prob, 6) DESC, pre_rank) AS rank FROM l)
+SELECT query_id, doc_id, rank::BIGINT AS rank, pre_rank::BIGINT AS pre_rank, round(prob, 6) AS reranker_prob FROM r WHERE rank <= 5""")
+def rerank_model(spark, sf_dir):
+    """A model as one would plug in; this one likes texts twice as long as the question."""
+
+    def load():
+        return lambda questions, texts: [-abs(len(t) - 2 * len(q)) / 1000 for q, t in zip(questions, texts, strict=True)]
+
+    c = _fused(spark, sf_dir).select("query_id", "doc_id", "rank").join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(_questions(spark, sf_dir), "query_id")
+    return R.rerank(c, load, 5).select("query_id", "doc_id", F.col("rank").cast("long"), F.col("pre_rank").cast("long"), F.round("reranker_prob", 6).alias("reranker_prob"))
+
+
+@query("""WITH c AS (SELECT doc_id, length(text)::DOUBLE AS n, length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE AS d, length(regexp_replace(text, '[^ ]', '', 'g'))::DOUBLE AS s FROM documents),
+u AS (SELECT *, sqrt(n * n + d * d + s * s) AS size FROM c)
+SELECT doc_id, round(coalesce(n / nullif(size, 0), 0), 6) AS x, round(coalesce(d / nullif(size, 0), 0), 6) AS y, round(coalesce(s / nullif(size, 0), 0), 6) AS z FROM u""")
+def embed_texts(spark, sf_dir):
+    """A model as one would plug in; this one counts characters, digits and spaces."""
+
+    def load():
+        return lambda texts: [[len(t), sum("0" <= c <= "9" for c in t), t.count(" ")] for t in texts]
+
+    out = R.embed(read(spark, sf_dir, "documents"), load, "doc_id", "text")
+    return out.select("doc_id", *(F.round(F.col("embedding")[i], 6).alias(n) for i, n in enumerate("xyz")))
+
+
+# files and pages
+@query(f"""WITH {MD} SELECT (SELECT count(*) FROM md)::BIGINT AS documents, (SELECT count(*) FROM secs)::BIGINT AS sections, (SELECT sum(length(p0 || p1 || p2 || p3 || p4)) FROM md)::BIGINT AS characters""")
+def corpus_totals(spark, sf_dir):
+    docs = _markdown(spark, sf_dir)
+    return corpus.totals(docs, S.sections(docs, "markdown"))
+
+
+@query(f"""WITH RECURSIVE {PAGES.replace('length(t) + 2', 'length(t) + 1')}, {CHUNKS.replace('RECURSIVE ', '')},
+hit AS (SELECT fx.doc_id, chunk_index, max(page_number) AS p FROM fx JOIN po USING (doc_id) WHERE pos BETWEEN s AND s + n GROUP BY ALL)
+SELECT fx.doc_id, fx.chunk_index::BIGINT AS chunk_index, coalesce(p, 1)::BIGINT AS page_number FROM fx LEFT JOIN hit USING (doc_id, chunk_index)""")
+def chunk_pages_last(spark, sf_dir):
+    made = S.fixed_chunks(read(spark, sf_dir, "documents"))
+    return S.page_of(made, S.page_offsets(_pages(spark, sf_dir), 1), last=True).select("doc_id", "chunk_index", "page_number")
+
+
+@query("SELECT 'c' || c_custkey AS filename FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_files(spark, sf_dir):
+    name = lambda t, c: read(spark, sf_dir, t).select(F.concat(F.lit("c"), F.col(c).cast("string")).alias("filename"))
+    return corpus.missing_files(name("customer", "c_custkey"), name("orders", "o_custkey"))
+
+
+@query(f"WITH {LINEAGE} SELECT filename, seq, content_hash, status, version FROM lin WHERE version IS NOT NULL")
+def manifest_round_trip(spark, sf_dir):
+    """Saved in two batches, and read back."""
+    kept, path = _lineage(spark, sf_dir).where("version is not null"), new_path(spark, "manifest")
+    corpus.save_manifest(kept.where("seq % 2 = 0"), path)
+    corpus.save_manifest(kept.where("seq % 2 = 1"), path)
+    return corpus.load_manifest(spark, path, kept.schema)
+
+
+ABLATION = ORACLES["ablation_metrics"]
+
+
+@query(f"SELECT 'lenient' AS config, * FROM ({ABLATION}) UNION ALL SELECT 'strict' AS config, * FROM ({ABLATION.replace('score < 8.0', 'score < 16.0')})")
+def ablation_configs(spark, sf_dir):
+    """Two gates over the same candidates, measured together."""
+    cands = _candidates(spark, sf_dir)
+    marked = E.rank_metrics(_labelled(spark, sf_dir, cands))
+    all_ = None
+    for name, bar in (("lenient", 8.0), ("strict", 16.0)):
+        got = A.generate(_questions(spark, sf_dir), cands, Config(weak_threshold=bar)).withColumn("config", F.lit(name))
+        all_ = got if all_ is None else all_.unionByName(got)
+    rows = all_.withColumns({"should_abstain": F.col("query_id") % 5 == 0, "abstained": F.col("decision") == "ABSTAIN"}).join(marked, "query_id", "left")
+    rows = rows.fillna(0, ["recall_1", "recall_3", "recall_5", "rr_5", "ndcg_5"])
+    return E.evaluate(rows, ["config"]).drop("citation_precision", "citation_coverage", "avg_tokens")
