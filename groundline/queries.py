@@ -15,6 +15,7 @@ from groundline.operators import evaluation as E
 from groundline.operators import lineage as L
 from groundline.operators import ranking as R
 from groundline.operators import sections as S
+from groundline.plans.engine import retrieve
 from groundline.session import prepare
 from groundline.sources import corpus
 from groundline.sources.corpus import traces
@@ -763,3 +764,52 @@ def ablation_configs(spark, sf_dir):
     rows = all_.withColumns({"should_abstain": F.col("query_id") % 5 == 0, "abstained": F.col("decision") == "ABSTAIN"}).join(marked, "query_id", "left")
     rows = rows.fillna(0, ["recall_1", "recall_3", "recall_5", "rr_5", "ndcg_5"])
     return E.evaluate(rows, ["config"]).drop("citation_precision", "citation_coverage", "avg_tokens")
+
+
+CAND_T = f"""
+{BM25},
+bt AS (SELECT bm.query_id, bm.doc_id, bm.score, bm.rank AS pre_rank, row_number() OVER (PARTITION BY query_id ORDER BY bm.rank) AS rank FROM bm JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3')),
+cand AS (SELECT query_id, b.text AS question, rank, pre_rank, 'doc_' || doc_id AS chunk_id, doc_id, d.source AS filename, d.text, score FROM bt JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 5)
+"""
+
+
+@query(f"""WITH {GATE.replace(CAND, CAND_T)} SELECT gd.query_id, decision, reason, round(confidence, 6) AS confidence, c.rank::BIGINT AS rank, c.pre_rank::BIGINT AS pre_rank, c.chunk_id
+FROM gd LEFT JOIN cand c ON c.query_id = gd.query_id""")
+def engine_targets(spark, sf_dir):
+    """Candidates of chosen files, ranked anew, and the decision they lead to."""
+    d, lit = read(spark, sf_dir, "documents"), F.lit
+    chunks = d.select(
+        F.concat(lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id", F.col("source").alias("filename"), lit(0).alias("chunk_index"),
+        lit(1).alias("page_number"), lit("Main").alias("section_title"), lit("").alias("prefix"), "text", F.col("text").alias("full_text"),
+    )
+    wanted = d.select(F.col("source").alias("filename")).where(F.col("filename").isin("src1", "src2", "src3")).distinct()
+    asked = _questions(spark, sf_dir)
+    found = written(retrieve(chunks, asked, "bm25", 5, wanted), "candidates")
+    decided = A.gate(asked, found, CFG).select("query_id", "decision", "reason", F.round("confidence", 6).alias("confidence"))
+    return decided.join(found.select("query_id", F.col("rank").cast("long"), F.col("pre_rank").cast("long"), "chunk_id"), "query_id", "left")
+
+
+# every line of a document a paragraph: short ones share a chunk, long ones are cut by sentences
+_NN = "repeat(chr(10), 2)"
+SPLIT = f"""
+RECURSIVE pa AS (SELECT doc_id, x, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
+  SELECT doc_id, x, list_filter(list_transform(string_split({sq('x')}, {_NN}), lambda v: {sq('v')}), lambda v: v <> '') AS ps FROM (SELECT doc_id, replace(text, chr(10), {_NN}) AS x FROM documents))),
+ru AS (SELECT *, length(p) > 800 AS long, 2 * sum((length(p) > 800)::INT) OVER (PARTITION BY doc_id ORDER BY i) + CASE WHEN length(p) > 800 THEN 0 ELSE 1 END AS run FROM pa),
+lo AS (SELECT doc_id, run, list_filter(list_transform(string_split(p, '. '), lambda v: {sq('v')}), lambda v: v <> '') AS ss FROM ru WHERE long),
+pc AS (SELECT doc_id, run, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS i, p, length(p) + 2 AS cost, 2 AS carry FROM ru WHERE NOT long
+  UNION ALL SELECT doc_id, run, i, p || CASE WHEN ends_with(p, '.') THEN '' ELSE '.' END, length(p) + CASE WHEN ends_with(p, '.') THEN 1 ELSE 2 END, 1
+  FROM (SELECT doc_id, run, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS p FROM lo)),
+pk AS (SELECT doc_id, run, i, 1 AS c, CASE WHEN cost <= 800 THEN cost ELSE cost - carry END AS used FROM pc WHERE i = 1
+  UNION ALL SELECT pc.doc_id, pc.run, pc.i, CASE WHEN used + cost <= 800 THEN c ELSE c + 1 END, CASE WHEN used + cost <= 800 THEN used + cost ELSE cost - carry END
+  FROM pk JOIN pc ON pc.doc_id = pk.doc_id AND pc.run = pk.run AND pc.i = pk.i + 1),
+ck AS (SELECT doc_id, run, c, CASE WHEN carry = 2 THEN string_agg(p, {_NN} ORDER BY i) ELSE string_agg(p, ' ' ORDER BY i) END AS text FROM pk JOIN pc USING (doc_id, run, i) GROUP BY doc_id, run, c, carry)
+"""
+
+
+@query(f"""WITH {SPLIT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, c) - 1 AS chunk_index, text, greatest(strpos(x, text) - 1, 0)::BIGINT AS "start", {WORDS.format('text')}::BIGINT AS token_count
+FROM ck JOIN (SELECT DISTINCT doc_id, x FROM pa) USING (doc_id)""")
+def structural_split(spark, sf_dir):
+    body = F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("filename"), body)
+    whole = docs.select("doc_id", F.lit(0).alias("ordinal"), F.lit("All").alias("title"), F.array(F.lit("All")).alias("path"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    return S.structural_chunks(docs, whole).select("doc_id", "chunk_index", "text", "start", "token_count")
