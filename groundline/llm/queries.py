@@ -9,6 +9,7 @@ from .chat import ROLES, as_record, canonical_records, canonical_turns, digests,
 from .common import new_path, tuned
 from .compaction import compact_table
 from .gridjoin import near_vectors
+from .importance import resample
 from .langid import identify
 from .mixing import mix
 from .packing import pack_documents
@@ -17,6 +18,7 @@ from .simhash import near_duplicates
 from .stages import run, trusted_ids
 from .topk import top_k
 from .wavelet import token_files
+from .winnowing import edited_likeness
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
@@ -98,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_wavelet_files, op2_top_k, op3_quality, op4_chat_format, op5_compaction, op6_grid_join,
-        op7_cube_mix, op8_language, op9_best_fit, op10_simhash, pipeline,
+        op7_cube_mix, op8_language, op9_best_fit, op10_simhash, op11_winnowing, op12_importance, pipeline,
     )
 }
 
@@ -149,5 +160,36 @@ n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id::BIGINT AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id)::BIGINT AS component_id,
   vec_id = coalesce(component_id, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+""",
+    # CRC-32 of each distinct word: a table of 256 remainders from its polynomial, then one step a byte
+    "op12_importance": r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), hx AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM w UNION SELECT word FROM b)),
+h AS (
+  SELECT word, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hx, crc
+), s AS (SELECT bucket, count(*) AS s FROM w JOIN h USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN h USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), f AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM w JOIN h USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN f USING (doc_id)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS pos, count(*) FILTER (n_features >= 20) OVER () AS n FROM d
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND pos <= 10 * n // 100 THEN pos END::BIGINT AS rank FROM r
 """,
 }
