@@ -58,15 +58,13 @@ def winnow(text: Column, k: int = K, window: int = WINDOW, block: int = BLOCK) -
     null. Any length is read whole."""
     if block + window - 1 > _PLACE + 1:
         raise ValueError(f"block and window are {block} and {window}, which is more than {_PLACE + 1} places")
-    raw = text.cast("binary")
-    last = F.greatest(F.octet_length(raw) - (k + window - 1), F.lit(0))  # where the last window begins
 
     def chosen(piece: Column) -> Column:
         grams = F.sequence(F.lit(0), F.greatest(F.octet_length(piece) - k, F.lit(0)))
         key = lambda i: F.xxhash64(F.substring(piece, i + 1, F.lit(k))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.lit(_PLACE) - i)
         return F.array_distinct(_least(F.transform(grams, key), window))
 
-    def entries(j: Column) -> Column:
+    def entries(raw: Column, j: Column) -> Column:
         picked = _let(F.substring(raw, j * block + 1, F.lit(block + k + window - 2)), chosen)
         return F.transform(
             picked,
@@ -76,8 +74,14 @@ def winnow(text: Column, k: int = K, window: int = WINDOW, block: int = BLOCK) -
             ),
         )
 
-    blocks = F.sequence(F.lit(0), F.floor(last / block).cast("int"))
-    return F.array_distinct(F.flatten(F.transform(blocks, entries)))  # neighbouring blocks may choose the same place
+    def whole(raw: Column) -> Column:
+        last = F.greatest(F.octet_length(raw) - (k + window - 1), F.lit(0))  # where the last window begins
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(last / block).cast("int")), lambda j: entries(raw, j)))
+
+    def once(found: Column) -> Column:  # neighbouring blocks may choose the same place; places never fall
+        return F.filter(found, lambda x, i: (i == 0) | (F.get(found, i - 1)["position"] != x["position"]))
+
+    return _let(_let(text.cast("binary"), whole), once)
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -86,9 +90,9 @@ def hashes(fingerprint: Column) -> Column:
 
 
 def digest(fingerprint: Column) -> Column:
-    """A fingerprint's positions and hashes as one string of 64 hex digits."""
-    told = F.transform(fingerprint, lambda x: F.concat_ws(":", x["position"].cast("string"), F.hex(x["hash"])))
-    return F.sha2(F.array_join(told, " ").cast("binary"), 256)
+    """A fingerprint's positions and hashes as one string of 32 hex digits."""
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return F.concat(half(fingerprint), half(F.lit("again"), fingerprint))
 
 
 def likeness(a: Column, b: Column) -> Column:
