@@ -12,11 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 SEGMENT = 64  # turn numbers a segment spans
+PART = 4 * SEGMENT  # turns that one row of a segment holds at most, however many have the same number
+JSON_LONGEST = 20_000_000  # bytes of a JSON record up to which no string in it can be too long for the reader
 IDS = {"conv_id", "turn"}  # columns that tell rows apart and are no part of a fingerprint
 
 
@@ -124,13 +127,36 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
-def as_record(layout: str, role: Column, text: Column) -> Column:
-    """One turn as a JSON record of a declared layout of messages or of turn rows."""
+_MESSAGE = "array<struct<`{}`:string,`{}`:string>>"
+#: Every field that a layout declares, with its type: what a struct record may have.
+FIELDS = {
+    **{p: "string" for x in LAYOUTS if not x.items for p in x.paths},
+    **{x.items[0]: _MESSAGE.format(*x.items[1:]) for x in LAYOUTS if x.items},
+}
+
+
+def as_record(layout: str, role: Column, text: Column, when: Column) -> dict[str, Column]:
+    """The fields of a declared layout of messages or of turn rows that hold one turn,
+    null where `when` isn't true."""
     x = next(x for x in LAYOUTS if x.name == layout)
     if x.rows:
-        return F.to_json(F.struct(role.alias("role"), text.alias("text")))
+        return {"role": F.when(when, role), "text": F.when(when, text)}
     field, r, t = x.items
-    return F.to_json(F.struct(F.array(F.struct(role.alias(r), text.alias(t))).alias(field)))
+    return {field: F.when(when, F.array(F.struct(role.alias(r), text.alias(t))))}
+
+
+def struct_fingerprint(record: Column, schema: T.StructType) -> Column:
+    """The fingerprint of a struct record: the declared paths that aren't null in it,
+    those of messages where any message is there. Texts are never turned to strings of
+    another kind, so their length doesn't matter."""
+    there: dict[str, Column] = {}
+    for f in (f for f in schema.fields if f.name in FIELDS):
+        there[f.name] = record[f.name].isNotNull()
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            some = F.exists(record[f.name], lambda m: m.isNotNull())
+            there |= {f"{f.name}[].{n}": F.coalesce(some, F.lit(False)) for n in f.dataType.elementType.names}
+    paths = [F.when(there[p], F.lit(p)) for p in _KNOWN if p in there]  # in order
+    return _hash(F.concat_ws("\n", *paths))
 
 
 def _prefixed(names: Column, lead: Column) -> Column:
@@ -151,33 +177,44 @@ def record_fingerprint(record: Column) -> Column:
 
 
 def canonical_records(df: DataFrame, record_col: str = "record", id_col: str = "conv_id", turn_col: str | None = None) -> DataFrame:
-    """(conv_id, turn, role, text, layout) of JSON records of mixed layouts in one table.
+    """(conv_id, turn, role, text, layout) of records of mixed layouts in one table:
+    structs with any of the declared fields, null where a record hasn't one, or JSON.
 
     The hash of a record's paths chooses its mapping. A record whose fingerprint no
     layout has, or that holds no turn, gives one row with null turn, role and text, so
     that nothing is lost silently; an unknown one has null layout. Null messages are
     empty turns. Turns are numbered from 0 in a record, or from `turn_col` on, if given;
-    a null there stays null. An empty table gives an empty one."""
-    mark = record_fingerprint(F.col(record_col))
+    a null there stays null. Texts of structs have any length. JSON with a string beyond
+    20,000,000 characters, which the JSON reader refuses, is unknown. An empty table
+    gives an empty one."""
+    kind = df.schema[record_col].dataType
+    typed = isinstance(kind, T.StructType)
+    mark = struct_fingerprint(F.col(record_col), kind) if typed else record_fingerprint(F.col(record_col))
     rows = df.select(
         F.col(id_col).cast("long").alias("conv_id"),
         (F.col(turn_col) if turn_col else F.lit(0)).cast("long").alias("base"),
         F.col(record_col).alias("record"),
         mark.alias("mark"),
     )
-    kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
-    record, made, name = F.col("record"), F.lit(None).cast(kind), F.lit(None).cast("string")
-    for x in LAYOUTS:
-        get = lambda f: F.get_json_object(record, f"$.{f}")
+    turn = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
+    record, made, name = F.col("record"), F.lit(None).cast(turn), F.lit(None).cast("string")
+    if typed:
+        get = lambda f: record[f].cast(FIELDS[f])
+        can = [x for x in LAYOUTS if {p.partition("[")[0] for p in x.paths} <= set(kind.names)]
+    else:
+        get = lambda f: F.from_json(F.get_json_object(record, f"$.{f}"), FIELDS[f]) if FIELDS[f] != "string" else F.get_json_object(record, f"$.{f}")
+        can = LAYOUTS
+    for x in can:
         if x.rows:
             turns = F.array(F.struct(F.coalesce(get("role"), F.lit("")).alias("role"), F.coalesce(get("text"), F.lit("")).alias("text")))
         elif x.items:
-            field, role, text = x.items
-            turns = _items(x, F.from_json(get(field), f"array<struct<`{role}`:string,`{text}`:string>>"))
+            turns = _items(x, get(x.items[0]))
         else:
             turns = _turns(x, get)
         fits = F.col("mark") == _hash(x.paths)
-        made, name = F.when(fits, turns.cast(kind)).otherwise(made), F.when(fits, F.lit(x.name)).otherwise(name)
+        if not typed:  # a text that the reader refused would come out empty
+            fits = fits & (F.octet_length("record") < JSON_LONGEST)
+        made, name = F.when(fits, turns.cast(turn)).otherwise(made), F.when(fits, F.lit(x.name)).otherwise(name)
     out = rows.select("conv_id", "base", name.alias("layout"), F.posexplode_outer(made).alias("at", "t"))
     return out.select("conv_id", (F.col("base") + F.col("at")).alias("turn"), "t.role", "t.text", "layout")
 
@@ -190,26 +227,25 @@ def unescape(c: Column) -> Column:
     return F.replace(c, F.lit("<||"), F.lit("<|"))
 
 
-def format_turns(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv_id, segment, n_turns, formatted, loss): a conversation's text in segments.
+def format_turns(turns: DataFrame, segment: int = SEGMENT, part: int = PART) -> DataFrame:
+    """(conv_id, segment, part, n_turns, formatted, loss): a conversation's text in
+    segments, and these in parts.
 
-    Joining the segments in order gives the whole text. `loss` holds the spans, in code
-    points of `formatted`, of assistant texts. Turns stand by turn, role, text; null
-    turns first; a null conv_id is a conversation. A segment takes `segment` turn
-    numbers, so a conversation that holds a third of all rows is still many small rows.
+    Joining the parts in order of segment and part gives the whole text. `loss` holds the
+    spans, in code points of `formatted`, of assistant texts. Turns stand by turn, role,
+    text; null turns first; a null conv_id is a conversation. A segment takes `segment`
+    turn numbers and a part at most `part` turns, so a conversation that holds a third of all
+    rows, or many rows of one turn number, is still many small rows. Texts have any
+    length that a row can hold.
     """
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(LINE)), F.lit("\n"))
     body = escape(F.col("text"))
-    part = turns.select(
-        "conv_id",
-        F.floor(F.col("turn") / segment).alias("segment"),
-        F.struct(
-            "turn", "role", "text", F.concat(head, body, F.lit(END + "\n")).alias("part"),
-            F.length(head).alias("at"), F.length(body).alias("size"),
-        ).alias("t"),
-    )
-    made = part.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    sizes = F.transform("ts", lambda t: F.length(t["part"]))
+    place = F.row_number().over(W.partitionBy("conv_id", "segment").orderBy("turn", "role", "text"))
+    numbered = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / segment).alias("segment"))
+    piece = numbered.select("conv_id", "segment", place.alias("place"), "role", F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.length(head).alias("at"), F.length(body).alias("size"))
+    held = F.sort_array(F.collect_list(F.struct("place", "role", "piece", "at", "size")))
+    made = piece.groupBy("conv_id", "segment", F.floor((F.col("place") - 1) / part).alias("part")).agg(held.alias("ts"))
+    sizes = F.transform("ts", lambda t: F.length(t["piece"]))
     starts = F.transform(
         sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x)
     )
@@ -222,8 +258,9 @@ def format_turns(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return made.withColumn("starts", starts).select(
         "conv_id",
         "segment",
+        "part",
         F.size("ts").cast("long").alias("n_turns"),
-        F.array_join(F.transform("ts", lambda t: t["part"]), "").alias("formatted"),
+        F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"),
         spans.alias("loss"),
     )
 
@@ -250,7 +287,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     read = formatted.select(
         "conv_id",
         F.struct(
-            "segment", F.size(turns).alias("n"), F.array_join(turns, "").alias("turns"),
+            "segment", "part", F.size(turns).alias("n"), F.array_join(turns, "").alias("turns"),
             F.array_join(under, "").alias("loss"), F.length(text).alias("chars"),
         ).alias("s"),
     )

@@ -118,8 +118,8 @@ class Scorer:
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """Fit on documents that are not held out and have a language.
 
-    At most about `fit_docs` documents a language are read, chosen by a hash of their
-    id; their whole texts count, and every language, word and n-gram in them is learned.
+    At most about `fit_docs` documents a language are read, chosen by a hash of id and
+    text, so that rows that share an id are drawn each by itself; their whole texts count, and every language, word and n-gram in them is learned.
     That sample is the only bound, and with it the model's size.
     """
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     if not langs:
         return Model.of([], [{} for _ in range(LONGEST + 1)])
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, fit_docs / r["n"]))))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     some = train.where(draw < share[F.col("lang")]).select("lang", "text")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,6 +33,8 @@ ORDER, MID, HIGH, MARGIN, LEAST, HOLD = 5, 0.5, 0.99, 0.5, 0.05, 4
 SHORT = 2.0
 #: Largest probability table and list of trusted ids that is sent to every executor; beyond it they are joined.
 SEND_ROWS = 1_500_000
+#: Beyond it, documents and bytes of text that one block of documents has at most, about.
+BLOCK_DOCS, BLOCK_BYTES = 5000, 64 << 20
 #: Repeats: the limit is REPEAT_MARGIN times quantile HIGH, REPEAT_LEAST at least; a text counts as REPEAT_MORE tokens longer.
 REPEAT_MARGIN, REPEAT_LEAST, REPEAT_MORE = 2.5, 0.01, 20
 #: Symbols whose n-grams are numbered at once; longer texts go on in the next piece.
@@ -331,7 +332,8 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "_logp", "_symbols", "_repeats"])
 
         return docs.mapInArrow(run, out)
-    blocks = max(1, -(-docs.count() // 5000))
+    size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // BLOCK_DOCS), -(-size[1] // BLOCK_BYTES))
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64("text", *(c for c in docs.columns if c == "doc_id")), F.lit(blocks)))
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,11 +347,15 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
 
     needed = dealt.select("_block", "text").mapInArrow(ask, "_block long, gram string").distinct().join(table, "gram")
 
-    def meet(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        logp, size, again = score_texts(Scores(t["gram"].tolist(), t["logp"].to_numpy(), order), pa.array(d["text"], pa.string()))
-        return d.drop(columns="_block").assign(_logp=logp, _symbols=size, _repeats=again)
+    def meet(d: pa.Table, t: pa.Table) -> pa.Table:
+        grams = Scores(t["gram"].to_pylist(), t["logp"].to_numpy(), order)
+        made = [score_texts(grams, x) for x in d["text"].chunks]
+        for name, parts in zip(("_logp", "_symbols", "_repeats"), zip(*made) if made else [[]] * 3, strict=True):
+            d = d.append_column(name, pa.chunked_array([pa.array(x) for x in parts], out_types[name]))
+        return d.drop_columns(["_block"])
 
-    return dealt.groupBy("_block").cogroup(needed.groupBy("_block")).applyInPandas(meet, out)
+    out_types = {"_logp": pa.float64(), "_symbols": pa.int64(), "_repeats": pa.float64()}
+    return dealt.groupBy("_block").cogroup(needed.groupBy("_block")).applyInArrow(meet, out)
 
 
 def with_trust(docs: DataFrame, trusted_ids: DataFrame, send_rows: int = SEND_ROWS) -> DataFrame:

@@ -51,11 +51,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = canonical_turns(_table(spark, sf_dir, "conversations")).union(extra)
     role, text, kind = F.col("role"), F.col("text"), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3))
     renamed = role.isin(list(ROLES))  # speakers that the layout of conversations would call otherwise
-    record = (
-        F.when(kind == 0, as_record("messages", role, text))
-        .when((kind == 1) & ~renamed, as_record("conversations", role, text))
-        .otherwise(as_record("turn_rows", role, text))
-    )
+    three = {
+        **as_record("messages", role, text, kind == 0),
+        **as_record("conversations", role, text, (kind == 1) & ~renamed),
+        **as_record("turn_rows", role, text, (kind == 2) | (kind == 1) & renamed),
+    }
+    record = F.struct(*(c.alias(f) for f, c in three.items()))
     turns = canonical_records(rows.select("conv_id", "turn", record.alias("record")), turn_col="turn")
     return digests(format_turns(turns.drop("layout")))
 

@@ -317,6 +317,17 @@ def test_op3_against_plain_python(spark):
         assert d not in loss or r.limit == pytest.approx(math.exp(limit[d]), rel=1e-9)
 
 
+def test_op3_joined_way_keeps_every_column(spark, monkeypatch):
+    texts = [f"a plain line of words, number {i}" for i in range(40)] + [None, "", "###"]
+    docs = [(None if i % 9 == 4 else 2**60 + i, t, "en", (2**60 + 2 * i + 1, None if i % 2 else f"s{i}"), [i, None], None if i % 3 else i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, rest struct<big:long,s:string>, xs array<long>, maybe long")
+    ids = df.where("doc_id is not null and doc_id % 2 = 1").select("doc_id")
+    monkeypatch.setattr(quality, "BLOCK_DOCS", 7)
+    one, two = (sorted(rows(quality.classify(df, ids, send_rows=n, keep_text=True)), key=str) for n in (10**6, 0))
+    assert one == two and sorted((r[:-1] for r in two), key=str) == sorted([(i, t, x, tuple(s), a, m) for i, t, x, s, a, m in docs], key=str)
+    assert sum(r[-1] for r in two) > 30
+
+
 def test_op3_rejects_repeated_words(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200)]
@@ -412,6 +423,34 @@ def test_op4_query_reads_three_layouts(spark, tmp_path):
 
 
 # operator 5
+def test_op4_struct_records_and_long_texts(spark, tmp_path):
+    n = 21_000_000
+    spark.range(4).select(
+        F.when(F.col("id") < 3, F.col("id")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"),
+        F.expr(f"concat(repeat('x', {n}), '<|', id)").alias("text"),
+    ).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["op4_chat_format"](spark, str(tmp_path)).collect()}
+    for c in (0, 1, 2, None):
+        text = "x" * n + f"<|{3 if c is None else c}"
+        assert (got[c].n_turns, got[c].loss_chars) == (1, n + 3)
+        assert got[c].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    kinds = "prompt string, completion string, input int, messages array<struct<role:string,content:string>>, other string"
+    odd = [(1, ("p", "c", None, None, "o")), (2, (None, None, None, [("user", "a"), None], None)), (3, ("p", None, None, None, None)), (4, None), (5, (None, None, None, [], None)), (6, ("p", "c", 3, None, None))]
+    df = spark.createDataFrame(odd, f"conv_id long, record struct<{kinds.replace(' ', ':').replace(',:', ',')}>")
+    lost = [(i, None, None, None, None) for i in (3, 4, 5, 6)]
+    want = [(1, 0, "user", "p", "prompt_completion"), (1, 1, "assistant", "c", "prompt_completion"), (2, 0, "user", "a", "messages"), (2, 1, "", "", "messages"), *lost]
+    assert sorted(rows(chat.canonical_records(df)), key=str) == sorted(want, key=str)
+
+
+def test_op4_many_rows_of_one_turn(spark):
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    parts = chat.format_turns(df)
+    assert parts.agg(F.max("n_turns")).first()[0] == chat.PART
+    r = chat.digests(parts).first()
+    loss = "".join(sorted(str(i) for i in range(20_000)))
+    assert (r.n_turns, r.loss_sha256) == (20_000, hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_op5_plan():
     s = [compaction.Shard(f"{i}", 10) for i in range(9)] + [compaction.Shard("big", 1000), compaction.Shard("mid", 100)]
     plan = compaction.plan_merges(s, target=40, fan_in=4)
@@ -566,6 +605,15 @@ def test_op8_against_plain_python(spark):
         assert r.lang_pred == langs[p.index(max(p))] and r.score == pytest.approx(max(p) / sum(p), rel=1e-4)
 
 
+def test_op8_learns_from_rows_of_one_id(spark):
+    en = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.expr("concat('the house number ', id, ' stands by the sea')").alias("text"), F.lit("en").alias("lang"))
+    de = spark.range(600).select((F.col("id") + 100).alias("doc_id"), F.expr("concat('das Haus Nummer ', id, ' steht am Meer')").alias("text"), F.lit("de").alias("lang"))
+    for i in (7, 8, 9, 12):
+        both = en.withColumn("doc_id", F.lit(i).cast("long")).union(de)
+        got = {(r.lang, r.lang_pred) for r in langid.with_language(both, langid.fit(both, 100)).select("lang", "lang_pred").distinct().collect()}
+        assert got == {("en", "en"), ("de", "de")}, i
+
+
 def test_op8_backoff():
     m = langid.Model.of(["a", "b"], [{"hut": np.array([9, 1])}, {"x": np.array([0, 5])}, {}, {"hat": np.array([4, 0])}, {}])
     assert m.word("hut") == [0] and m.word("hats") == [2] and m.word("xq") == [1] and m.word("qqq") == []
