@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from groundline.config import Config
 from groundline.functions.text import tokens
 
 C = Config()
+TILE = 256  # queries that one product with a batch of vectors takes
 
 
 def tokenized(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,9 +48,9 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def _weighted(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, query: str, key: str, k1: float, b: float) -> DataFrame:
-    weights = df.join(F.broadcast(stats))  # one row
+    weights = asked.join(df, "term").join(F.broadcast(stats))  # one row; the terms asked for alone
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(weights, "term").join(asked, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
+    return postings.join(weights, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
 
 
 def _asked(queries: DataFrame, query: str, question: str) -> DataFrame:
@@ -57,7 +59,7 @@ def _asked(queries: DataFrame, query: str, question: str) -> DataFrame:
 
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:
     """(query, key, score) of every chunk that shares a term with a query, for one batch
-    of queries; `Bm25Index` is for chunks that are asked more than once.
+    of queries; `index.Bm25Index` is for chunks that are asked more than once.
 
     Query tokens count as often as they occur. Postings are cut to the queries' terms
     before anything is shuffled by term; scores need only narrow columns."""
@@ -69,55 +71,6 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
     return _weighted(postings, df, corpus_stats(toks), asked, query, key, k1, b)
 
 
-class Bm25Index:
-    """A keyword index in a folder: postings by term bucket, document frequencies, statistics.
-
-    Chunks are tokenized once, when it is built. A query reads only the buckets of its
-    terms, and in them the row groups whose terms it asks for."""
-
-    BUCKETS = 16
-
-    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
-        self.spark, self.path, self.key = spark, path, key
-
-    @classmethod
-    def build(cls, chunks: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> "Bm25Index":
-        toks = tokenized(chunks, key, text)
-        # the term "" stands once for each chunk and carries its length, without tokens too
-        held = each_term(toks, key, F.size("tokens").alias("dl"), of=F.concat(F.array(F.lit("")), F.col("tokens")))
-        rows = held.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", cls._bucket(buckets))
-        rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        made = cls(chunks.sparkSession, path, key)
-        all_ = made._read("postings")
-        all_.where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).sort("term").write.parquet(f"{path}/terms")
-        all_.where(F.col("term") == "").agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
-        return made
-
-    @staticmethod
-    def _bucket(n: int) -> Column:
-        return F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(n)).cast("int"))
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def stats(self) -> DataFrame:
-        """(n, avgdl): one row."""
-        return self._read("stats").select("n", "avgdl")
-
-    def terms(self) -> DataFrame:
-        """(term, df)."""
-        return self._read("terms")
-
-    def score(self, queries: DataFrame, query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:
-        """(query, key, score) of every chunk that shares a term with a query."""
-        asked = _asked(queries, query, question)
-        n = self._read("stats").first()["buckets"]
-        needed = asked.select("term", self._bucket(n).alias("bucket")).distinct()
-        buckets = [r[0] for r in needed.select("bucket").distinct().collect()]  # as many as the index has, at most
-        postings = self._read("postings").where(F.col("bucket").isin(buckets)).join(needed, ["bucket", "term"], "left_semi").drop("bucket")
-        return _weighted(postings, self.terms(), self.stats(), asked, query, self.key, k1, b)
-
-
 def top(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", ties: list | None = None) -> DataFrame:
     """The k best of each query with rank from 1, by score to six places, then `ties`."""
     order = W.partitionBy(query).orderBy(F.desc(F.round("score", 6)), *(ties or [key]))
@@ -174,13 +127,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, send_rows: int = C.sen
                 if not len(ids) or not b.num_rows:
                     continue
                 m = np.array(b.column(1).to_pylist(), np.float64)
-                s = q @ m.T
-                if s.shape[1] > k:
-                    bar = np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 1e-6  # ties to six places
+                order = np.empty(b.num_rows, np.int64)
+                order[pc.sort_indices(b.column(0)).to_numpy()] = np.arange(b.num_rows)
+                for i in range(0, len(ids), TILE):
+                    s = q[i : i + TILE] @ m.T
+                    # by score to six places, then id: k of each query, however many are equal
+                    bar = np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 1e-6 if s.shape[1] > k else np.full(len(s), -np.inf)
                     rows, cols = np.nonzero(s >= bar[:, None])
-                else:
-                    rows, cols = np.nonzero(np.ones_like(s, bool))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), b.column(0).take(pa.array(cols)), pa.array(s[rows, cols])], names=["query_id", "doc_id", "score"])
+                    by = np.lexsort((order[cols], -np.round(s[rows, cols], 6), rows))
+                    rows, cols = rows[by], cols[by]
+                    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                    rows, cols = rows[kept], cols[kept]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows + i)), b.column(0).take(pa.array(cols)), pa.array(s[rows, cols])], names=["query_id", "doc_id", "score"])
 
         more = vectors.select("doc_id", "embedding").mapInArrow(run, T.StructType([T.StructField(*x) for x in kinds]))
         found = more if found is None else found.union(more)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from groundline.config import Config
 from groundline.operators import answers, evaluation, lineage, ranking, sections
+from groundline.operators.index import Bm25Index
 from groundline.sources import corpus
 from groundline.sources.tables import fs_path, new_path, written
 
@@ -95,7 +96,7 @@ def chunk_files(files: DataFrame, strategy: str | Chunker = "structural", cfg: C
 
 def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", top_k: int = 5, targets: DataFrame | None = None,
              vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, cfg: Config = Config(),
-             index: ranking.Bm25Index | None = None, reranker=None) -> DataFrame:
+             index: Bm25Index | None = None, reranker=None) -> DataFrame:
     """Candidates of queries (query_id, question), with what each method said of them.
 
     `vectors` (chunk_id, embedding) and `query_vectors` (query_id, embedding) serve the
@@ -158,7 +159,7 @@ class Engine:
         self.spark, self.cfg, self.storage, self.gate = spark, cfg, storage, gate
         self.versions: DataFrame | None = None
         self.chunks: DataFrame | None = None
-        self.index: ranking.Bm25Index | None = None
+        self.index: Bm25Index | None = None
         self.strategy: str | Chunker = "structural"
         self.index_version, self.tracer = "v1", Tracer()
         if storage and (fs := fs_path(spark, f"{storage}/versions"))[0].exists(fs[1]):
@@ -192,7 +193,7 @@ class Engine:
         """Chunk the active documents and write their keyword index."""
         self.strategy = strategy or self.strategy
         self.chunks = written(chunk_files(self.documents(), self.strategy, self.cfg, extract), "chunks")
-        self.index = ranking.Bm25Index.build(self.chunks, new_path(self.spark, "index"), "chunk_id", "full_text")
+        self.index = Bm25Index.build(self.chunks, new_path(self.spark, "index"), "chunk_id", "full_text")
         return self.chunks
 
     def bump_index_version(self, tag: str) -> None:

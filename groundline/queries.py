@@ -15,6 +15,7 @@ from groundline.operators import evaluation as E
 from groundline.operators import lineage as L
 from groundline.operators import ranking as R
 from groundline.operators import sections as S
+from groundline.operators.index import Bm25Index
 from groundline.plans.engine import retrieve
 from groundline.session import prepare
 from groundline.sources import corpus
@@ -148,20 +149,46 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 """
 
 
+TOP5 = f"WITH {BM25} SELECT query_id, rank::BIGINT AS rank, doc_id, round(score, 6) AS score FROM bm WHERE rank <= 5"
+
+
+def _top5(scored):
+    return R.top(scored, 5).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
+
+
 def _questions(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def _bm25(spark, sf_dir, k):
-    index = R.Bm25Index.build(read(spark, sf_dir, "documents"), new_path(spark, "index"))
+    index = Bm25Index.build(read(spark, sf_dir, "documents"), new_path(spark, "index"))
     return R.top(index.score(_questions(spark, sf_dir)), k)
 
 
-@query(f"WITH {BM25} SELECT query_id, rank::BIGINT AS rank, doc_id, round(score, 6) AS score FROM bm WHERE rank <= 5")
+@query(TOP5)
 def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 5).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(TOP5)
+def bm25_pruned_topk(spark, sf_dir):
+    """The same five, blocks that can't hold them left out."""
+    index = Bm25Index.build(read(spark, sf_dir, "documents"), new_path(spark, "index"))
+    return _top5(index.candidates(_questions(spark, sf_dir), 5))
+
+
+@query(TOP5)
+def bm25_grown_topk(spark, sf_dir):
+    """The same five from an index that came to hold all documents by additions, replacements and deletions."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = Bm25Index(spark, new_path(spark, "index"))
+    index.append(docs.withColumn("text", F.when(F.col("source") == "src1", F.concat(F.lit("older "), F.reverse("text"))).otherwise(F.col("text"))))
+    index.delete(docs.where("source in ('src2', 'src3')"))
+    index.append(docs.where("source in ('src1', 'src2')"))
+    index.append(docs.where("source = 'src3'"))
+    return _top5(index.candidates(_questions(spark, sf_dir), 5))
+
+
 @query(f"""WITH {BM25}, t AS (SELECT bm.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM bm JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3'))
 SELECT query_id, n::BIGINT AS rank, rank::BIGINT AS pre_rank, doc_id FROM t WHERE n <= 5""")
 def bm25_target_filter(spark, sf_dir):
@@ -476,11 +503,11 @@ def key_sentence_pick(spark, sf_dir):
     return c.select("query_id", F.col("rank").cast("long"), key_sentences(F.col("text"), F.col("question")).alias("said"))
 
 
-ANSWER = f"""
-{CAND}, {KEYS},
+TOLD = f"""
 an AS (SELECT query_id, coalesce(string_agg(said || ' [Doc: ' || filename || ', p. ' || page_number || ', § ' || section_title || ' | chunk: ' || chunk_id || ']', repeat(chr(10), 2) ORDER BY rank)
   FILTER (WHERE length(said) > 0), '{A.NOTHING}') AS answer FROM ks GROUP BY query_id)
 """
+ANSWER = f"{CAND}, {KEYS}, {TOLD}"
 
 
 def _answers(spark, sf_dir):

@@ -16,6 +16,7 @@ from groundline.operators import answers as A
 from groundline.operators import evaluation as E
 from groundline.operators import lineage as L
 from groundline.operators import ranking as R
+from groundline.operators.index import Bm25Index
 from groundline.operators import sections as S
 from groundline.plans.engine import MODES, Engine, chunk_files, judge, retrieve
 from groundline.sources import corpus
@@ -325,10 +326,10 @@ def test_models_plug_in(spark):
 def test_index_equals_scan(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6, "the a of"), (10**6 + 1, None)], "doc_id long, text string"))
     q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    index = R.Bm25Index.build(docs, f"{tmp_path}/index")
+    index = Bm25Index.build(docs, f"{tmp_path}/index")
     key = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 8)) for r in df.collect())
     assert key(index.score(q)) == key(R.bm25(docs, q))
-    again = R.Bm25Index(spark, f"{tmp_path}/index").score(q.limit(2))
+    again = Bm25Index(spark, f"{tmp_path}/index").score(q.limit(2))
     assert "PartitionFilters: [bucket" in again._jdf.queryExecution().executedPlan().toString() or "bucket" in again._jdf.queryExecution().toString()
     assert rows(index.stats()) == [(docs.count(), pytest.approx(R.corpus_stats(R.tokenized(docs, "doc_id", "text")).first().avgdl))]
 
