@@ -16,7 +16,7 @@ from groundline.config import Config
 from groundline.functions.text import CITATION, METRICS, OPPOSITES, contained, key_sentences, numbers, strip, tokens, words
 
 C = Config()
-NOTHING = "No relevant content could be extracted from the retrieved passages."
+NOTHING = "The passages that were found have no sentence to quote."
 
 
 def _ordered(value: Column, glue: str) -> Column:
@@ -176,15 +176,19 @@ def citation_metrics(answers: DataFrame, verified: DataFrame) -> DataFrame:
     )
 
 
-def generate(queries: DataFrame, candidates: DataFrame, cfg: Config = C, decide: Callable[[DataFrame, DataFrame, Config], DataFrame] = gate) -> DataFrame:
+def generate(
+    queries: DataFrame, candidates: DataFrame, cfg: Config = C, decide: Callable[[DataFrame, DataFrame, Config], DataFrame] = gate,
+    stage: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+) -> DataFrame:
     """One row a query: decision, answer or refusal, citation metrics, token counts.
-    `decide` may be any gate that gives what `gate` gives."""
-    decided = decide(queries, candidates, cfg)
+    `decide` may be any gate that gives what `gate` gives; `stage` is given the tables of
+    the steps `gate` and `citations`, and what it gives goes on."""
+    decided = stage("gate", decide(queries, candidates, cfg))
     answered = candidates.join(decided.where("decision = 'ANSWER'").select("query_id"), "query_id", "left_semi")
     said = build_answers(answered, cfg)
-    checked = citation_metrics(said, verify(said, answered, cfg))
+    checked = stage("citations", said.join(citation_metrics(said, verify(said, answered, cfg)), "query_id", "left"))
     read = answered.where(F.col("rank") <= cfg.evidence_chunks).groupBy("query_id").agg(F.sum(words(F.col("text"))).alias("read"))
-    all_ = queries.select("query_id", "question").join(decided, "query_id").join(said, "query_id", "left").join(checked, "query_id", "left").join(read, "query_id", "left")
+    all_ = queries.select("query_id", "question").join(decided, "query_id").join(checked, "query_id", "left").join(read, "query_id", "left")
     answer = F.coalesce("answer", F.concat(F.lit("Cannot answer: "), "rationale"))
     return all_.select(
         "query_id", "question", "decision", "reason", "confidence", answer.alias("answer"),

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundline.functions.text import strip, words
@@ -20,12 +21,14 @@ ROOT = {"markdown": "General", "text": "Main", "pdf": "General"}
 
 
 def sections(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ordinal, level, title, path, start, end) of each document.
+    """(key, ordinal, level, title, path, start, end) of each document; keys are unique.
 
     The heading pattern is applied to the whole text. Offsets are half open, in code
-    points; they are sums over the text between headings, so no Python is needed. Text
-    before the first heading belongs to no section; without a heading the whole text is
-    one section.
+    points. Text before the first heading belongs to no section; without a heading the
+    whole text is one section. Headings are rows: their starts are running sums of what
+    lies before them, and a path has, of each lower level, the last heading before that
+    no heading of a yet lower level has followed. Work grows with the number of headings
+    times the levels, and a document of many headings is sorted, not held in one row.
     """
     pattern = HEADINGS[kind]
     t = F.col(text)
@@ -34,56 +37,63 @@ def sections(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "text"
         key, F.length(t).alias("n"), heads.alias("heads"),
         F.transform(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(heads)), F.length).alias("gaps"),
     )
-    if kind == "markdown":
-        level = lambda h: F.length(F.regexp_extract(h, r"^(#+)", 1))
-        title = lambda h: strip(F.regexp_replace(h, r"^#+\s+", ""))
-    elif kind == "text":
-        level = lambda h: F.lit(1)
-        title = lambda h: strip(F.regexp_extract(h, pattern, 1))
+    rows = marked.select(key, "n", F.posexplode_outer(F.arrays_zip("heads", "gaps")).alias("ordinal", "h"))
+    head, deep = F.col("h.heads"), kind == "markdown"
+    if deep:
+        level, title = F.length(F.regexp_extract(head, r"^(#+)", 1)), strip(F.regexp_replace(head, r"^#+\s+", ""))
     else:
-        level = lambda h: F.lit(1)
-        title = strip
-    made = F.transform(F.arrays_zip("heads", "gaps"), lambda z: F.struct(level(z["heads"]).alias("level"), title(z["heads"]).alias("title"), F.length(z["heads"]).alias("size"), z["gaps"].alias("gap")))
-    empty = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<level:int,title:string>>").alias("stack"),
-        F.array().cast("array<struct<level:int,title:string,path:array<string>,start:int>>").alias("out"),
-    )
-
-    def step(s: Column, h: Column) -> Column:
-        start = s["at"] + h["gap"]
-        own = F.struct(h["level"].alias("level"), h["title"].alias("title"))
-        stack = F.concat(F.filter(s["stack"], lambda x: x["level"] < h["level"]), F.array(own))
-        row = F.struct(h["level"].alias("level"), h["title"].alias("title"), F.transform(stack, lambda x: x["title"]).alias("path"), start.alias("start"))
-        return F.struct((start + h["size"]).alias("at"), stack.alias("stack"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    found = F.aggregate(made, empty, step, lambda s: s["out"])
-    root = F.array(F.struct(F.lit(1).alias("level"), F.lit(ROOT[kind]).alias("title"), F.array(F.lit(ROOT[kind])).alias("path"), F.lit(0).alias("start")))
-    listed = marked.select(key, "n", F.when(F.size("heads") > 0, found).otherwise(root).alias("all"))
-    rows = listed.select(key, "n", "all", F.posexplode("all").alias("ordinal", "s"))
-    end = F.coalesce(F.try_element_at("all", F.col("ordinal") + 2)["start"], F.col("n"))
-    return rows.select(
-        key, F.col("ordinal").cast("long").alias("ordinal"), F.col("s.level").cast("long").alias("level"), "s.title", "s.path",
-        F.col("s.start").cast("long").alias("start"), end.cast("long").alias("end"),
+        level, title = F.lit(1), strip(F.regexp_extract(head, pattern, 1) if kind == "text" else head)
+    size = F.coalesce(F.length(head), F.lit(0))
+    told = rows.select(
+        key, "n", F.coalesce("ordinal", F.lit(0)).cast("long").alias("ordinal"), F.coalesce(level, F.lit(1)).cast("long").alias("level"),
+        F.coalesce(title, F.lit(ROOT[kind])).alias("title"), size.alias("size"), (F.coalesce("h.gaps", F.lit(0)) + size).cast("long").alias("step"),
     )
+    order = W.partitionBy(key).orderBy("ordinal")
+    start = (F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).cast("long")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    own = F.struct("level", "title")
+    over = [F.last(F.when(F.col("level") <= n, own), ignorenulls=True).over(before) for n in range(1, 6)] if deep else []
+    above = [F.when((F.col("level") > n) & (x["level"] == n), x["title"]) for n, x in enumerate(over, 1)]
+    path = F.array_compact(F.array(*above, F.col("title")))
+    made = told.select(key, "n", "ordinal", "level", "title", path.alias("path"), start.alias("start"))
+    end = F.coalesce(F.lead("start").over(order), F.col("n").cast("long"))
+    return made.select(key, "ordinal", "level", "title", "path", "start", end.alias("end"))
 
 
 def page_offsets(pages: DataFrame, gap: int = 2) -> DataFrame:
     """(doc_id, page_number, start, end) of (doc_id, page_number, text) joined by `gap` characters."""
-    from pyspark.sql import Window as W
-
     before = W.partitionBy("doc_id").orderBy("page_number").rowsBetween(W.unboundedPreceding, -1)
     size = F.length("text")
     at = F.coalesce(F.sum(size + gap).over(before), F.lit(0)).cast("long")
     return pages.select("doc_id", F.col("page_number").cast("long"), at.alias("start"), (at + size).cast("long").alias("end"))
 
 
+def swept(points: DataFrame, marks: DataFrame, name: str, at: str, to: str, ahead: bool = False, key: str = "doc_id") -> DataFrame:
+    """`points` with `name`: the row of `marks` of the same key with the greatest `to` that
+    is at most the point's `at`, or, `ahead`, with the least `to` that is at least it; null
+    where there is none. Of marks at one place the last counts, ahead the first, in order
+    of `marks`' second column.
+
+    Points and marks are sorted together once a key, and each point takes the mark last
+    passed: no pairs are made, and a key of any number of rows is sorted and spilled."""
+    rank = marks.columns[1]
+    none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("x")).schema["x"].dataType)
+    row, mark = F.struct(*points.columns), F.struct(*marks.columns)
+    both = marks.select(F.col(key).alias("_k"), F.col(to).cast("long").alias("_at"), F.lit(0).alias("_point"), F.col(rank).cast("long").alias("_rank"), mark.alias("_mark"), none(points).alias("_row"))
+    both = both.unionByName(points.select(F.col(key).alias("_k"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast("long").alias("_rank"), none(marks).alias("_mark"), row.alias("_row")))
+    way = F.desc if ahead else F.asc
+    passed = F.last("_mark", ignorenulls=True).over(W.partitionBy("_k").orderBy(way("_at"), "_point", way("_rank")).rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("_mark", passed).where("_row is not null").select("_row.*", F.col("_mark").alias(name))
+
+
 def page_of(spans: DataFrame, pages: DataFrame, last: bool = False) -> DataFrame:
     """`spans` (doc_id, start, ...) with page_number: the first page (or the last) whose
-    closed range holds the start, else 1. An equi-join on doc_id bounds the range join."""
-    p = pages.select("doc_id", F.col("page_number").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    pick = F.max("_p") if last else F.min("_p")
-    hit = spans.join(p, "doc_id").where("start between _s and _e").groupBy("doc_id", "start").agg(pick.alias("page_number"))
-    return spans.join(hit, ["doc_id", "start"], "left").withColumn("page_number", F.coalesce("page_number", F.lit(1).cast("long")))
+    closed range holds the start, else 1. Starts and ends of a document's pages don't fall
+    from page to page."""
+    p = pages.select("doc_id", "page_number", F.col("start").alias("from"), F.col("end").alias("to"))
+    found = swept(spans, p, "_page", "start", "from" if last else "to", ahead=not last)
+    held = (F.col("_page.from") <= F.col("start")) & (F.col("start") <= F.col("_page.to"))
+    return found.withColumn("page_number", F.coalesce(F.when(held, F.col("_page.page_number").cast("long")), F.lit(1).cast("long"))).drop("_page")
 
 
 # Where a window may end, best first.
@@ -168,11 +178,13 @@ def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFr
 
 
 def chunk_section(chunks: DataFrame, secs: DataFrame) -> DataFrame:
-    """`chunks` with the title of the first section that holds its start or its end."""
-    s = secs.select("doc_id", F.col("ordinal").alias("_o"), F.col("title").alias("_t"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    within = (F.col("_s") <= F.col("start")) & (F.col("start") < F.col("_e")) | (F.col("_s") <= F.col("end")) & (F.col("end") <= F.col("_e"))
-    hit = chunks.join(s, "doc_id").where(within).groupBy("doc_id", "chunk_index").agg(F.min_by("_t", "_o").alias("section_title"))
-    return chunks.join(hit, ["doc_id", "chunk_index"], "left").withColumn("section_title", F.coalesce("section_title", F.lit("General")))
+    """`chunks` with the title of the first section that holds its start or its end.
+    Sections are those of `sections`: each begins where the one before ends."""
+    s = secs.select("doc_id", "ordinal", "title", F.col("start").alias("from"), F.col("end").alias("to"))
+    found = swept(swept(chunks, s, "_a", "start", "from"), s, "_b", "end", "to", ahead=True)
+    a = F.when(F.col("start") < F.col("_a.to"), F.struct("_a.ordinal", "_a.title"))
+    b = F.when(F.col("_b.from") <= F.col("end"), F.struct("_b.ordinal", "_b.title"))
+    return found.withColumn("section_title", F.coalesce(F.least(a, b)["title"], F.lit("General"))).drop("_a", "_b")
 
 
 def structural_chunks(docs: DataFrame, secs: DataFrame, limit: int = 800, page: Column | None = None) -> DataFrame:
@@ -193,8 +205,6 @@ def structural_chunks(docs: DataFrame, secs: DataFrame, limit: int = 800, page:
             k = max(0, x.find(t))
             yield t, k, k + len(t)
 
-    from pyspark.sql import Window as W
-
     made = _chunked(cut, "_part", split).drop("_part")
     rows = made.select("*", F.posexplode("chunks").alias("_k", "c"))
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("ordinal", "_k")) - 1

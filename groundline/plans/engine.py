@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundline.config import Config
 from groundline.operators import answers, evaluation, lineage, ranking, sections
 from groundline.operators.index import Bm25Index
+from groundline.operators.vectors import DenseIndex, hashed_embedder
 from groundline.sources import corpus
 from groundline.sources.tables import fs_path, new_path, written
 
@@ -94,28 +98,43 @@ def chunk_files(files: DataFrame, strategy: str | Chunker = "structural", cfg: C
     return chunk_ids(out, chunker.name, cfg).withColumn("full_text", full)
 
 
+def _as_is(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", top_k: int = 5, targets: DataFrame | None = None,
              vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, cfg: Config = Config(),
-             index: Bm25Index | None = None, reranker=None) -> DataFrame:
+             index: Bm25Index | None = None, reranker=None, dense: DenseIndex | None = None, embedder: Callable | None = None,
+             stage: Callable[[str, DataFrame], DataFrame] = _as_is) -> DataFrame:
     """Candidates of queries (query_id, question), with what each method said of them.
 
-    `vectors` (chunk_id, embedding) and `query_vectors` (query_id, embedding) serve the
-    modes with vectors; `index` a persisted keyword index on chunk_id, else postings are
-    made for this batch. An unknown mode gives no candidate. `targets` (filename) applies
-    after ranking. `reranker` is a column or a model, by default the lexical one."""
+    The modes with vectors take `query_vectors` (query_id, embedding), or embed the
+    questions by `embedder`, and rank `vectors` (chunk_id, embedding), or ask a stored
+    `dense` index on chunk_id; `index` is a persisted keyword index on chunk_id, else
+    postings are made for this batch. An unknown mode gives no candidate. `targets`
+    (filename) applies after ranking. `reranker` is a column or a model, by default the
+    lexical one. `stage` is given each step's table by name and what it gives goes on."""
     place = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("_doc"), "chunk_index")
 
     def best(scored: DataFrame, k: int) -> DataFrame:
-        return ranking.top(scored.join(place, "doc_id"), k, ties=["_doc", "chunk_index"]).drop("_doc", "chunk_index")
+        # only those that may be among the k first, ties included, look up their place
+        order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)))
+        some = scored.withColumn("_r", F.rank().over(order)).where(F.col("_r") <= k).drop("_r")
+        return ranking.top(some.join(place, "doc_id"), k, ties=["_doc", "chunk_index"]).drop("_doc", "chunk_index")
 
     def keyword(k: int) -> DataFrame:
         scored = index.score(queries) if index else ranking.bm25(chunks.select("chunk_id", F.col("full_text").alias("text")), queries, key="chunk_id")
-        return best(scored.withColumnRenamed("chunk_id", "doc_id"), k)
+        return stage("bm25", best(scored.withColumnRenamed("chunk_id", "doc_id"), k))
 
     def vector(k: int) -> DataFrame:
-        if vectors is None or query_vectors is None:
-            raise ValueError(f"mode {mode!r} needs vectors and query_vectors")
-        return best(ranking.dense(vectors.select(F.col("chunk_id").alias("doc_id"), "embedding"), query_vectors, k), k)
+        if (vectors is None and dense is None) or (query_vectors is None and embedder is None):
+            raise ValueError(f"mode {mode!r} needs vectors or an index of them, and query_vectors or an embedder")
+        asked = query_vectors if query_vectors is not None else ranking.embed(queries, embedder, "query_id", "question")
+        if vectors is None:
+            scored = dense.top(asked, k).withColumnRenamed("chunk_id", "doc_id")
+        else:
+            scored = ranking.dense(vectors.select(F.col("chunk_id").alias("doc_id"), "embedding"), asked, k)
+        return stage("dense", best(scored, k))
 
     pool = 4 * top_k if targets is not None else top_k
     if mode == "bm25":
@@ -123,7 +142,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank",
     elif mode == "dense":
         ranked = vector(pool).withColumn("dense_score", F.col("score"))
     elif mode in ("hybrid", "hybrid_rerank"):
-        ranked = ranking.fuse(vector(cfg.pool), keyword(cfg.pool), cfg.pool, cfg)
+        ranked = stage("fusion", ranking.fuse(vector(cfg.pool), keyword(cfg.pool), cfg.pool, cfg))
     else:
         ranked = keyword(1).where("false")
     found = ranked.withColumnRenamed("doc_id", "chunk_id").join(chunks, "chunk_id").join(queries.select("query_id", "question"), "query_id")
@@ -131,13 +150,15 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank",
         found = ranking.only_targets(found, targets, cfg.pool if mode == "hybrid_rerank" else top_k, key="filename")
     if mode == "hybrid_rerank":
         logit = ranking.lexical_logit(F.col("question"), F.col("full_text")) if reranker is None else reranker
-        found = ranking.rerank(found, logit, top_k, text="full_text")
+        found = stage("rerank", ranking.rerank(found, logit, top_k, text="full_text"))
     return ranking.with_methods(found.where(F.col("rank") <= top_k))
 
 
 class Tracer:
     """Milliseconds of a batch's stages. Plans run when they are needed, so a stage is
-    timed by writing its table."""
+    timed by writing its table: a few rows a query, which all later stages then read.
+    `retrieve` and `generate` are whole; in between stand the steps that a mode has, of
+    `bm25`, `dense`, `fusion`, `rerank`, `gate` and `citations`, each without those before."""
 
     def __init__(self) -> None:
         self.stages: dict[str, float] = {}
@@ -148,6 +169,54 @@ class Tracer:
         self.stages[name] = self.stages.get(name, 0.0) + round(1000 * (time.monotonic() - began), 3)
         return out
 
+    def whole(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A stage that times what `make` does too, its steps included."""
+        began = time.monotonic()
+        out = written(make(), name)
+        self.stages[name] = self.stages.get(name, 0.0) + round(1000 * (time.monotonic() - began), 3)
+        return out
+
+
+#: The configurations that are published: a strategy of chunks and a mode each.
+CONFIGS = {
+    "dense": ("structural", "dense"), "bm25": ("structural", "bm25"), "hybrid": ("structural", "hybrid"),
+    "hybrid_rerank": ("structural", "hybrid_rerank"), "hybrid_rerank_fixed": ("fixed", "hybrid_rerank"),
+}
+
+
+@dataclass
+class Indexed:
+    """Chunks of one strategy, their keyword index and the index of their vectors."""
+
+    chunks: DataFrame
+    index: Bm25Index
+    dense: DenseIndex
+
+
+def measured(questions: DataFrame, found: dict[str, DataFrame], cfg: Config = Config(), gate: Gate = answers.gate, tracer: Tracer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics, details) of the candidates of several configurations: one row a
+    configuration, and one a configuration and question. All go through gate, answers and
+    metrics together, under ids that are pairs of configuration and question id.
+
+    `questions` has query_id, question and the labels that `judge` reads."""
+    tracer = tracer or Tracer()
+
+    def pair(config: str) -> Column:
+        return F.struct(F.lit(config).alias("config"), F.col("query_id").alias("id"))
+
+    cols = ["query_id", "question", "rank", "chunk_id", "doc_id", "filename", "page_number", "section_title", "text", "score", "reranker_prob"]
+    none = F.lit(None).cast("double")
+    parts = [
+        (got if "reranker_prob" in got.columns else got.withColumn("reranker_prob", none)).select(cols).withColumn("query_id", pair(config)) for config, got in found.items()
+    ]
+    together = tracer.stage("retrieve", reduce(DataFrame.unionByName, parts))
+    labelled = reduce(DataFrame.unionByName, [questions.withColumn("query_id", pair(config)) for config in found])
+    results = tracer.stage("generate", answers.generate(labelled.select("query_id", "question"), together, cfg, gate))
+    mean = (tracer.stages["retrieve"] + tracer.stages["generate"]) / max(1, results.count())
+    marked = judge(labelled.withColumnRenamed("query_id", "question_id"), results.withColumn("latency_ms", F.lit(mean)), together)
+    rows = marked.withColumn("config", F.col("query_id.config")).withColumn("query_id", F.col("query_id.id"))
+    return evaluation.evaluate(rows, ["config"]), rows
+
 
 class Engine:
     """Ingest a folder, index it once, and ask tables of questions.
@@ -155,15 +224,29 @@ class Engine:
     With `storage` versions are kept there as a manifest and found again by the next
     Engine. `gate` may be any function of the kind `Gate`."""
 
-    def __init__(self, spark: SparkSession, cfg: Config = Config(), storage: str | None = None, gate: Gate = answers.gate):
+    def __init__(self, spark: SparkSession, cfg: Config = Config(), storage: str | None = None, gate: Gate = answers.gate, embedder: Callable | None = None):
         self.spark, self.cfg, self.storage, self.gate = spark, cfg, storage, gate
+        self.embedder = embedder or hashed_embedder()
         self.versions: DataFrame | None = None
-        self.chunks: DataFrame | None = None
-        self.index: Bm25Index | None = None
         self.strategy: str | Chunker = "structural"
+        self.sets: dict[str, Indexed] = {}
         self.index_version, self.tracer = "v1", Tracer()
         if storage and (fs := fs_path(spark, f"{storage}/versions"))[0].exists(fs[1]):
             self.versions = spark.read.parquet(f"{storage}/versions")
+        if storage and (fs := fs_path(spark, f"{storage}/index_version"))[0].exists(fs[1]):
+            self.index_version = spark.read.parquet(f"{storage}/index_version").first()["index_version"]
+
+    @property
+    def _now(self) -> Indexed | None:
+        return self.sets.get(self.strategy if isinstance(self.strategy, str) else self.strategy.name)
+
+    @property
+    def chunks(self) -> DataFrame | None:
+        return self._now and self._now.chunks
+
+    @property
+    def index(self) -> Bm25Index | None:
+        return self._now and self._now.index
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """Status of each file; keeps the versions."""
@@ -190,30 +273,42 @@ class Engine:
         return lineage.active(self.versions) if active_only else self.versions
 
     def reindex(self, strategy: str | Chunker | None = None, extract: Callable | None = None) -> DataFrame:
-        """Chunk the active documents and write their keyword index."""
-        self.strategy = strategy or self.strategy
-        self.chunks = written(chunk_files(self.documents(), self.strategy, self.cfg, extract), "chunks")
-        self.index = Bm25Index.build(self.chunks, new_path(self.spark, "index"), "chunk_id", "full_text")
-        return self.chunks
+        """Chunk the active documents; write their keyword index, and their vectors by the
+        engine's embedder as an index too."""
+        strategy = strategy or self.strategy
+        name = strategy if isinstance(strategy, str) else strategy.name
+        chunks = written(chunk_files(self.documents(), strategy, self.cfg, extract), "chunks")
+        index = Bm25Index.build(chunks, new_path(self.spark, "index"), "chunk_id", "full_text")
+        vectors = ranking.embed(chunks, self.embedder, "chunk_id", "full_text")
+        self.sets[name] = Indexed(chunks, index, DenseIndex.build(vectors, new_path(self.spark, "vectors"), "chunk_id"))
+        self.strategy = strategy
+        return chunks
 
     def bump_index_version(self, tag: str) -> None:
+        """Name the index's version; with `storage` the next Engine finds it."""
         self.index_version = tag
+        if self.storage:
+            self.spark.createDataFrame([(tag,)], "index_version string").coalesce(1).write.mode("overwrite").parquet(f"{self.storage}/index_version")
 
     def stats(self) -> dict[str, int | str]:
         name = self.strategy if isinstance(self.strategy, str) else self.strategy.name
         return {"documents": self.documents().count(), "chunks": self.chunks.count(), "strategy": name, "index_version": self.index_version}
 
-    def query(self, queries: DataFrame, mode: str = "bm25", top_k: int = 5, **more) -> tuple[DataFrame, DataFrame]:
+    def query(self, queries: DataFrame, mode: str = "bm25", top_k: int = 5, steps: bool = False, **more) -> tuple[DataFrame, DataFrame]:
         """(results, candidates) of a table of questions, each written once; `tracer` has
-        the times of both stages, and results carry the batch's mean latency."""
-        self.tracer = Tracer()
-        found = self.tracer.stage("retrieve", self._found(queries, mode, top_k, **more))
-        results = self.tracer.stage("generate", answers.generate(queries, found, self.cfg, self.gate))
-        mean = sum(self.tracer.stages.values()) / max(1, results.count())
+        the times of both, with `steps` of their steps too, and results carry the batch's
+        mean latency."""
+        self.tracer = t = Tracer()
+        step = t.stage if steps else _as_is
+        found = t.whole("retrieve", lambda: self._found(queries, mode, top_k, stage=step, **more))
+        results = t.whole("generate", lambda: answers.generate(queries, found, self.cfg, self.gate, step))
+        mean = (t.stages["retrieve"] + t.stages["generate"]) / max(1, results.count())
         return results.withColumn("latency_ms", F.lit(mean)), found
 
-    def _found(self, queries: DataFrame, mode: str, top_k: int = 5, **more) -> DataFrame:
-        return retrieve(self.chunks, queries, mode, top_k, cfg=self.cfg, **({"index": self.index} | more))
+    def _found(self, queries: DataFrame, mode: str, top_k: int = 5, strategy: str | None = None, **more) -> DataFrame:
+        held = self.sets[strategy] if strategy else self._now
+        given = {"index": held.index, "embedder": self.embedder} | ({} if "vectors" in more else {"dense": held.dense}) | more
+        return retrieve(held.chunks, queries, mode, top_k, cfg=self.cfg, **given)
 
     def trace(self, results: DataFrame, found: DataFrame, path: str) -> DataFrame:
         """Append the traces of the last query to `path`; `corpus.trace_by_id` reads one."""
@@ -226,29 +321,21 @@ class Engine:
         results, found = self.query(queries, mode, top_k, **more)
         return evaluation.evaluate(judge(questions, results, found))
 
-    def ablation(self, questions: DataFrame, modes: tuple[str, ...] = ("bm25",), top_k: int = 5, **more) -> tuple[DataFrame, DataFrame]:
-        """(metrics, details): one row of metrics a mode, and one of details a mode and
-        question. Candidates of all modes go through answers and metrics together."""
-        queries = questions.select(F.col("question_id").alias("query_id"), "question")
-        own = lambda mode: F.concat(F.lit(f"{mode}\n"), F.col("query_id").cast("string"))
-        cols = ["query_id", "question", "rank", "chunk_id", "doc_id", "filename", "page_number", "section_title", "text", "score"]
-        found, asked, labelled = None, None, None
-        for mode in modes:
-            got = self._found(queries, mode, top_k, **more)
-            prob = F.col("reranker_prob") if "reranker_prob" in got.columns else F.lit(None).cast("double")
-            parts = (
-                got.select(*cols, prob.alias("reranker_prob")).withColumn("query_id", own(mode)),
-                queries.withColumn("query_id", own(mode)),
-                questions.withColumnRenamed("question_id", "query_id").withColumn("query_id", own(mode)).withColumn("config", F.lit(mode)),
-            )
-            found, asked, labelled = parts if found is None else tuple(a.unionByName(b) for a, b in zip((found, asked, labelled), parts))
-        self.tracer = Tracer()
-        found = self.tracer.stage("retrieve", found)
-        results = self.tracer.stage("generate", answers.generate(asked, found, self.cfg, self.gate))
-        mean = sum(self.tracer.stages.values()) / max(1, results.count())
-        marked = judge(labelled.withColumnRenamed("query_id", "question_id"), results.withColumn("latency_ms", F.lit(mean)), found)
-        rows = marked.join(labelled.select("query_id", "config"), "query_id").withColumn("query_id", F.substring_index("query_id", "\n", -1))
-        return evaluation.evaluate(rows, ["config"]), rows
+    def ablation(self, questions: DataFrame, configs: dict[str, tuple[str, str]] | tuple[str, ...] = CONFIGS, top_k: int = 5, **more) -> tuple[DataFrame, DataFrame]:
+        """(metrics, details) of labelled questions in several configurations, each a
+        strategy and a mode, or modes of the present strategy. A strategy that isn't
+        indexed yet is; the present one stays."""
+        was = self.strategy
+        if not isinstance(configs, dict):
+            configs = {mode: (was if isinstance(was, str) else was.name, mode) for mode in configs}
+        for strategy in dict.fromkeys(s for s, _ in configs.values()):
+            if strategy not in self.sets:
+                self.reindex(strategy)
+        self.strategy, self.tracer = was, Tracer()
+        asked = questions.withColumnRenamed("question_id", "query_id")
+        queries = asked.select("query_id", "question")
+        found = {config: self._found(queries, mode, top_k, strategy, **more) for config, (strategy, mode) in configs.items()}
+        return measured(asked, found, self.cfg, self.gate, self.tracer)
 
 
 def judge(questions: DataFrame, results: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -840,3 +840,6 @@ def structural_split(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("filename"), body)
     whole = docs.select("doc_id", F.lit(0).alias("ordinal"), F.lit("All").alias("title"), F.array(F.lit("All")).alias("path"), F.lit(0).alias("start"), F.length("text").alias("end"))
     return S.structural_chunks(docs, whole).select("doc_id", "chunk_index", "text", "start", "token_count")
+
+
+from groundline import queries_flow  # noqa: E402, F401  registers its own
