@@ -130,7 +130,7 @@ def _near(eps: float):
     return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= (eps + 1e-9) ** 2
 
 
-def block_pairs(made: DataFrame, eps: float) -> DataFrame:
+def block_pairs(made: DataFrame, eps: float, dims: int = DIMS) -> DataFrame:
     """Pairs (a, b) of block numbers, a <= b, whose boxes come within epsilon.
 
     Blocks are numbered along the sequence; RUN to the power k of them are an interval
@@ -148,7 +148,7 @@ def block_pairs(made: DataFrame, eps: float) -> DataFrame:
     top = 0
     while RUN**top <= (span[1] + 1) * wide:
         top += 1
-    arrays = lambda c, f: F.array(*(f(F.col(c)[k]) for k in range(DIMS))).alias(c)
+    arrays = lambda c, f: F.array(*(f(F.col(c)[k]) for k in range(dims))).alias(c)
 
     def level(k: int) -> DataFrame:
         node = F.floor(F.col("at") / RUN**k).cast("long").alias("node")
@@ -205,7 +205,7 @@ def near_vectors(
     rows = vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col, F.col(label_col).cast("long").alias(label_col))
     distinct = Table(usable(rows, id_col, vec_col, label_col), "distinct").df
     made = Table(blocks(distinct, cosine, dims, sample, block), "blocks").df
-    pairs = Table(block_pairs(made, eps), "pairs").df
+    pairs = Table(block_pairs(made, eps, dims), "pairs").df
     side = lambda s: made.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("dim", "ids", "copies", "rows")))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

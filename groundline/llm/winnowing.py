@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-K, WINDOW, BLOCK = 16, 16, 2048
+K, WINDOW, BLOCK = 16, 16, 512
 #: Ranges of keys for each shuffle partition. Their number is bounded by this, not by the number of documents.
 RANGES = 4
 _PLACE = 4095  # the low bits of a hash make room for the place in a block, counted down so that the rightmost is least
@@ -50,12 +50,9 @@ def _least(keys: Column, window: int) -> Column:
     return keys
 
 
-def winnow(text: Column, k: int = K, window: int = WINDOW, block: int = BLOCK) -> Column:
-    """array<struct<position, hash>> of a text's chosen hashes, in order of position.
-
-    Positions are in bytes of UTF-8. Hashes are XXH64 (seed 42) without their low twelve
-    bits. A text of fewer than k bytes, empty too, has one hash of all of it; null gives
-    null. Any length is read whole."""
+def chosen_blocks(text: Column, k: int = K, window: int = WINDOW, block: int = BLOCK) -> Column:
+    """array<array<bigint>>: of every `block` windows the least hashes, each with its place
+    in the block in its low bits, counted down. `text` is a string or its bytes."""
     if block + window - 1 > _PLACE + 1:
         raise ValueError(f"block and window are {block} and {window}, which is more than {_PLACE + 1} places")
 
@@ -64,35 +61,57 @@ def winnow(text: Column, k: int = K, window: int = WINDOW, block: int = BLOCK) -
         key = lambda i: F.xxhash64(F.substring(piece, i + 1, F.lit(k))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.lit(_PLACE) - i)
         return F.array_distinct(_least(F.transform(grams, key), window))
 
-    def entries(raw: Column, j: Column) -> Column:
-        picked = _let(F.substring(raw, j * block + 1, F.lit(block + k + window - 2)), chosen)
-        return F.transform(
-            picked,
-            lambda x: F.struct(
-                (j * block + _PLACE - x.bitwiseAND(F.lit(_PLACE))).cast("long").alias("position"),
-                x.bitwiseAND(F.lit(~_PLACE)).cast("long").alias("hash"),
-            ),
-        )
-
     def whole(raw: Column) -> Column:
         last = F.greatest(F.octet_length(raw) - (k + window - 1), F.lit(0))  # where the last window begins
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(last / block).cast("int")), lambda j: entries(raw, j)))
+        piece = lambda j: F.substring(raw, j * block + 1, F.lit(block + k + window - 2))
+        return F.transform(F.sequence(F.lit(0), F.floor(last / block).cast("int")), lambda j: _let(piece(j), chosen))
+
+    return _let(text.cast("binary"), whole)
+
+
+def fingerprint(blocks: Column, block: int = BLOCK) -> Column:
+    """array<struct<position, hash>> of the result of `chosen_blocks`, in order of position."""
+
+    def entry(x: Column, j: Column) -> Column:
+        place = j * block + _PLACE - x.bitwiseAND(F.lit(_PLACE))
+        return F.struct(place.cast("long").alias("position"), x.bitwiseAND(F.lit(~_PLACE)).alias("hash"))
 
     def once(found: Column) -> Column:  # neighbouring blocks may choose the same place; places never fall
         return F.filter(found, lambda x, i: (i == 0) | (F.get(found, i - 1)["position"] != x["position"]))
 
-    return _let(_let(text.cast("binary"), whole), once)
+    return _let(F.flatten(F.transform(blocks, lambda b, j: F.transform(b, lambda x: entry(x, j)))), once)
+
+
+def winnow(text: Column, k: int = K, window: int = WINDOW, block: int = BLOCK) -> Column:
+    """array<struct<position, hash>> of a text's chosen hashes, in order of position.
+
+    Positions are in bytes of UTF-8. Hashes are XXH64 (seed 42) without their low twelve
+    bits. A text of fewer than k bytes, empty too, has one hash of all of it; null gives
+    null. Any length is read whole; `block` doesn't matter for the result."""
+    return fingerprint(chosen_blocks(text, k, window, block), block)
 
 
-def hashes(fingerprint: Column) -> Column:
-    """The distinct hashes of a fingerprint."""
-    return F.array_distinct(F.transform(fingerprint, lambda x: x["hash"]))
+def spliced(blocks: Column, kept: Column, text: Column, k: int = K, window: int = WINDOW, block: int = BLOCK) -> Column:
+    """`chosen_blocks` of `text`, whose first `kept` bytes are those of the text that
+    `blocks` are of: blocks whose windows lie in these stay, the rest is hashed."""
+    same = F.greatest(F.floor((kept - (k + window - 1)) / block), F.lit(0)).cast("int")
+    rest = lambda n: F.concat(F.slice(blocks, F.lit(1), n), chosen_blocks(F.substring(text.cast("binary"), n * block + 1, F.octet_length(text)), k, window, block))
+    return _let(same, rest)
+
+
+def hashes(blocks: Column) -> Column:
+    """The distinct hashes of the result of `chosen_blocks`."""
+    return F.array_distinct(F.transform(F.flatten(blocks), lambda x: x.bitwiseAND(F.lit(~_PLACE))))
 
 
 def digest(fingerprint: Column) -> Column:
     """A fingerprint's positions and hashes as one string of 32 hex digits."""
-    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
-    return F.concat(half(fingerprint), half(F.lit("again"), fingerprint))
+
+    def both(f: Column) -> Column:
+        half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+        return F.concat(half(f), half(F.lit("again"), f))
+
+    return _let(fingerprint, both)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,8 +149,9 @@ def _ranged(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, text, fingerprint, next_text, next_hashes) of (doc_id, text, ...),
-    where next is the document with the next smaller id, and after the least the greatest.
+    """(doc_id, n_chars, text, blocks, next_text, next_blocks) of (doc_id, text, ...), where
+    blocks are those of `chosen_blocks`, and next is the document with the next smaller
+    id, and after the least the greatest.
 
     Null text is empty. Null ids come last. Rows that share an id stand by a hash of
     their text; equal rows follow one another, each one's next being the row after it. A
@@ -141,32 +161,31 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, ranges: int
     spark = docs.sparkSession
     n = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = _ranged(plain, n).repartition("range").withColumn("fingerprint", winnow(F.col("text"), k, window))
-    told = dealt.withColumn("hashes", hashes(F.col("fingerprint")))
-    follow = F.lead(F.struct("text", "hashes")).over(W.partitionBy("range").orderBy("ahead", "key"))
-    rows = told.withColumn("next", follow).where(~F.col("ahead"))
+    dealt = _ranged(plain, n).repartition("range").withColumn("blocks", chosen_blocks(F.col("text"), k, window))
+    follow = F.lead(F.struct("text", "blocks")).over(W.partitionBy("range").orderBy("ahead", "key"))
+    rows = dealt.withColumn("next", follow).where(~F.col("ahead"))
     return rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), "text", "fingerprint", "hashes",
-        F.col("next.text").alias("next_text"), F.col("next.hashes").alias("next_hashes"),
-    )
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "text", "blocks", F.col("next.text").alias("next_text"), F.col("next.blocks").alias("next_blocks")
+    )
 
 
 def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Each document's fingerprint against that of its edited text, whose last half is
     the next document's beginning, and against the next document's. Rows as in
-    `fingerprints`."""
+    `fingerprints`. The edited text keeps the blocks of its unchanged beginning."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))
+    head = F.left("text", F.col("n_chars").cast("int") - half)
     rows = fingerprints(docs, k, window).select(
-        "doc_id", "n_chars", edited.alias("edited"), digest(F.col("fingerprint")).alias("fingerprint"), "hashes", "next_hashes"
+        "doc_id", "n_chars", F.octet_length(head).alias("kept"), F.concat(head, F.left("next_text", half)).alias("edited"), "blocks", "next_blocks"
     )
-    rows = rows.withColumn("e", winnow(F.col("edited"), k, window)).withColumn("edited_hashes", hashes(F.col("e")))
+    rows = rows.withColumn("edited_blocks", spliced(F.col("blocks"), F.col("kept"), F.col("edited"), k, window))
+    rows = rows.select("doc_id", "n_chars", "edited", "blocks", "edited_blocks", *(hashes(F.col(c)).alias(h) for c, h in (("blocks", "own"), ("edited_blocks", "new"), ("next_blocks", "next"))))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint",
-        digest(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        digest(fingerprint(F.col("blocks"))).alias("fingerprint"),
+        digest(fingerprint(F.col("edited_blocks"))).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
     )

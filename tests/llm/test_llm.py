@@ -517,6 +517,15 @@ def test_op6_awkward(spark, block):
     assert rows(gridjoin.near_vectors(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("dims", [1, 2, 6])
+def test_op6_principal_dimensions(spark, dims):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(9, 5))
+    vectors = [(i, (centres[i % 9] + rng.normal(size=5) * 0.25).tolist(), i % 2) for i in range(150)] + [(200, [1.0, 0.1], 1), (201, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    assert sorted(rows(gridjoin.near_vectors(df, dims=dims, block=16))) == _near(vectors, 0.93)
+
+
 # operator 7
 def test_op7_targets(spark):
     sizes = [("a", 100, 1), ("b", 1000, 1), ("c", 1000, 1), ("d", 0, 1), (None, 900, 1)]

@@ -94,6 +94,21 @@ def test_winnowing_of_one_row_none_and_a_long_text(spark):
     assert got[1].fingerprint == got[2].fingerprint and got[2].near_next == 1.0 and got[3].near_next > 0.95
 
 
+@pytest.mark.parametrize("k,w,block", [(16, 16, 512), (3, 5, 7), (1, 1, 3), (4, 2, 50)])
+def test_splices_equal_whole_texts(spark, k, w, block):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(120):
+        a, b = ("".join(rng.choice(list("abé"), int(rng.integers(0, 90 if i % 2 else 1500)))) for _ in range(2))
+        cut = int(rng.integers(0, len(a) + 1))
+        rows.append((i, a, len(a[:cut].encode()), a[:cut] + b))
+    df = spark.createDataFrame(rows, "i int, a string, kept int, text string")
+    old = Wn.chosen_blocks(F.col("a"), k, w, block)
+    new = Wn.fingerprint(Wn.spliced(F.col("blocks"), F.col("kept"), F.col("text"), k, w, block), block)
+    for r in df.withColumn("blocks", old).select("text", new.alias("f")).collect():
+        assert [tuple(x) for x in r.f] == winnowed(r.text, k, w)
+
+
 def test_shared_passage_is_always_matched(spark):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, n))
@@ -102,7 +117,7 @@ def test_shared_passage_is_always_matched(spark):
         shared = word(Wn.K + Wn.WINDOW - 1)
         rows.append((i, word(int(rng.integers(0, 99))) + shared + word(40), word(int(rng.integers(0, 99))) + shared + word(9)))
     df = spark.createDataFrame(rows, "i int, a string, b string")
-    both = F.size(F.array_intersect(Wn.hashes(Wn.winnow(F.col("a"))), Wn.hashes(Wn.winnow(F.col("b")))))
+    both = F.size(F.array_intersect(Wn.hashes(Wn.chosen_blocks(F.col("a"))), Wn.hashes(Wn.chosen_blocks(F.col("b")))))
     assert df.where(both == 0).count() == 0
 
 
