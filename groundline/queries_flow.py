@@ -20,6 +20,7 @@ from groundline.operators.vectors import DenseIndex, hashed_embedder
 from groundline.plans.engine import measured
 from groundline.queries import query, read
 from groundline.sources.tables import new_path, written
+from groundline.streaming.stateful import ingest_with_state
 
 
 # vectors in a stored index
@@ -103,6 +104,18 @@ def lineage_of_batches(spark, sf_dir):
     return out.withColumn("version", F.coalesce("version", F.lit(0).cast("long")))
 
 
+@query(f"WITH {Q.LINEAGE} SELECT filename, seq, content_hash, status, coalesce(version, 0)::BIGINT AS version FROM lin")
+def lineage_of_stream(spark, sf_dir):
+    """As `version_lineage`, by a stream that keeps its state; a second run finds nothing new."""
+    path, at = f"{sf_dir}/documents.parquet", new_path(spark, "stream")
+    schema = read(spark, sf_dir, "documents").schema
+    for _ in range(2):
+        docs = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a stream takes a single file by a pattern
+        rows = docs.select(F.col("source").alias("filename"), F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("seq"), L.fingerprint(F.col("text")).alias("content_hash"))
+        out = ingest_with_state(rows, f"{at}/table", f"{at}/checkpoint")
+    return out.select("filename", F.col("seq").cast("long").alias("seq"), "content_hash", "status", F.coalesce("version", F.lit(0).cast("long")).alias("version"))
+
+
 # what is said: answers, refusals and their sizes
 RATIONALE = """CASE WHEN none THEN 'No candidate matched the query.' WHEN missing THEN 'Missing evidence for: ' || array_to_string(lost[1:4], ', ') WHEN conflict THEN 'Contradictory sources: ' || concat_ws('; ', polarity, metric)
     WHEN weak THEN printf('Weak evidence: %.3f', top) ELSE printf('Sufficient evidence: %.3f', top) END"""
