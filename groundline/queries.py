@@ -557,19 +557,22 @@ ve AS (SELECT *, CASE WHEN t IS NULL THEN 0.0 WHEN len(kw) = 0 THEN 1.0 ELSE len
 
 
 def _verified(spark, sf_dir):
-    return A.verify(_answers(spark, sf_dir), _candidates(spark, sf_dir))
+    """(answers, checked citations) of one table of candidates."""
+    c = _candidates(spark, sf_dir)
+    said = written(A.build_answers(c), "answers")
+    return said, A.verify(said, c)
 
 
 @query(f"WITH {VERIFY} SELECT query_id, claim_no::BIGINT AS claim_no, cite_no::BIGINT AS cite_no, cited_chunk AS chunk_id, round_even(score, 3) AS alignment, t IS NOT NULL AND score >= 0.3 AS faithful FROM ve")
 def citation_verify(spark, sf_dir):
-    return _verified(spark, sf_dir).select("query_id", "claim_no", "cite_no", "chunk_id", "alignment", "faithful")
+    return _verified(spark, sf_dir)[1].select("query_id", "claim_no", "cite_no", "chunk_id", "alignment", "faithful")
 
 
 @query(f"""WITH {VERIFY}, cn AS (SELECT query_id, count(*) AS n FROM cm GROUP BY query_id),
 vf AS (SELECT query_id, avg((score >= 0.3 AND t IS NOT NULL)::INT::DOUBLE) AS p, count(DISTINCT claim_no) AS c FROM ve GROUP BY query_id)
 SELECT query_id, coalesce(round_even(p, 3), 0.0) AS citation_precision, round_even(coalesce(c, 0)::DOUBLE / n, 3) AS citation_coverage FROM cn LEFT JOIN vf USING (query_id)""")
 def citation_metrics(spark, sf_dir):
-    return A.citation_metrics(_answers(spark, sf_dir), _verified(spark, sf_dir))
+    return A.citation_metrics(*_verified(spark, sf_dir))
 
 
 # evaluation
@@ -716,7 +719,7 @@ def shown_candidates(spark, sf_dir):
 @query(f"""WITH {VERIFY} SELECT query_id, claim_no::BIGINT AS claim_no, cite_no::BIGINT AS cite_no, {sq('cited_file')} AS doc_filename, page, {sq('section')} AS section, cited_chunk AS chunk_id,
   round_even(score, 3) AS alignment_score, t IS NOT NULL AND score >= 0.3 AS is_faithful, substr(claim_text, 1, 120) AS claim FROM ve""")
 def trace_citations(spark, sf_dir):
-    return corpus.shown_citations(_verified(spark, sf_dir))
+    return corpus.shown_citations(_verified(spark, sf_dir)[1])
 
 
 @query(f"""WITH {FUSED},

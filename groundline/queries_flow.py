@@ -87,6 +87,16 @@ def md_outline(spark, sf_dir):
     return found.withColumn("path", F.array_join("path", " > "))
 
 
+# headings as page texts have them: numbered ones, and lines of capitals
+@query("""WITH p AS (SELECT page_id AS doc_id, '(lead)' || chr(10) AS a, '1.2. Part ' || page_id || ' of many' AS h, chr(10) || '(' || url || ')' || chr(10) AS b, 'RESULTS ' || (page_id % 97) || ':' AS g, chr(10) || '(the end)' AS c FROM pages)
+SELECT doc_id, 0::BIGINT AS ordinal, 1::BIGINT AS level, h AS title, h AS path, length(a)::BIGINT AS "start", length(a || h || b)::BIGINT AS "end" FROM p
+UNION ALL SELECT doc_id, 1, 1, g, g, length(a || h || b), length(a || h || b || g || c) FROM p""")
+def pdf_sections(spark, sf_dir):
+    n = F.col("page_id")
+    text = F.concat(F.lit("(lead)\n1.2. Part "), n.cast("string"), F.lit(" of many\n("), "url", F.lit(")\nRESULTS "), (n % 97).cast("string"), F.lit(":\n(the end)"))
+    return S.sections(read(spark, sf_dir, "pages").select(n.alias("doc_id"), text.alias("text")), "pdf").withColumn("path", F.array_join("path", " > "))
+
+
 # arrivals that meet what earlier batches kept
 @query(f"WITH {Q.LINEAGE} SELECT filename, seq, content_hash, status, coalesce(version, 0)::BIGINT AS version FROM lin")
 def lineage_of_batches(spark, sf_dir):
@@ -146,6 +156,20 @@ def generate_answers(spark, sf_dir):
     return got.select("query_id", "decision", "answer", "citation_precision", "citation_coverage", "prompt_tokens", "completion_tokens")
 
 
+@query(rf"""WITH {Q.CAND},
+lo AS (SELECT query_id, max(rank) AS r FROM cand WHERE rank <= 3 GROUP BY query_id),
+fb AS (SELECT c.query_id, 'Claim ' || regexp_replace(question, '\s+', ' ', 'g') AS said, upper(filename) AS f FROM cand c JOIN lo ON lo.query_id = c.query_id AND c.rank = lo.r),
+hit AS (SELECT fb.query_id, said, arg_min(c.chunk_id, c.rank) AS chunk_id, arg_min(lower(c.text), c.rank) AS t FROM fb JOIN cand c ON c.query_id = fb.query_id AND c.rank <= 3 AND lower(c.filename) = lower(fb.f) GROUP BY ALL),
+kw AS (SELECT *, {Q.tok('said')} AS kw FROM hit), sc AS (SELECT *, len(list_filter(kw, lambda w: contains(t, w)))::DOUBLE / len(kw) AS score FROM kw)
+SELECT query_id, chunk_id, round_even(score, 3) AS alignment, score >= 0.3 AS faithful FROM sc""")
+def citation_by_name(spark, sf_dir):
+    """Tags that name no chunk there is: the file's name, in any case of letters, finds the first chunk of that file."""
+    c = Q._candidates(spark, sf_dir)
+    last = c.where("rank <= 3").groupBy("query_id").agg(F.max_by("filename", "rank").alias("f"), F.first("question").alias("question"))
+    said = F.concat(F.lit("Claim "), F.regexp_replace("question", r"\s+", " "), F.lit(" [Doc: "), F.upper("f"), F.lit(" | chunk: nowhere]"))
+    return A.verify(last.select("query_id", said.alias("answer")), c).select("query_id", "chunk_id", "alignment", "faithful")
+
+
 # five configurations: four modes over documents, and keywords with reranking over fixed chunks
 FIVE = ("bm25", "dense", "hybrid", "hybrid_rerank", "fixed_rerank")
 
