@@ -231,8 +231,7 @@ class Engine:
         self.strategy: str | Chunker = "structural"
         self.sets: dict[str, Indexed] = {}
         self.index_version, self.tracer = "v1", Tracer()
-        if storage and (fs := fs_path(spark, f"{storage}/versions"))[0].exists(fs[1]):
-            self.versions = spark.read.parquet(f"{storage}/versions")
+        self._open()
         if storage and (fs := fs_path(spark, f"{storage}/index_version"))[0].exists(fs[1]):
             self.index_version = spark.read.parquet(f"{storage}/index_version").first()["index_version"]
 
@@ -248,17 +247,35 @@ class Engine:
     def index(self) -> Bm25Index | None:
         return self._now and self._now.index
 
+    def _batches(self, name: str) -> set[int]:
+        """Numbers of the batches that a table in `storage` has."""
+        fs, at = fs_path(self.spark, f"{self.storage}/{name}")
+        return {r[0] for r in self.spark.read.option("basePath", str(at)).format("parquet" if name == "versions" else "text").load(str(at)).select("batch").distinct().collect()} if fs.exists(at) else set()
+
+    def _open(self) -> None:
+        if self.storage and self._batches("versions"):
+            self.versions = self.spark.read.parquet(f"{self.storage}/versions")
+
     def ingest(self, files: DataFrame) -> DataFrame:
-        """Status of each file; keeps the versions."""
+        """Status of each file; keeps the versions.
+
+        With `storage` a batch is one write of versions under the batch's number, and the
+        JSON manifest, which has the same rows without contents and with the index's
+        version, follows batch by batch: one that a crash left out is made up by the next
+        ingest. One writer at a time."""
         known = None if self.versions is None else self.versions.select("filename", "version", "content_hash")
         status = written(lineage.ingest(files, known), "status")
         kept = status.where("version is not null").drop("status")
-        if self.storage:
-            kept.write.mode("append").parquet(f"{self.storage}/versions")
-            corpus.save_manifest(kept.drop("content"), f"{self.storage}/manifest")
-            self.versions = self.spark.read.parquet(f"{self.storage}/versions")
-        else:
+        if not self.storage:
             self.versions = kept if self.versions is None else self.versions.unionByName(kept)
+            return status
+        if not kept.isEmpty():
+            at = 1 + max(self._batches("versions"), default=-1)
+            kept.write.mode("overwrite").parquet(f"{self.storage}/versions/batch={at}")
+            self._open()
+        for at in sorted(self._batches("versions") - self._batches("manifest")):
+            rows = self.versions.where(F.col("batch") == at).drop("content", "batch").withColumn("index_version", F.lit(self.index_version))
+            corpus.save_manifest(rows, f"{self.storage}/manifest/batch={at}", "overwrite")
         return status
 
     def ingest_folder(self, folder: str, source_type: str = "corpus") -> DataFrame:
@@ -269,8 +286,10 @@ class Engine:
         corpus.save_upload(self.spark, folder, filename, content)
         return self.ingest(corpus.scan(self.spark, folder, "uploaded").where(F.col("filename") == filename))
 
-    def documents(self, active_only: bool = True) -> DataFrame:
-        return lineage.active(self.versions) if active_only else self.versions
+    def documents(self, active_only: bool = True, upto: int | None = None) -> DataFrame:
+        """The newest version of each file, or all; with `storage` also as of batch `upto`."""
+        rows = self.versions if upto is None else self.versions.where(F.col("batch") <= upto)
+        return lineage.active(rows) if active_only else rows
 
     def reindex(self, strategy: str | Chunker | None = None, extract: Callable | None = None) -> DataFrame:
         """Chunk the active documents; write their keyword index, and their vectors by the

@@ -139,3 +139,28 @@ def test_five_configurations_of_an_engine(spark, tmp_path):
     assert t["bm25"] + t["dense"] + t["fusion"] + t["rerank"] <= t["retrieve"] and t["gate"] + t["citations"] <= t["generate"]
     eng.bump_index_version("v7")
     assert Engine(spark, storage=str(tmp_path / "store")).index_version == "v7"
+
+
+def test_batches_of_versions_and_their_manifest(spark, tmp_path):
+    folder, store = tmp_path / "corpus", f"{tmp_path}/store"
+    folder.mkdir()
+    (folder / "a.md").write_text("# One\n\nfirst text")
+    (folder / "b.txt").write_text("second text")
+    Engine(spark, storage=store).ingest_folder(str(folder))
+    (folder / "a.md").write_text("# One\n\nnewer text")
+    eng = Engine(spark, storage=store)
+    eng.bump_index_version("v2")
+    eng.ingest_folder(str(folder))
+    eng.ingest_folder(str(folder))  # nothing new, no batch
+    told = lambda df: sorted((r.filename, r.version) for r in df.collect())
+    assert told(eng.documents()) == [("a.md", 2), ("b.txt", 1)] and told(eng.documents(upto=0)) == [("a.md", 1), ("b.txt", 1)]
+    manifest = lambda: {(r.filename, r.version, r.index_version) for r in spark.read.json(f"{store}/manifest").collect()}
+    want = {("a.md", 1, "v1"), ("b.txt", 1, "v1"), ("a.md", 2, "v2")}
+    assert manifest() == want
+    import shutil
+
+    shutil.rmtree(f"{store}/manifest/batch=1")  # as a crash between the two writes would leave it
+    again = Engine(spark, storage=store)
+    assert told(again.documents()) == told(eng.documents()) and again.index_version == "v2"
+    again.ingest_folder(str(folder))
+    assert manifest() == want
