@@ -19,6 +19,7 @@ from groundline.operators.index import Bm25Index
 from groundline.operators.vectors import DenseIndex, hashed_embedder
 from groundline.plans.engine import measured
 from groundline.queries import query, read
+from groundline.sources import corpus
 from groundline.sources.tables import new_path, written
 from groundline.streaming.stateful import ingest_with_state
 
@@ -196,8 +197,11 @@ FIVE_REL = Q.REL.replace(Q.CAND + ",", "").replace("query_id % 3", "(query_id //
 _MEAN = lambda c, on, none: f"round_even(coalesce(avg(CASE WHEN {on} THEN {c}::DOUBLE END), {none}), 4)"
 
 
-@query(f"""WITH {FIVE_CAND}, {FIVE_GATE}, {FIVE_REL}, {LATER}, {said_sql('items')},
-rs AS (SELECT query_id % 8 AS cfg, (query_id // 8) % 5 = 0 AS s, decision = 'ABSTAIN' AS a, sz.*, rk.* EXCLUDE (query_id) FROM sz LEFT JOIN rk USING (query_id)),
+FIVE_RESULTS = f"""{FIVE_CAND}, {FIVE_GATE}, {FIVE_REL}, {LATER}, {said_sql('items')},
+rs AS (SELECT query_id % 8 AS cfg, (query_id // 8) % 5 = 0 AS s, decision = 'ABSTAIN' AS a, sz.*, rk.* EXCLUDE (query_id) FROM sz LEFT JOIN rk USING (query_id))"""
+
+
+@query(f"""WITH {FIVE_RESULTS},
 {Q.CONFUSED.format(by='cfg,', t='rs', group='GROUP BY cfg').replace('co AS', 'cx AS').replace('FROM co)', 'FROM cx)')}
 SELECT {list(FIVE)}[rs.cfg + 1] AS config, count(*)::BIGINT AS total_questions,
   {', '.join(f"{_MEAN(f'coalesce({c}, 0)', 'NOT s', 0)} AS {n}" for c, n in (('recall_1', 'recall_at_1'), ('recall_3', 'recall_at_3'), ('recall_5', 'recall_at_5'), ('rr_5', 'mrr_at_5'), ('ndcg_5', 'ndcg_at_5')))},
@@ -207,6 +211,20 @@ SELECT {list(FIVE)}[rs.cfg + 1] AS config, count(*)::BIGINT AS total_questions,
 FROM rs JOIN cr ON cr.cfg = rs.cfg GROUP BY rs.cfg""")
 def ablation_five(spark, sf_dir):
     """All metrics of five configurations, measured together."""
+    return _five(spark, sf_dir)[0].drop("avg_latency_ms")
+
+
+@query(f"""WITH {FIVE_RESULTS}, fl AS (SELECT *, CASE WHEN s AND NOT a THEN 'FAILED_TO_ABSTAIN' WHEN NOT s AND a THEN 'FALSE_ABSTAIN' WHEN NOT s AND first_hit IS NULL THEN 'RETRIEVAL_MISS' END AS failure FROM rs)
+SELECT {list(FIVE)}[cfg + 1] AS config, query_id // 8 AS query_id, failure, decision FROM fl WHERE failure IS NOT NULL""")
+def ablation_failures(spark, sf_dir):
+    """What went wrong in each configuration, saved beside the metrics and read back."""
+    metrics, rows = _five(spark, sf_dir)
+    path = new_path(spark, "ablation")
+    corpus.save_metrics(metrics, rows.where("failure is not null").select("config", "query_id", "failure", "decision"), path)
+    return spark.read.schema("config string, query_id long, failure string, decision string").json(f"{path}/all_failures")
+
+
+def _five(spark, sf_dir):
     asked = Q._questions(spark, sf_dir)
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("filename"), "text")
     bm = written(Q._bm25(spark, sf_dir, 20), "bm25")
@@ -237,4 +255,4 @@ def ablation_five(spark, sf_dir):
         "query_id", "question", F.lit("all").alias("category"), (i % 5 == 0).alias("should_abstain"),
         F.array(F.when(i % 3 == 0, "src1").otherwise("SRC")).alias("golden_doc_filenames"), F.split("question", " ").alias("golden_passage_keywords"),
     )
-    return measured(questions, found, Config())[0].drop("avg_latency_ms")
+    return measured(questions, found, Config())
