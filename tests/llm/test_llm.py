@@ -835,5 +835,5 @@ def _by_row(texts):
 
 
 def test_registry(spark):
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 11
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
     assert shared_dir(spark) == shared_dir(spark)
