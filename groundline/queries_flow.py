@@ -17,7 +17,7 @@ from groundline.operators import ranking as R
 from groundline.operators import sections as S
 from groundline.operators.index import Bm25Index
 from groundline.operators.vectors import DenseIndex, hashed_embedder
-from groundline.plans.engine import measured
+from groundline.plans.engine import chunk_files, measured
 from groundline.queries import query, read
 from groundline.sources import corpus
 from groundline.sources.tables import new_path, written
@@ -88,6 +88,16 @@ def md_outline(spark, sf_dir):
     return found.withColumn("path", F.array_join("path", " > "))
 
 
+# files cut to chunks with their ids: every document a file of its own, in its second version
+@query(f"""WITH {Q.CHUNKS} SELECT 'd ' || doc_id || '.txt' AS filename, chunk_index::BIGINT AS chunk_index, 'Main' AS section_title, 1::BIGINT AS page_number, part AS full_text,
+  'chk_fix_d-' || doc_id || '-txt_' || sha256('d ' || doc_id || '.txt' || chr(10) || '2')[1:12] || '_' || lpad(chunk_index::VARCHAR, greatest(3, length(chunk_index::VARCHAR))::INT, '0') AS chunk_id FROM fx""")
+def file_chunks(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    name = F.concat(F.lit("d "), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = d.select(name.alias("filename"), F.lit("text").alias("file_type"), F.col("text").cast("binary").alias("content"), F.lit(2).cast("long").alias("version"))
+    return chunk_files(files, "fixed").select("filename", "chunk_index", "section_title", "page_number", "full_text", "chunk_id")
+
+
 # headings as page texts have them: numbered ones, and lines of capitals
 @query("""WITH p AS (SELECT page_id AS doc_id, '(lead)' || chr(10) AS a, '1.2. Part ' || page_id || ' of many' AS h, chr(10) || '(' || url || ')' || chr(10) AS b, 'RESULTS ' || (page_id % 97) || ':' AS g, chr(10) || '(the end)' AS c FROM pages)
 SELECT doc_id, 0::BIGINT AS ordinal, 1::BIGINT AS level, h AS title, h AS path, length(a)::BIGINT AS "start", length(a || h || b)::BIGINT AS "end" FROM p
