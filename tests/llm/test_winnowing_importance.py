@@ -156,6 +156,13 @@ def test_buckets_equal_plain_hashing(texts, longest):
         assert got.tolist() == [zlib.crc32(f.encode()) % 97 for f in features(t, longest)]
 
 
+def test_buckets_of_long_texts():
+    long = " ".join(f"w{i * i % 977}" for i in range(300_000))
+    (n, got), (m, none) = I.block_buckets([long, None], 101, 2)
+    assert (n, m, len(none)) == (300_000, 0, 0)
+    assert got.tolist() == [zlib.crc32(f.encode()) % 101 for f in features(long, 2)]
+
+
 def by_hand(docs, target, buckets, longest, least, share):
     of = lambda t: [zlib.crc32(f.encode()) % buckets for f in features(t, longest)]
     s, t = Counter(b for _, x in docs for b in of(x)), Counter(b for _, x in target for b in of(x))
