@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -560,6 +561,33 @@ def test_op7_mix(spark, sf_dir, awkward, empty):
     assert rows(mixing.mix(empty)) == []
 
 
+def test_op7_copies_by_definition(spark, sf_dir, awkward):
+    """Targets by plain loops; each document floor(r) or floor(r) + 1 times; totals of a source near r times its own."""
+    for table in (spark.read.parquet(f"{sf_dir}/documents.parquet"), awkward):
+        docs = [(r.source, len(re.findall("[^\x20\x09-\x0D]+", r.text or ""))) for r in table.collect()]
+        names = sorted({n for n, _ in docs if n is not None}) + ([None] if any(n is None for n, _ in docs) else [])
+        own = {n: sum(k for m, k in docs if m == n) for n in names}
+        weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+        goal, full = {}, set()
+        while True:
+            left, over = sum(own.values()) - sum(3 * own[n] for n in full), sum(weight[n] for n in names if n not in full)
+            goal = {n: 3 * own[n] if n in full else left * weight[n] / over for n in names}
+            more = {n for n in names if goal[n] > 3 * own[n] + 1e-9} - full
+            if not more:
+                break
+            full |= more
+        got = mixing.mix(table).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(goal)
+        for n in names:
+            mine = [r for r in got if r.source == n]
+            ratio = goal[n] / own[n] if own[n] else 0
+            if own[n]:
+                assert {r.copies for r in mine if r.size} <= {math.floor(ratio + 1e-9), math.floor(ratio + 1e-9) + 1}
+                assert all(r.taken == r.copies * r.size and r.copies <= 3 for r in mine)
+                assert abs(sum(r.taken for r in mine) - goal[n]) <= max(r.size for r in mine)
+                assert abs(sum(r.copies for r in mine) - ratio * len(mine)) <= 18  # landing and turned units
+
+
 # operator 8
 def test_op8_languages(spark, sf_dir, awkward, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
