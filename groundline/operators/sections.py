@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,24 +151,46 @@ def section_parts(text: str, limit: int) -> Iterator[str]:
             yield from _packed(sentences, limit, " ", 1)
 
 
-_CHUNKS = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _CHUNK_DDL = "array<struct<text:string,start:long,end:long>>"
+#: Bytes of text that one Arrow batch of chunks is made from; a longer text has a batch of its own.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """`b` in runs of rows of about SLICE_BYTES of the text in column `at`."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.binary_length(b.column(at)).to_pylist()):
+        if held and held + (n or 0) > SLICE_BYTES:
+            yield b.slice(first, i - first)
+            first, held = i, 0
+        held += n or 0
+    yield b.slice(first)
 
 
 def _chunked(df: DataFrame, column: str, split) -> DataFrame:
-    """Add `chunks`, made by `split` from the text in `column`; one pass, in Arrow batches."""
+    """`df` with `chunks` in place of the text in `column`, made from it by `split`; one
+    pass, in Arrow batches, of which a worker holds the chunks of one slice at a time."""
     from pyspark.sql import types as T
 
-    names = df.columns
-    at = names.index(column)
+    at = df.columns.index(column)
+    names = [c for c in df.columns if c != column]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            made = [[{"text": t, "start": s, "end": e} for t, s, e in split(x or "")] for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, _CHUNKS)], names=[*names, "chunks"])
+        for whole in it:
+            for b in _slices(whole, at):
+                texts, starts, ends, ats = [], [], [], [0]
+                for x in b.column(at).to_pylist():
+                    for t, s, e in split(x or ""):
+                        texts.append(t)
+                        starts.append(s)
+                        ends.append(e)
+                    ats.append(len(texts))
+                made = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["text", "start", "end"])
+                rest = [c for i, c in enumerate(b.columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(ats, pa.int32()), made)], names=[*names, "chunks"])
 
     kind = T._parse_datatype_string(_CHUNK_DDL)
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("chunks", kind)]))
+    return df.mapInArrow(run, T.StructType([*(f for f in df.schema if f.name != column), T.StructField("chunks", kind)]))
 
 
 def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -205,7 +228,7 @@ def structural_chunks(docs: DataFrame, secs: DataFrame, limit: int = 800, page:
             k = max(0, x.find(t))
             yield t, k, k + len(t)
 
-    made = _chunked(cut, "_part", split).drop("_part")
+    made = _chunked(cut, "_part", split)
     rows = made.select("*", F.posexplode("chunks").alias("_k", "c"))
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("ordinal", "_k")) - 1
     prefix = F.concat(F.lit("["), "filename", F.lit(" | § "), F.array_join("path", " > "), F.lit(" | Page "), F.col("page_number").cast("string"), F.lit("]"))
