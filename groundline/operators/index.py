@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from groundline.config import Config
 from groundline.operators import ranking
+from groundline.operators.ranking import SLACK
 from groundline.sources.tables import written
 
 C = Config()
@@ -24,7 +25,6 @@ BUCKET_BYTES = 32 << 20
 BLOCK_DOCS, BOUNDED = 256, 128
 #: A query's best blocks with this many times k documents are scored first, to learn what its k-th score is at least.
 SEEDS = 4
-SLACK = 2e-6  # scores are compared to six places
 
 
 def gain(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
@@ -32,6 +32,14 @@ def gain(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def unique(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _text) without null keys; of rows of one key the greatest text, null an empty one."""
+    one = chunks.where(F.col(key).isNotNull()).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    if not one.groupBy(key).count().where("count > 1").isEmpty():
+        one = one.groupBy(key).agg(F.max("_text").alias("_text"))
+    return one
+
+
 class Bm25Index:
     """Postings in a folder, in segments: `append` adds or replaces chunks, `delete`
     takes keys out, `compact` writes what is live to a new folder.
@@ -116,9 +124,7 @@ class Bm25Index:
         """Add a batch of chunks (key, text); one whose key is there already replaces it. The
         segment's number. Null keys can't be found again and are left out; of rows of one
         key in a batch one is taken, the greatest text."""
-        one = chunks.where(F.col(self.key).isNotNull()).select(self.key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        if not one.groupBy(self.key).count().where("count > 1").isEmpty():
-            one = one.groupBy(self.key).agg(F.max("_text").alias("_text"))
+        one = unique(chunks, self.key, text)
         size = one.agg(F.sum(F.octet_length("_text")), F.count("*")).first()
         toks = ranking.tokenized(one, self.key, "_text")
         parts = max(1, size[1] // (8 * BLOCK_DOCS))  # of each class of length; most documents are of about eight
@@ -212,16 +218,18 @@ class Bm25Index:
         kind = key.schema[self.key].dataType.simpleString() if key is not None else "string"
         return queries.select(query).where("false").select(query, F.lit(None).cast(kind).alias(self.key), F.lit(0.0).alias("score"))
 
-    def score(self, queries: DataFrame, query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:
-        """(query, key, score) of every live chunk that shares a term with a query."""
+    def score(self, queries: DataFrame, query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b, k: int | None = None) -> DataFrame:
+        """(query, key, score) of every live chunk that shares a term with a query, or with
+        `k` of those that may be among its k best."""
         if not self.segments():
             return self._none(queries, query)
         asked = self._asked(queries, query, question)
         held = self._held(asked)
         if held is None:
             return self._none(queries, query)
-        one = F.broadcast(self.stats().select("avgdl"))
-        return held.join(asked, "term").join(one).groupBy(query, self.key).agg(F.sum(self._part(k1, b)).alias("score"))
+        weights = asked.join(F.broadcast(self.stats().select("avgdl")))  # one row
+        held = written(held.select(self.key, "term", "tf", "dl"), "held")
+        return ranking.summed(held, written(weights, "weights"), self._part(k1, b), query, self.key, k)
 
     def candidates(self, queries: DataFrame, k: int, query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:
         """(query, key, score) of every chunk that may be among a query's k best, to six
@@ -239,6 +247,7 @@ class Bm25Index:
         held = self._held(asked)
         if held is None:
             return self._none(queries, query)
+        held = written(held, "held")  # of the asked terms alone, where each step below would read whole buckets
         adding = [s["segment"] for s in seen if s["adds"]]
         one = F.broadcast(self.stats().select("avgdl"))
         place = ["segment", "block"]
@@ -254,11 +263,15 @@ class Bm25Index:
         kth = lambda df: df.withColumn("_n", nth).where(F.col("_n") == k).select(query, F.col("score").alias("bar"))
         before = F.sum("n").over(W.partitionBy(query).orderBy(F.desc("most"), *place).rowsBetween(W.unboundedPreceding, -1))
         seeds = bound.withColumn("_n", F.coalesce(before, F.lit(0))).where(F.col("_n") < SEEDS * k).select(query, *place)
-        read = lambda pairs, on: (  # noqa: E731  parts of bounded terms in some (query, block) or (query, key)
-            held.join(often, ["term", "segment"], "left_semi").join(asked, "term").join(pairs, on, "left_semi").join(one)
-            .groupBy(query, self.key, *place).agg(F.sum(self._part(k1, b)).alias("score"))
+        # few (term, block) are asked for by any query: postings are cut to them before queries are joined
+        cut = lambda pairs: held.join(often, ["term", "segment"], "left_semi").join(
+            written(pairs.join(asked.select(query, "term"), query).select("term", *place).distinct(), "wanted"), ["term", *place], "left_semi"
+        )
+        read = lambda rows, pairs, on: (  # noqa: E731  parts of bounded terms in some (query, block) or (query, key)
+            rows.join(asked, "term").join(pairs, on, "left_semi").join(one).groupBy(query, self.key, *place).agg(F.sum(self._part(k1, b)).alias("score"))
         )
-        sown = read(seeds, [query, *place]).unionByName(low).groupBy(query, self.key).agg(F.sum("score").alias("score"))
+        seeds = written(seeds, "seeds")
+        sown = read(cut(seeds), seeds, [query, *place]).unionByName(low).groupBy(query, self.key).agg(F.sum("score").alias("score"))
         bars = written(kth(sown), "bars")
         may = bound.join(bars, query, "left").where(F.coalesce(F.col("most") >= F.col("bar") - SLACK, F.lit(True)))
         may = written(may.select(query, *place), "may")
@@ -266,9 +279,6 @@ class Bm25Index:
         hope = F.coalesce(F.col("score") + F.coalesce("most", F.lit(0.0)) >= F.col("bar") - SLACK, F.lit(True))
         left = written(left.where(hope).select(query, self.key, *place, "score"), "left")
         alone = left.join(may, [query, *place], "left_anti").select(query, self.key)
-        # few (term, block) are asked for by any query: postings are cut to them before queries are joined
-        wanted = may.unionByName(left.select(query, *place)).join(asked.select(query, "term"), query).select("term", *place).distinct()
-        held = written(held.join(often, ["term", "segment"], "left_semi").join(wanted, ["term", *place], "left_semi"), "read")
-        self.rows_read = held
-        more = read(may, [query, *place]).unionByName(read(alone, [query, self.key]))
+        rows = self.rows_read = written(cut(may.unionByName(left.select(query, *place))), "read")
+        more = read(rows, may, [query, *place]).unionByName(read(rows, alone, [query, self.key]))
         return more.unionByName(left).groupBy(query, self.key).agg(F.sum("score").alias("score"))
