@@ -123,7 +123,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank",
         return ranking.top(some.join(place, "doc_id"), k, ties=["_doc", "chunk_index"]).drop("_doc", "chunk_index")
 
     def keyword(k: int) -> DataFrame:
-        scored = index.score(queries) if index else ranking.bm25(chunks.select("chunk_id", F.col("full_text").alias("text")), queries, key="chunk_id")
+        scored = index.score(queries, k=k) if index else ranking.bm25(chunks.select("chunk_id", F.col("full_text").alias("text")), queries, key="chunk_id", k=k)
         return stage("bm25", best(scored.withColumnRenamed("chunk_id", "doc_id"), k))
 
     def vector(k: int) -> DataFrame:
@@ -144,7 +144,9 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank",
     elif mode in ("hybrid", "hybrid_rerank"):
         ranked = stage("fusion", ranking.fuse(vector(cfg.pool), keyword(cfg.pool), cfg.pool, cfg))
     else:
-        ranked = keyword(1).where("false")
+        ranked = queries.select("query_id").where("false").join(place.select("doc_id"), how="cross").withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+    if mode in MODES:
+        ranked = written(ranked, "ranked")  # few narrow rows, which are sent to the texts
     found = ranked.withColumnRenamed("doc_id", "chunk_id").join(chunks, "chunk_id").join(queries.select("query_id", "question"), "query_id")
     if targets is not None:
         found = ranking.only_targets(found, targets, cfg.pool if mode == "hybrid_rerank" else top_k, key="filename")

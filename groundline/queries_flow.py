@@ -15,7 +15,6 @@ from groundline.operators import answers as A
 from groundline.operators import lineage as L
 from groundline.operators import ranking as R
 from groundline.operators import sections as S
-from groundline.operators.index import Bm25Index
 from groundline.operators.vectors import DenseIndex, hashed_embedder
 from groundline.plans.engine import chunk_files, measured
 from groundline.queries import query, read
@@ -237,12 +236,11 @@ def ablation_failures(spark, sf_dir):
 def _five(spark, sf_dir):
     asked = Q._questions(spark, sf_dir)
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("filename"), "text")
-    bm = written(Q._bm25(spark, sf_dir, 20), "bm25")
+    bm = Q._bm25(spark, sf_dir, 20)
     dense = written(Q._dense(spark, sf_dir, 20), "dense")
     fused = written(R.fuse(dense, bm), "fused")
     pieces = written(S.fixed_chunks(docs).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk"), "doc_id", "text"), "pieces")
-    index = Bm25Index.build(pieces, new_path(spark, "index"), "chunk")
-    cut = R.top(index.score(asked), 20, key="chunk")
+    cut = written(R.top(R.bm25(pieces, asked, key="chunk", k=20), 20, key="chunk"), "cut")
 
     def shown(ranked, texts, chunk):
         made = ranked.join(texts, "doc_id").join(asked, "query_id").withColumn("chunk_id", chunk)

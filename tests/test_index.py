@@ -118,3 +118,61 @@ def test_dense_keeps_k_on_ties(spark):
     found = R.dense(v, q, 5).cache()
     assert found.count() <= 300 * 5 * 2 * -(-5000 // size)
     assert {(r.query_id, r.doc_id) for r in R.top(found, 5).collect()} == {(i, j) for i in range(300) for j in range(5)}
+
+
+def test_a_batch_of_questions_builds_no_index(spark, sf_dir, monkeypatch):
+    from groundline import queries as Q
+
+    def no(*args, **more):
+        raise AssertionError("an index of all terms, for one batch of questions")
+
+    monkeypatch.setattr(Bm25Index, "append", no)
+    n = Q._questions(spark, sf_dir).count()
+    assert Q._candidates(spark, sf_dir).count() == 5 * n
+    assert Q._fused(spark, sf_dir).where("rank = 1").count() == n
+    assert Q.QUERIES["ablation_five"](spark, sf_dir).count() == 5
+
+
+def test_candidates_are_sent_to_their_texts(spark, sf_dir):
+    from groundline import queries as Q
+
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    plan = Q._bm25(spark, sf_dir, 5).join(texts, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_a_bar_keeps_the_k_best_and_leaves_out_others(spark, monkeypatch):
+    monkeypatch.setattr(R, "FIRST", 4)
+    docs = frame(spark, [*texts(5, 3000, range(3000)), *((5000 + i, "rare7 rare8") for i in range(40)), (None, "rare7"), (9000, None)])
+    q = spark.createDataFrame([(1, "common usual w3"), (2, "rare7 rare8"), (3, "rare250"), (4, "nowhere"), (5, None)], "query_id long, question string")
+    every = R.bm25(docs, q)
+    for k in (1, 5, 20, 5000):
+        some = R.bm25(docs, q, k=k)
+        assert best(some, k) == best(every, k)
+        assert k > 20 or some.count() < every.count() / 4
+
+
+def test_candidates_read_the_asked_terms_once(spark, tmp_path, monkeypatch):
+    docs = frame(spark, texts(6, 2000, range(2000)))
+    index = Bm25Index.build(docs, f"{tmp_path}/index")
+    kept, write = {}, I.written
+
+    def spy(df, name):
+        out = write(df, name)
+        kept.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(I, "written", spy)
+    q = spark.createDataFrame([(1, "common w3")], "query_id long, question string")
+    found = index.candidates(q, 5)
+    assert {r.term for r in kept["held"][0].select("term").distinct().collect()} == {"common", "w3"}
+    assert len(kept["wanted"]) == 2  # seeds too are cut to their blocks before queries are joined
+    assert best(found, 5) == best(R.bm25(docs, q), 5)
+
+
+def test_tokens_of_plain_and_other_texts(spark):
+    from groundline.functions.text import tokens
+
+    rows = [("Plain ASCII-text a.b_c",), ("Größe der Wörter",), ("Kelvin • five",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(tokens(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [["plain", "ascii-text", "a.b_c"], ["der"], ["kelvin", "five"], [], None]
