@@ -5,7 +5,8 @@
 Each question gets its best documents by keywords, the gate's decision with its reason,
 and the key sentences with their citations where the gate lets it be answered. The rows
 are written by decision. A run writes the whole table anew, so it may be repeated. With
-`--index` an index that job 1 keeps is asked; without, one is built below `out`.
+`--index` an index that job 1 keeps is asked; without, the postings of the questions' own
+terms are made, which is far less than an index that is asked once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from groundline.config import Config
 from groundline.operators import answers, ranking
-from groundline.operators.index import Bm25Index
+from groundline.operators.index import Bm25Index, unique
 from groundline.sources.tables import written
 from jobs.common import command, log
 
@@ -47,10 +48,12 @@ def run(spark: SparkSession, documents: str, questions: str, out: str, cfg: Sett
     text = docs.select(F.col(cfg.doc_key).alias("doc_id"), F.col(cfg.file_column).alias("filename"), cfg.text)
     if index:
         held = Bm25Index(spark, index, cfg.doc_key)
+        n, scored = sum(s["n"] for s in held.segments()), held.score(asked, k=cfg.top_k).withColumnRenamed(cfg.doc_key, "doc_id")
     else:
-        held = Bm25Index.build(docs.select(cfg.doc_key, cfg.text), f"{out}/index", cfg.doc_key, cfg.text)
-    n = sum(s["n"] for s in held.segments())
-    ranked = ranking.top(held.score(asked).withColumnRenamed(cfg.doc_key, "doc_id"), cfg.top_k)
+        one = unique(docs, cfg.doc_key, cfg.text).withColumnRenamed(cfg.doc_key, "doc_id")
+        n, scored = one.count(), ranking.bm25(one, asked, text="_text", k=cfg.top_k)
+    scored = scored.withColumn("score", F.round("score", 9))  # sums differ in their last digits by the order of their terms
+    ranked = written(ranking.top(scored, cfg.top_k), "ranked")  # few narrow rows, which are sent to the texts
     found = (
         ranked.join(text.withColumnRenamed(cfg.text, "text"), "doc_id").join(asked, "query_id")
         .withColumn("chunk_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))

@@ -71,6 +71,16 @@ def test_answers_without_rows(spark, tmp_path):
     assert {(i, r.decision, r.reason, r.best_doc, r.answer) for i, r in got.items()} == {(i, "ABSTAIN", "missing_evidence", None, None) for i in (1, 2)}
 
 
+def test_answers_build_no_index(spark, tmp_path):
+    rows = [(1, "solar panels on the roof give power", "s"), (2, "power of the river", "s"), (None, "solar power", "s"), (3, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(1, "solar power"), (2, "river power")], "item_id long, text string").write.parquet(f"{tmp_path}/q")
+    index_documents.run(spark, f"{tmp_path}/d", f"{tmp_path}/kept", f"{tmp_path}/mark")
+    got, kept = (sorted(map(str, answer_questions.run(spark, f"{tmp_path}/d", f"{tmp_path}/q", f"{tmp_path}/{o}", index=i).collect())) for o, i in (("a", None), ("b", f"{tmp_path}/kept")))
+    assert got == kept and len(got) == 2
+    assert os.listdir(f"{tmp_path}/a") == ["answers"]
+
+
 def test_settings_files():
     for job in (index_documents, answer_questions):
         assert settings(job.Settings, str(Path(job.__file__).with_suffix(".json")))
