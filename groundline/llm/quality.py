@@ -39,6 +39,8 @@ BLOCK_DOCS, BLOCK_BYTES = 5000, 64 << 20
 REPEAT_MARGIN, REPEAT_LEAST, REPEAT_MORE = 2.5, 0.01, 20
 #: Symbols whose n-grams are numbered at once; longer texts go on in the next piece.
 PIECE = 1 << 20
+#: Numbers of n-grams that a task holds before it sums them; half as many distinct ones are put out.
+MOST_HELD = 2_000_000
 #: Quantiles are exact over values rounded to this.
 GRAIN = 1e-5
 BOS, EOS = "\x02", "\x03"
@@ -57,24 +59,33 @@ def grams_of(words: list[str], order: int = ORDER) -> tuple[list[str], np.ndarra
     return _numbered([BOS + w + EOS for w in words], np.ones(len(words), np.int64), order)
 
 
-def _laid(pieces: list[str], skip: np.ndarray, order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces in one text: that, its code points, the places after each piece's first
-    `skip` symbols, how far each one's history goes back, and whose piece it is."""
+def _laid(pieces: list[str], skip: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces in one text: that, its code points, each one's place in its piece, the
+    places after each piece's first `skip` symbols, and whose piece these are of."""
     text = "".join(pieces)
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = _places(sizes)
     at = np.flatnonzero(place >= np.repeat(skip, sizes))
-    return text, points, at, np.minimum(place[at], order - 1), owner[at]
+    return text, points, place, at, owner[at]
 
 
-def _keys(symbols: np.ndarray, at: np.ndarray, back: np.ndarray, bits: int, order: int) -> np.ndarray:
-    """The n-gram that ends at each place as one number; the last symbol is its lowest `bits`."""
-    key = symbols[at]
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _keys(symbols: np.ndarray, at: np.ndarray, place: np.ndarray, bits: int, order: int) -> np.ndarray:
+    """The n-gram that ends at each of `at` as one number; the last symbol is its lowest `bits`."""
+    key = symbols.copy()
     for j in range(1, order):
-        key |= np.where(back >= j, symbols[np.maximum(at - j, 0)] << (bits * j), 0)
-    return key
+        key[j:] |= np.where(place[j:] >= j, symbols[:-j] << (bits * j), 0)
+    return key[at]
+
+
+def _strings(text: str, at: np.ndarray, place: np.ndarray, order: int) -> Iterator[str]:
+    """The n-gram that ends at each of `at`."""
+    return (text[i - h : i + 1] for i, h in zip(at.tolist(), np.minimum(place[at], order - 1).tolist(), strict=True))
 
 
 def _coded(points: np.ndarray) -> tuple[np.ndarray, int]:
@@ -89,18 +100,85 @@ def _coded(points: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _numbered(pieces: list[str], skip: np.ndarray, order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The n-grams that end in each piece after its first `skip` symbols."""
-    text, points, at, back, owner = _laid(pieces, skip, order)
+    text, points, place, at, owner = _laid(pieces, skip)
     code, bits = _coded(points)
     if bits * order > 63:  # too many kinds of symbols for one number
         names: dict[str, int] = {}
-        which = [names.setdefault(text[i - h : i + 1], len(names)) for i, h in zip(at.tolist(), back.tolist(), strict=True)]
+        which = [names.setdefault(g, len(names)) for g in _strings(text, at, place, order)]
         return list(names), np.array(which, np.int64), owner
-    coded = pa.array(_keys(code[points], at, back, bits, order)).dictionary_encode()
+    coded = pa.array(_keys(code[points], at, place, bits, order)).dictionary_encode()
     which = coded.indices.to_numpy()
     first = np.zeros(len(coded.dictionary), np.int64)
     first[which[::-1]] = np.arange(len(which))[::-1]
-    names = [text[i - h : i + 1] for i, h in zip(at[first].tolist(), back[first].tolist(), strict=True)]
-    return names, which, owner
+    return list(_strings(text, at[first], place, order)), which, owner
+
+
+class Counts:
+    """Sums of n-grams over many texts, by their numbers; strings are made of the distinct
+    ones alone. A symbol keeps its number until `taken`."""
+
+    def __init__(self, order: int = ORDER):
+        self.order, self.bits = order, 62 // order
+        self._empty()
+
+    def _empty(self) -> None:
+        self.code, self.kinds = np.zeros(0x110000, np.int64), np.zeros(1, np.int64)
+        self.keys: list[np.ndarray] = []
+        self.sums: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, texts: list[str], good: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Count texts; n-grams of those that are `good` as often as they stand. What has
+        to be put out before more can be held."""
+        for pieces, skip, of in turns_of(texts, self.order):
+            text, points, place, at, owner = _laid(pieces, skip)
+            kinds = np.flatnonzero(np.bincount(points))
+            if self.held and len(self.kinds) + int((self.code[kinds] == 0).sum()) > 1 << self.bits:
+                yield self.taken()
+            new = kinds[self.code[kinds] == 0]
+            if len(self.kinds) + len(new) > 1 << self.bits:  # too many kinds of symbols for one number
+                names, which, owner = _numbered(pieces, skip, self.order)
+                sums = np.bincount(which[good[of[owner]]], minlength=len(names))
+                yield as_arrow({"gram": names, "trusted": sums.tolist()}, _GRAMS)
+                continue
+            self.code[new] = len(self.kinds) + np.arange(len(new))
+            self.kinds = np.concatenate([self.kinds, new])
+            keys = _keys(self.code[points], at, place, self.bits, self.order)
+            keys = np.sort((keys << 1) | good[of[owner]])
+            self._keep(*_summed(keys >> 1, keys & 1))
+            if self.held > MOST_HELD:
+                order = np.argsort(keys := np.concatenate(self.keys), kind="stable")
+                sums = np.concatenate(self.sums)[order]
+                self.keys, self.sums, self.held = [], [], 0
+                self._keep(*_summed(keys[order], sums))
+                if self.held > MOST_HELD // 2:
+                    yield self.taken()
+
+    def _keep(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.sums.append(sums)
+        self.held += len(keys)
+
+    def taken(self) -> pa.RecordBatch:
+        """(gram, trusted) of what was counted, each n-gram once; nothing is held then."""
+        if not self.held:
+            return as_arrow({"gram": [], "trusted": []}, _GRAMS)
+        order = np.argsort(keys := np.concatenate(self.keys), kind="stable")
+        keys, sums = _summed(keys[order], np.concatenate(self.sums)[order])
+        codes = np.stack([(keys >> (self.bits * j)) & ((1 << self.bits) - 1) for j in range(self.order - 1, -1, -1)], axis=1)
+        points, there = self.kinds[codes], codes > 0
+        size = there.astype(np.int32) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        ends = np.concatenate([[0], np.cumsum(size.sum(1))]).astype(np.int32)
+        data = points[there].astype("<u4").tobytes().decode("utf-32-le").encode()
+        grams = pa.StringArray.from_buffers(len(keys), pa.py_buffer(ends), pa.py_buffer(data))
+        self._empty()
+        return pa.RecordBatch.from_arrays([grams, pa.array(sums)], schema=_GRAMS)
+
+
+def _summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of sorted `keys`, and their sums."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(sums, first) if len(first) else sums
 
 
 class Scores:
@@ -115,7 +193,7 @@ class Scores:
             return
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
         ends = np.cumsum(sizes) - 1
-        keys = _keys(self.code[points], ends, sizes - 1, self.bits, order) if len(grams) else np.zeros(0, np.int64)
+        keys = _keys(self.code[points], ends, _places(sizes), self.bits, order) if len(grams) else np.zeros(0, np.int64)
         self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
         self.keys, self.logp = np.zeros(1 << (64 - int(self.shift)), np.int64), np.zeros(1 << (64 - int(self.shift)), np.float64)
         left, slot = np.arange(len(keys)), self._slots(keys)
@@ -131,11 +209,10 @@ class Scores:
 
     def of(self, pieces: list[str], skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each symbol after its piece's first `skip`, and its piece."""
-        text, points, at, back, owner = _laid(pieces, skip, self.order)
+        text, points, place, at, owner = _laid(pieces, skip)
         if self.named is not None:
-            found = [self.named[text[i - h : i + 1]] for i, h in zip(at.tolist(), back.tolist(), strict=True)]
-            return np.array(found, np.float64), owner
-        keys = _keys(self.code[points], at, back, self.bits, self.order)
+            return np.array([self.named[g] for g in _strings(text, at, place, self.order)], np.float64), owner
+        keys = _keys(self.code[points], at, place, self.bits, self.order)
         slot = self._slots(keys)
         miss = np.flatnonzero(self.keys[slot] != keys)
         while len(miss):
@@ -199,14 +276,14 @@ def repeats(texts: pa.Array) -> np.ndarray:
     return np.bincount(own[again], weights=1 / (at[again] - at[again - 1]), minlength=n) / (sizes + REPEAT_MORE)
 
 
-def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct tokens of texts; per token of each text which it is, and its text."""
     split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
     doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-    words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    if "" in words:  # what white space at an end leaves
-        on = which != words.index("")
+    words, which = coded.dictionary, coded.indices.to_numpy()
+    if (empty := pc.index(words, "").as_py()) >= 0:  # what white space at an end leaves
+        on = which != empty
         which, doc = which[on], doc[on]
     return words, which, doc
 
@@ -216,21 +293,10 @@ def gather(docs: DataFrame, trusted: str, order: int = ORDER) -> DataFrame:
     Tasks count first; a document's text never moves."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: dict[str, int] = {}
+        counts = Counts(order)
         for b in it:
-            good = b.column(1).to_numpy(zero_copy_only=False)
-            for names, of, owner in grams_of_texts(plain(b.column(0)), order):
-                sums = np.bincount(of[good[owner]], minlength=len(names)).tolist()
-                for g, n in zip(names, sums, strict=True):
-                    grams[g] = grams.get(g, 0) + n
-                if len(grams) > 1_000_000:
-                    yield flush(grams)
-        yield flush(grams)
-
-    def flush(grams: dict[str, int]) -> pa.RecordBatch:
-        out = as_arrow({"gram": list(grams), "trusted": list(grams.values())}, _GRAMS)
-        grams.clear()
-        return out
+            yield from counts.add(plain(b.column(0)), b.column(1).to_numpy(zero_copy_only=False))
+        yield counts.taken()
 
     return (
         docs.select("text", F.col(trusted))
@@ -317,8 +383,9 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
     """All columns of `docs` with _logp, _symbols and _repeats.
 
     A table of at most `send_rows` rows goes to every executor. A larger one is cut by
-    blocks of documents: a block's distinct n-grams are joined with the table and meet
-    its texts in one group."""
+    blocks of documents: texts are dealt by block, a block asks for each of its n-grams
+    once, however many blocks there are, and what the table has of them meets its texts
+    in one group."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
     out = T.StructType([*docs.schema, T.StructField("_logp", T.DoubleType()), T.StructField("_symbols", T.LongType()), T.StructField("_repeats", T.DoubleType())])
@@ -336,16 +403,14 @@ def score(docs: DataFrame, table: DataFrame, rows: int, order: int = ORDER, send
     blocks = max(1, -(-size[0] // BLOCK_DOCS), -(-size[1] // BLOCK_BYTES))
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64("text", *(c for c in docs.columns if c == "doc_id")), F.lit(blocks)))
 
-    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            blocks = b.column(0).to_numpy()
-            for block in np.unique(blocks):
-                for grams, _, _ in grams_of_texts(plain(b.column(1).filter(pa.array(blocks == block))), order):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(grams), block, np.int64)), pa.array(grams, pa.string())], names=["_block", "gram"]
-                    )
-
-    needed = dealt.select("_block", "text").mapInArrow(ask, "_block long, gram string").distinct().join(table, "gram")
+    def ask(d: pa.Table) -> pa.Table:
+        counts, none = Counts(order), pa.table({"gram": pa.array([], pa.string())})
+        found = [b.select(["gram"]) for x in d["text"].chunks for b in counts.add(plain(x), np.zeros(len(x), bool))]
+        asked = pa.Table.from_batches([*found, counts.taken().select(["gram"])])
+        asked = asked.group_by("gram", use_threads=False).aggregate([]) if found else asked  # what had to be put out early may come again
+        return pa.concat_tables([none, asked]).append_column("_block", pa.array(np.full(len(asked), d["_block"][0].as_py(), np.int64)))
+
+    needed = dealt.select("_block", "text").groupBy("_block").applyInArrow(ask, "gram string, _block long").join(table, "gram")
 
     def meet(d: pa.Table, t: pa.Table) -> pa.Table:
         grams = Scores(t["gram"].to_pylist(), t["logp"].to_numpy(), order)
