@@ -156,7 +156,7 @@ _CHUNK_DDL = "array<struct<text:string,start:long,end:long>>"
 SLICE_BYTES = 1 << 20
 
 
-def _slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """`b` in runs of rows of about SLICE_BYTES of the text in column `at`."""
     first, held = 0, 0
     for i, n in enumerate(pc.binary_length(b.column(at)).to_pylist()):
@@ -177,7 +177,7 @@ def _chunked(df: DataFrame, column: str, split) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for b in _slices(whole, at):
+            for b in slices(whole, at):
                 texts, starts, ends, ats = [], [], [], [0]
                 for x in b.column(at).to_pylist():
                     for t, s, e in split(x or ""):

@@ -176,3 +176,40 @@ def test_tokens_of_plain_and_other_texts(spark):
     rows = [("Plain ASCII-text a.b_c",), ("Größe der Wörter",), ("Kelvin • five",), ("",), (None,)]
     got = spark.createDataFrame(rows, "t string").select(tokens(F.col("t")).alias("x")).collect()
     assert [r.x for r in got] == [["plain", "ascii-text", "a.b_c"], ["der"], ["kelvin", "five"], [], None]
+
+
+def test_split_tokens_finds_what_the_column_finds(spark):
+    from collections import Counter
+
+    from groundline.functions.text import plain, split_tokens, tokens
+
+    rng = np.random.default_rng(11)
+    letters = list("ab0_-.AZ  \n,'") + ["the", "can't", "é", "日", "•", "é", "İ", "K"]
+    made = ["".join(rng.choice(letters, int(rng.integers(0, 16)))) for _ in range(3000)] + ["", "a-.", "-.ab.-", "été-b cZ-d"]
+    rows = spark.createDataFrame([(t,) for t in made], "t string").select(plain(F.col("t")).alias("p"), tokens(F.col("t")).alias("x")).toArrow()
+    words, which, row = split_tokens(rows["p"].combine_chunks())
+    words, got = words.to_pylist(), [Counter() for _ in made]
+    for i, r in zip(which, row, strict=True):
+        got[r][words[i]] += 1
+    assert got == [Counter(x) for x in rows["x"].to_pylist()]
+
+
+def test_a_batch_of_questions_moves_no_postings(spark, monkeypatch):
+    """Sums of a chunk are made where its text was read: no join, and nothing is dealt anew."""
+    docs = frame(spark, texts(8, 2000, range(2000)))
+    q = spark.createDataFrame([(i, "common usual w3 rare7") for i in range(300)] + [(None, "w5"), (900, "")], "query_id long, question string")
+    found = R.bm25(docs, q, k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    every = R.bm25(docs, q)
+    assert found.count() < every.count() / 20  # two tiles of queries, 3 each that a task puts out, and few more
+    with monkeypatch.context() as m:
+        m.setattr(R, "SEND_TERMS", 0)  # beyond it rows are joined
+        assert best(R.bm25(docs, q, k=3).where("query_id is not null"), 3) == best(found.where("query_id is not null"), 3)
+        assert sorted(map(str, R.bm25(docs, q).select("query_id", "doc_id", F.round("score", 8)).collect())) == sorted(map(str, every.select("query_id", "doc_id", F.round("score", 8)).collect()))
+    twice = docs.unionByName(docs.limit(50))  # keys that repeat are joined
+    some = q.where("query_id < 3")
+    asked = R.written(R._asked(some, "query_id", "question"), "asked")
+    assert key(R.bm25(twice, some)) == key(R._joined(twice, asked, "doc_id", "text", "query_id", 1.5, 0.75, None))
+    nested = some.withColumn("query_id", F.struct(F.lit("a").alias("config"), F.col("query_id").alias("id")))
+    assert best(R.bm25(docs, nested, k=3).withColumn("query_id", F.col("query_id.id")), 3) == best(R.bm25(docs, some, k=3), 3)
