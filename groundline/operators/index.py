@@ -7,6 +7,8 @@ and lengths are sums of what each segment added or took, so they stay exact.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -114,9 +116,10 @@ class Bm25Index:
         all_ = self.spark.read.parquet(f"{self.path}/stats").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
         return all_.select("n", (F.col("dl") / F.when(F.col("n") > 0, F.col("n"))).cast("double").alias("avgdl"))
 
-    def terms(self) -> DataFrame:
-        """(term, df)."""
+    def terms(self, of: DataFrame | None = None) -> DataFrame:
+        """(term, df); of those in `of` (term) alone."""
         held = self._find("terms", [s["segment"] for s in self.segments()])
+        held = held if of is None else held.join(of, "term", "left_semi")
         return held.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     # changes
@@ -126,13 +129,12 @@ class Bm25Index:
         key in a batch one is taken, the greatest text."""
         one = unique(chunks, self.key, text)
         size = one.agg(F.sum(F.octet_length("_text")), F.count("*")).first()
-        toks = ranking.tokenized(one, self.key, "_text")
+        told = written(ranking.counted(one, self.key, "_text"), "counted")  # dealing by range reads it twice
         parts = max(1, size[1] // (8 * BLOCK_DOCS))  # of each class of length; most documents are of about eight
-        dl = F.size("tokens")
-        kind = F.floor(F.log2(dl + 1.0) * 2).cast("long")
+        kind = F.floor(F.log2(F.col("dl") + 1.0) * 2).cast("long")
         block = (F.shiftleft(kind, 40) + F.pmod(F.xxhash64(self.key), F.lit(parts))).alias("block")
-        every = F.concat(F.array(F.lit("")), F.col("tokens"))
-        rows = ranking.each_term(toks, self.key, dl.cast("long").alias("dl"), block, of=every).groupBy(self.key, "dl", "block", "term").agg(F.count("*").alias("tf"))
+        every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf"))), F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))
+        rows = told.select(self.key, "dl", block, F.explode(every).alias("_t")).select(self.key, "dl", "block", "_t.term", F.col("_t.tf").cast("long").alias("tf"))
         return self._add(rows, None, max(1, -(-(size[0] or 0) // BUCKET_BYTES)), segment)
 
     def delete(self, keys: DataFrame, segment: int | None = None) -> int:
@@ -193,7 +195,8 @@ class Bm25Index:
     def _asked(self, queries: DataFrame, query: str, question: str) -> DataFrame:
         """(query, term, weight) of the terms that the index has: their number times idf."""
         asked = ranking._asked(queries, query, question)
-        found = asked.join(self.terms(), "term").join(F.broadcast(self.stats().select("n")))  # one row
+        asked = written(asked, "questions")  # whose few terms are sent to those of the index
+        found = asked.join(self.terms(asked.select("term").distinct()), "term").join(F.broadcast(self.stats().select("n")))  # one row
         return written(found.select(query, "term", (F.col("qtf") * ranking.idf(F.col("n"), F.col("df"))).alias("weight")), "asked")
 
     def _held(self, asked: DataFrame) -> DataFrame | None:
@@ -227,8 +230,19 @@ class Bm25Index:
         held = self._held(asked)
         if held is None:
             return self._none(queries, query)
+        held = held.select(self.key, "term", "tf", "dl")
+        if k is not None and ranking.sendable(asked, query):
+            # one row a chunk, so that a chunk's postings meet all queries in one product
+            terms = asked.select("term").distinct().toArrow()["term"].combine_chunks().cast(pa.string())
+            place = self.spark.createDataFrame(pa.table({"term": terms, "place": pa.array(range(len(terms)), pa.int32())}))
+            posting = F.struct("place", F.col("tf").cast("int").alias("tf"))
+            rows = held.join(F.broadcast(place), "term").groupBy(self.key).agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list(posting)).alias("_p"))
+            rows = rows.select(self.key, "dl", F.col("_p.place").alias("terms"), F.col("_p.tf").alias("tfs"))
+            got = asked.toArrow()
+            of = pc.index_in(got["term"].combine_chunks().cast(pa.string()), value_set=terms).to_numpy()
+            return ranking.products(rows, got[query].combine_chunks(), of, got["weight"].to_numpy(), len(terms), self.stats().first()["avgdl"] or 1.0, asked.schema[query].dataType, query, self.key, k1, b, k)
         weights = asked.join(F.broadcast(self.stats().select("avgdl")))  # one row
-        held = written(held.select(self.key, "term", "tf", "dl"), "held")
+        held = held if k is None else written(held, "held")
         return ranking.summed(held, written(weights, "weights"), self._part(k1, b), query, self.key, k)
 
     def candidates(self, queries: DataFrame, k: int, query: str = "query_id", question: str = "question", k1: float = C.k1, b: float = C.b) -> DataFrame:

@@ -213,3 +213,24 @@ def test_a_batch_of_questions_moves_no_postings(spark, monkeypatch):
     assert key(R.bm25(twice, some)) == key(R._joined(twice, asked, "doc_id", "text", "query_id", 1.5, 0.75, None))
     nested = some.withColumn("query_id", F.struct(F.lit("a").alias("config"), F.col("query_id").alias("id")))
     assert best(R.bm25(docs, nested, k=3).withColumn("query_id", F.col("query_id.id")), 3) == best(R.bm25(docs, some, k=3), 3)
+
+
+def test_an_index_scores_all_queries_in_one_product(spark, asked, tmp_path, monkeypatch):
+    """With `k` no row is made for a query's term in a chunk; without it only the terms' buckets are read."""
+    monkeypatch.setattr(I, "BUCKET_BYTES", 4000)
+    index = Bm25Index(spark, f"{tmp_path}/index")
+    live = dict(texts(9, 400, range(400)))
+    index.append(frame(spark, list(live.items())))
+    index.delete(frame(spark, [(i, "") for i in range(50)]))
+    index.append(frame(spark, [(7, "common rare7"), (8, "common rare7")]))
+    live = {i: t for i, t in live.items() if i >= 50} | {7: "common rare7", 8: "common rare7"}
+    want = R.bm25(frame(spark, sorted(live.items())), asked)
+    for k in (1, 5, 500):
+        some = index.score(asked, k=k)
+        assert best(some, k) == best(want, k)
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "weight" not in plan and "Window" not in plan
+    assert key(some) == key(want)
+    assert index.score(asked.limit(2))._jdf.queryExecution().executedPlan().toString().count("bucket") > 0
+    monkeypatch.setattr(R, "SEND_TERMS", 0)  # beyond it rows are joined
+    assert best(index.score(asked, k=5), 5) == best(want, 5)
